@@ -58,7 +58,7 @@ class Model:
         for n in ORDERS:
             found = [v for i in range(len(padded) - n + 1) if (v := self.grams.get(padded[i : i + n])) is not None]
             if found:
-                return tuple(map(float, np.mean(found, axis=0)))
+                return tuple(sum(x) / len(found) for x in zip(*found))
         return (0.0,) * len(self.languages)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -69,7 +69,7 @@ class Model:
         try:
             at = [cache[w] for w in words]
         except KeyError:
-            new = set(words) - cache.keys()
+            new = {w for w in words if w not in cache}
             if len(cache) + len(new) > 300_000:
                 cache.clear()
                 rows.clear()

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,17 +22,18 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import map_rows, slices, word_bytes
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_letters")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_letters", "n_stutters")
 #: Rule name, and the SQL condition on the measurements under which a text fails. Order is bit order; append only.
 RULES = (
     ("few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "2 * n_dup_lines > n_lines"),
     ("short_words", "word_chars < 3 * n_words"),
     ("long_words", "word_chars > 12 * n_words"),
     ("few_letters", "10 * n_letters < 6 * word_chars"),
     ("exclamations", "5 * n_bangs > n_words"),
+    ("stuttered_words", "10 * n_stutters > 3 * n_words"),
 )
 BITS = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: Policies by version: the rules whose failure rejects a text.
@@ -78,7 +80,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     seen = Counter(lines)
     dup_lines = len(lines) - len(seen)
     letters = _letters(raw, text)
-    return len(words), chars, symbols, dup_lines, repeated_words(words), len(lines), raw.count(b"!"), letters
+    return len(words), chars, symbols, dup_lines, repeated_words(words), len(lines), raw.count(b"!"), letters, sum(map(eq, words, words[1:]))
 
 
 _ASCII_OTHER = bytes(x for x in range(128) if not chr(x).isalpha())
