@@ -27,3 +27,21 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parents[1]
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='matchloom-')}/matchloom", "zip", package.parent, package.name)
+    context.addPyFile(made)
+    _shipped.add(context.applicationId)
