@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import Bounded, slices
+from matchloom.plans.durable import materialize
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
@@ -106,9 +107,11 @@ class Model:
 def training_rows(docs: DataFrame, trainable: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
     """At most ``per_language`` labelled texts of each language, by the least hash of their id."""
     rows = docs.where(trainable & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    rows = rows.select(rows[lang_col].alias("lang"), rows[text_col].alias("text"), F.xxhash64(rows[id_col]).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "text")
+    rows = rows.select(rows[id_col].alias("id"), rows[lang_col].alias("lang"), rows[text_col].alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = rows.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    chosen = materialize(chosen.select("id", "lang").distinct(), "language-sample")  # its measured size lets Catalyst decide on the join
+    return rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
 
 
 def train(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

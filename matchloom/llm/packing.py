@@ -28,6 +28,7 @@ queue of its own; repeated rows are packed as often as they occur. No rows: no r
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,8 @@ from matchloom.llm.common import Bounded, slices
 from matchloom.plans.durable import materialize
 
 SIZE, LEAST_SHARE, END = 4096, 64, 2
+#: Words that a worker's cache holds before it is emptied.
+WORDS = 500_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -48,7 +51,9 @@ class WordEncoder:
     """Token ids as the tokenizers library gives them, by way of a cache of words.
 
     Neither the normaliser nor the merges of this kind of vocabulary reach across white
-    space, so a text's ids are those of its runs between ASCII white space, in order.
+    space, and it lower-cases, so a text's ids are those of its ASCII-lower-cased runs between ASCII
+    white space, in order. A full stop or comma between a letter or digit and white space is
+    a run of its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,25 +63,54 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: Bounded = Bounded()
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.words]
-        self.words.room(len(new))
-        if not new or len(self.words) == 0:
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
             new = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        kind = self.kind
-        self.words.update((w, np.array(e.ids, dtype=kind).tobytes()) for w, e in zip(new, found))
+        plain, other = [], []
+        for w in new:
+            (plain if w.isalpha() or w.decode("utf-8", "replace").isalpha() else other).append(w)
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = np.array(self._ids([b" ".join(part)])[0], dtype=self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(cuts) == len(part):  # each word is one piece of the splitting pattern
+                raw, cuts = ids.tobytes(), cuts.tolist()
+                self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+            else:
+                other += part
+        if other:
+            self.words.update((w, np.array(x, dtype=self.kind).tobytes()) for w, x in zip(other, self._ids(other)))
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [e.ids for e in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        split = [_runs(t) if t else [] for t in texts]
         self.learn(set().union(*split))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+#: A stop or comma after anything but a letter or digit that normalising leaves as one character.
+_JOINED = re.compile(r"[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f \t-\r][.,][ \n]")
+
+
+def _runs(text: str) -> list[bytes]:
+    raw = text.encode("utf-8", "replace").lower()
+    if not _JOINED.search(text):  # no stop or comma belongs to a longer run of symbols
+        raw = raw.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n")
+    return raw.split()
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder and cache per worker process and vocabulary."""
     if path not in _encoders:
@@ -179,7 +213,7 @@ def schedule(totals: DataFrame, size: int, least_share: int) -> tuple[Schedule |
     total = int(totals.agg(F.sum("n")).first()[0] or 0)
     if not total:
         return None, {}
-    large = {r["source"]: int(r["n"]) for r in totals.where(F.col("n") * size >= F.lit(total) * least_share).collect()}
+    large = {r["source"]: int(r["n"]) for r in totals.where(F.col("n") >= F.lit(-(-total * least_share // size))).collect()}
     names = sorted(large, key=lambda x: (x is not None, x or ""))
     pool = total - sum(large.values())
     if names and 0 < pool * size < total * least_share:  # too little for a queue of its own: it joins the smallest

@@ -17,6 +17,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k+1 (rejected) as the pair k."""
+    from matchloom.llm import chat_pairs
+
+    turns = table(spark, sf_dir, "conversations")
+    number = F.col("conv_id")
+    return chat_pairs.format_preferences(turns, F.floor(number / 2).cast("long"), F.pmod(number, F.lit(2)) == 0)
+
+
+def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm import minhash
+
+    return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm import quality
 
@@ -24,6 +39,18 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm import bpe
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op5_template_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm import html_text
+
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
 
@@ -37,6 +64,23 @@ def op6_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm import token_counts
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low quality first, then toxicity given it: the categories that ``labels`` has."""
+    from matchloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), categories)
+    found = toxicity.predict(docs, chain, list(categories))
+    return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm import packing
 
@@ -51,7 +95,8 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_ledger, op6_language_backoff, op8_mixture_packing, op10_simhash_blocks)}
+    return {f.__name__: f for f in (op1_preference_pairs, op2_minhash_fingerprints, op3_quality_ledger, op4_pair_index_bpe, op5_template_free_text, op6_language_backoff,
+        op7_longest_match_counts, op8_mixture_packing, op9_toxicity_chain, op10_simhash_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
