@@ -78,7 +78,7 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), categories)
     found = toxicity.predict(docs, chain, list(categories))
-    return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return found.withColumn("toxic", F.col("p_toxic") >= F.lit(chain[-1].threshold if chain else 0.5))
 
 
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,11 @@ left out. A label row repeated counts once. No rows: no rows.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -32,8 +34,18 @@ TRAIN_ROWS, FEATURES, FOLDS, RIDGE, LEAST_TEXTS = 20_000, 256, 3, 1.0, 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_hashes(text: str | None) -> set[int]:
-    return {crc32(w.encode("utf-8", "replace")) for w in set(_WORD.findall(text.lower()))} if text else set()
+def word_counts(text: str | None) -> dict[int, int]:
+    """Occurrences of a text's words, by their hash."""
+    found: dict[int, int] = {}
+    for w, n in Counter(_WORD.findall(text.lower()) if text else ()).items():
+        h = crc32(w.encode("utf-8", "replace"))
+        found[h] = found.get(h, 0) + n
+    return found
+
+
+def strength(n: int) -> float:
+    """What ``n`` occurrences of a word count: 1 for one, 2 for three."""
+    return math.log2(1 + n)
 
 
 @dataclass(frozen=True)
@@ -44,6 +56,7 @@ class Link:
     weights: tuple[float, ...]
     earlier: tuple[float, ...]
     intercept: float
+    threshold: float = 0.5
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -51,11 +64,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """Training texts as rows of word hashes."""
+    """Training texts as rows of word hashes and what they count."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.words = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
-        self.rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.words = np.concatenate([x for x, _ in sets]) if sets else np.zeros(0, np.uint32)
+        self.values = np.concatenate([x for _, x in sets]) if sets else np.zeros(0, np.float32)
+        self.rows = np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets])
         self.n = len(sets)
         self.vocabulary, self.at = np.unique(self.words, return_inverse=True)
 
@@ -64,7 +78,7 @@ class Texts:
         place[features] = np.arange(len(features))
         column = place[self.at]
         out = np.zeros((self.n, len(features)))
-        out[self.rows[column >= 0], column[column >= 0]] = 1.0
+        out[self.rows[column >= 0], column[column >= 0]] = self.values[column >= 0]
         return out
 
     def best(self, label: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
@@ -113,7 +127,7 @@ def score_rows(link: Link, texts: Texts, earlier: np.ndarray) -> np.ndarray:
     return _sigmoid(total)
 
 
-def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, features: int = FEATURES, n_folds: int = FOLDS) -> list[Link]:
+def fit_chain(sets: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, folds: np.ndarray, features: int = FEATURES, n_folds: int = FOLDS) -> list[Link]:
     """The models of all categories, in order; later ones are trained on out-of-fold probabilities."""
     texts = Texts(sets)
     earlier = np.zeros((texts.n, 0))
@@ -128,10 +142,22 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, fea
             if len(held):
                 own = fit_link(texts, y, earlier, np.flatnonzero(folds != k), features)
                 unseen[held] = score_rows(own, texts, earlier)[held]
+        chain[-1] = replace(chain[-1], threshold=best_threshold(y, unseen))
         earlier = np.hstack([earlier, unseen[:, None]])
     return chain
 
 
+def best_threshold(label: np.ndarray, unseen: np.ndarray) -> float:
+    """The probability, within 0.2 and 0.8, from which out-of-fold decisions have the best F1; ties go to the one nearest 0.5."""
+    best = (-1.0, 0.0, 0.5)
+    for t in np.linspace(0.2, 0.8, 25):
+        said = unseen >= t
+        hit = float((said & (label > 0)).sum())
+        f1 = 2 * hit / max(1.0, said.sum() + label.sum())
+        best = max(best, (round(f1, 6), -abs(t - 0.5), float(t)))
+    return best[2]
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
           rows: int = TRAIN_ROWS, features: int = FEATURES, n_folds: int = FOLDS) -> list[Link]:
     """Train on the ``rows`` labelled texts with the least hash of their id; at most so many sets of word hashes reach the driver."""
@@ -142,12 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [np.array(sorted(word_hashes(t)), dtype="<u4").tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), *part.columns[2:]], names=["h", "words", *names])
+            found = [sorted(word_counts(t).items()) for t in part.column(1).to_pylist()]
+            words = [np.array([h for h, _ in x], dtype="<u4").tobytes() for x in found]
+            values = [np.array([strength(n) for _, n in x], dtype="<f4").tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary()), pa.array(values, pa.binary()), *part.columns[2:]], names=["h", "words", "strengths", *names])
 
-    found = texts.select("__h", "__text", *names).mapInArrow(run, "h long, words binary, " + ", ".join(f"{x} int" for x in names))
+    found = texts.select("__h", "__text", *names).mapInArrow(run, "h long, words binary, strengths binary, " + ", ".join(f"{x} int" for x in names))
     held = sorted(found.collect(), key=lambda r: (r["h"], r["words"]))
-    sets = [np.frombuffer(r["words"], dtype="<u4") for r in held]
+    sets = [(np.frombuffer(r["words"], dtype="<u4"), np.frombuffer(r["strengths"], dtype="<f4")) for r in held]
     values = np.array([[r[x] for x in names] for r in held], dtype=float).reshape(len(held), len(names))
     return fit_chain(sets, values, np.array([r["h"] % n_folds for r in held], dtype=int), features, n_folds) if held else []
 
@@ -159,10 +187,11 @@ class Scorer:
         self.known = set().union(*self.weights) if chain else set()
 
     def __call__(self, text: str | None) -> list[float]:
-        hit = self.known & word_hashes(text)
+        counts = word_counts(text)
+        hit = {h: strength(counts[h]) for h in sorted(self.known & counts.keys())}
         out: list[float] = []
         for link, weights in zip(self.chain, self.weights):
-            total = link.intercept + sum(weights.get(h, 0.0) for h in sorted(hit)) + sum(w * p for w, p in zip(link.earlier, out))
+            total = link.intercept + sum(weights.get(h, 0.0) * x for h, x in hit.items()) + sum(w * p for w, p in zip(link.earlier, out))
             out.append(float(_sigmoid(np.float64(total))))
         return out
 
