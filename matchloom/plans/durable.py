@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a writing task holds before it flushes a row group.
+BLOCK = 32 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -36,7 +38,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/matchloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK).parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._durable_path = path  # type: ignore[attr-defined]

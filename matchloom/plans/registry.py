@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None) -> Callable:
         return function
 
     return put
+
+
+from matchloom.plans import text_queries  # noqa: E402, F401
