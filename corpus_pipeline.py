@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows in sequences of one source mixture."""
-    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

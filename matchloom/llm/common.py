@@ -39,3 +39,23 @@ class Bounded(dict):
     def room(self, more: int = 1, most: int = CACHE) -> None:
         if len(self) + more > most:
             self.clear()
+
+
+class Numbers(dict):
+    """Words to their numbers; an unknown word gets the next one and waits in ``new`` until its value joins ``ids``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.ids: list[bytes] = []
+        self.new: list = []
+
+    def __missing__(self, word) -> int:  # noqa: ANN001
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def forget_beyond(self, most: int) -> None:
+        """Empty a cache that has grown too large; its contents never change a result."""
+        if len(self.ids) > most:
+            self.clear()
+            self.ids.clear()

@@ -27,33 +27,131 @@ queue of its own; repeated rows are packed as often as they occur. No rows: no r
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Bounded, slices
+from matchloom.llm.bpe import byte_symbols
+from matchloom.llm.common import Numbers, slices
 from matchloom.plans.durable import materialize
 
 SIZE, LEAST_SHARE, END = 4096, 64, 2
-#: Words that a worker's cache holds before it is emptied.
-WORDS = 500_000
+#: Words after which a worker's cache is emptied.
+WORDS = 400_000
 _encoders: dict[str, WordEncoder] = {}
 
 
+class Merges:
+    """The merges of a word vocabulary, applied to many words at once with array operations.
+
+    Every step finds each word's lowest-ranked pair (the leftmost of equals) and joins it; words without
+    one are done and leave the arrays. This is the order in which the tokenizers library
+    merges each word by itself.
+    """
+
+    NONE = 1 << 30
+
+    def __init__(self, model: dict) -> None:
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        letters = sorted(byte_symbols().items(), key=lambda x: x[1])
+        self.inner = np.array([vocab[c] for c, _ in letters], dtype=np.int64)
+        self.final = np.array([vocab[c + suffix] for c, _ in letters], dtype=np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.uint64)
+        ranks = np.arange(len(keys), dtype=np.uint64)
+        keys, first = np.unique(keys, return_index=True)
+        self._hash(keys, ranks[first])
+
+    def _hash(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """Two tables of ``key << 16 | rank``: the second holds what collides in the first, by a multiplier that makes it fit."""
+        draw = np.random.default_rng(1)
+        while True:
+            self.by = [np.uint64(x | 1) for x in draw.integers(1 << 62, 1 << 63, 2)]
+            one, two = (np.full(1 << n, np.uint64(2**64 - 1)) for n in (20, 18))
+            at = keys * self.by[0] >> np.uint64(44)
+            _, first = np.unique(at, return_index=True)
+            one[at[first]] = keys[first] << np.uint64(16) | ranks[first]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            at = keys[rest] * self.by[1] >> np.uint64(46)
+            if len(np.unique(at)) == len(at):
+                two[at] = keys[rest] << np.uint64(16) | ranks[rest]
+                self.tables = one, two
+                return
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << 16 | right).astype(np.uint64)
+        out = np.full(len(key), self.NONE, dtype=np.int64)
+        for by, table, bits in zip(self.by, self.tables, (np.uint64(44), np.uint64(46))):
+            found = table[key * by >> bits]
+            hit = found >> np.uint64(16) == key
+            out[hit] = (found[hit] & np.uint64(0xFFFF)).astype(np.int64)
+        return out
+
+    def encode(self, words: list[bytes], kind: np.dtype) -> list[bytes]:
+        """Ids of non-empty words of bytes that are one piece each, packed as ``kind``."""
+        n = len(words)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        symbol, last = self.inner[raw], np.cumsum(lengths) - 1
+        symbol[last] = self.final[raw[last]]
+        word = np.repeat(np.arange(n), lengths)
+        rank = np.full(len(symbol), self.NONE, dtype=np.int64)  # of the pair that begins here
+        if len(symbol) > 1:
+            rank[:-1] = self.ranks(symbol[:-1], symbol[1:])
+        rank[last] = self.NONE
+        done_word, done_symbol = [], []
+        while len(symbol):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(symbol)))
+            alive = best < self.NONE
+            here = np.repeat(best, sizes)
+            if not alive.all():
+                live = np.repeat(alive, sizes)
+                done_word.append(word[~live])
+                done_symbol.append(symbol[~live])
+                symbol, word, rank, here = symbol[live], word[live], rank[live], here[live]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(rank == here)
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]
+            symbol[at] = self.made[rank[at]]
+            keep = np.ones(len(symbol), dtype=bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))
+            symbol, word, rank = symbol[keep], word[keep], rank[keep]
+            rank[at] = self.NONE
+            onward = at[(at + 1 < len(word))]
+            onward = onward[word[onward + 1] == word[onward]]
+            rank[onward] = self.ranks(symbol[onward], symbol[onward + 1])
+            prior = at[at > 0]
+            prior = prior[word[prior - 1] == word[prior]] - 1
+            rank[prior] = self.ranks(symbol[prior], symbol[prior + 1])
+        word, symbol = np.concatenate(done_word), np.concatenate(done_symbol)
+        order = np.argsort(word, kind="stable")
+        ids = symbol[order].astype(kind).tobytes()
+        cuts = (np.cumsum(np.bincount(word, minlength=n)) * kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
 class WordEncoder:
     """Token ids as the tokenizers library gives them, by way of a cache of words.
 
     Neither the normaliser nor the merges of this kind of vocabulary reach across white
     space, and it lower-cases, so a text's ids are those of its ASCII-lower-cased runs between ASCII
     white space, in order. A full stop or comma between a letter or digit and white space is
-    a run of its own.
+    a run of its own. Runs of plain Latin letters are merged here; the library encodes all others.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,43 +161,51 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocab = self.tokenizer.get_vocab()
-        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: Bounded = Bounded()
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            new = list(words)
-        plain, other = [], []
+        model = json.loads(self.tokenizer.to_str())["model"]
+        most = max(self.tokenizer.get_vocab().values())
+        self.kind = np.dtype("<u2" if most < 1 << 16 else "<u4")
+        self.merges = Merges(model) if most < 1 << 16 and len(model["merges"]) < 1 << 16 and model["type"] == "BPE" and model["end_of_word_suffix"] else None
+        self.index = Numbers()
+
+    def learn(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each of these words."""
+        pieces, counts, other = [], [], []
         for w in new:
-            (plain if w.isalpha() or w.decode("utf-8", "replace").isalpha() else other).append(w)
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            ids = np.array(self._ids([b" ".join(part)])[0], dtype=self.kind)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
-            if len(cuts) == len(part):  # each word is one piece of the splitting pattern
-                raw, cuts = ids.tobytes(), cuts.tolist()
-                self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+            if w.isalpha():
+                pieces.append(w)
+                counts.append(1)
+            elif w.isascii() and b"'" not in w and b"<|" not in w:
+                parts = _PIECES(w)
+                pieces += parts
+                counts.append(len(parts))
+            elif _LATIN(t := w.decode("utf-8", "replace")):
+                pieces.append(t.lower().encode())
+                counts.append(1)
             else:
-                other += part
-        if other:
-            self.words.update((w, np.array(x, dtype=self.kind).tobytes()) for w, x in zip(other, self._ids(other)))
-
-    def _ids(self, words: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [e.ids for e in found]
+                counts.append(0)
+                other.append(w)
+        if self.merges is None:
+            pieces, counts, other = [], [0] * len(new), new
+        made = iter(self.merges.encode(pieces, self.kind)) if pieces else iter(())
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False) if other else []
+        alone = (np.array(e.ids, dtype=self.kind).tobytes() for e in found)
+        return [next(made) if n == 1 else b"".join(islice(made, n)) if n else next(alone) for n in counts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_runs(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
+        number, ids = self.index.__getitem__, self.index.ids
+        numbers = [list(map(number, _runs(t))) if t else [] for t in texts]
+        ids += self.learn(self.index.new)
+        self.index.new.clear()
+        get = ids.__getitem__
+        out = [b"".join(map(get, x)) for x in numbers]
+        self.index.forget_beyond(WORDS)
+        return out
+
+
+#: How the vocabulary's pattern splits lower-cased ASCII without apostrophes.
+_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: Letters that normalising leaves as one letter, lower-cased by itself.
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0137\u0139-\u0148\u014a-\u017e]+").fullmatch
 #: A stop or comma after anything but a letter or digit that normalising leaves as one character.
 _JOINED = re.compile(r"[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f \t-\r][.,][ \n]")
 
@@ -124,7 +230,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = encoder(path)
         last = np.array([end], dtype=mine.kind).tobytes()
-        for part in slices(batches):
+        for part in slices(batches, 1024):
             found = [x + last for x in mine.encode(part.column(2).to_pylist())]
             lengths = [len(x) // mine.kind.itemsize for x in found]
             yield pa.RecordBatch.from_arrays(
@@ -228,9 +334,9 @@ def schedule(totals: DataFrame, size: int, least_share: int) -> tuple[Schedule |
     return Schedule(tuple(bounds), size), {x: i for i, x in enumerate(names)}
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_share: int = LEAST_SHARE, chunk_tokens: int = 1 << 22,
+def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_share: int = LEAST_SHARE, chunk_tokens: int = 1 << 22, with_ids: bool = True,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids``.
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source`` and, ``with_ids``, its ``ids``.
 
     Texts are encoded once. A queue's documents are spread over chunks of about
     ``chunk_tokens`` tokens by hash, so that a source of any size is many tasks; a chunk's place
@@ -238,7 +344,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_sha
     running sum within one task.
     """
     spark = docs.sparkSession
-    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
+    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
     rows = materialize(encoded(docs, path, end, id_col, text_col, source_col), "packing-ids")
     plan, queues = schedule(rows.groupBy("source").agg(F.sum("n_tokens").alias("n")), size, least_share)
     if plan is None:
@@ -264,9 +370,9 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_sha
                 own = np.frombuffer(ids, dtype=kind).astype("<u4").tobytes()
                 for start, length, sequence, offset in plan.pieces(q, position, n):
                     bit = own[4 * start : 4 * (start + length)]
-                    out.append((doc, start, length, zlib.crc32(bit), n, sequence, offset, source, bit))
+                    out.append((doc, start, length, zlib.crc32(bit), n, sequence, offset, source, bit)[: 8 + with_ids])
             if out:
-                types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
+                types = ([pa.int64()] * 7 + [pa.string(), pa.binary()])[: 8 + with_ids]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out), types)], names=[x.split()[0] for x in columns.split(", ")]
                 )

@@ -84,7 +84,7 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm import packing
 
-    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
