@@ -20,10 +20,9 @@ def require_finite(df: DataFrame, *columns: str) -> None:
 def percentile_rank(df: DataFrame, score: str = "text_score", by: tuple[str, ...] = ("category",), out: str = "text_score_category_rank") -> DataFrame:
     """Average-tie rank over group size: 1 for a group of one; nulls form a group. Ranks come from distinct values, so a group of any size is spread."""
     ranked = with_average_rank(df, score, list(by), "__rank")
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__size"))
-    same = reduce(lambda a, b: a & b, (ranked[c].eqNullSafe(sizes[c]) for c in by))
-    joined = ranked.join(sizes, same)
-    return joined.select(*(ranked[c] for c in df.columns), (F.col("__rank") / F.col("__size")).cast("float").alias(out))
+    sizes = df.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by))).agg(F.count("*").alias("__size"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)))
+    return ranked.join(sizes, same).select(*df.columns, (F.col("__rank") / F.col("__size")).cast("float").alias(out))
 
 
 def cascade_select(df: DataFrame, threshold: float, fraction: float, score: str = "score", row: str = "row_id") -> DataFrame:

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from matchloom.plans import text_queries  # noqa: E402, F401
+from matchloom.plans import evaluation_queries, sampling_queries, text_queries  # noqa: E402, F401
