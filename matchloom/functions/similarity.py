@@ -68,33 +68,40 @@ def attribute_facts(attributes: Column, tokens, identifiers, numbers) -> Column:
         v.alias("v"), tokens(v).alias("t"), identifiers(v).alias("i"), numbers(v).alias("n")))
 
 
-def aligned_attributes(a: Column, b: Column) -> Column:
-    """A struct of the 17 aligned-attribute features of two ``attribute_facts`` maps."""
-    keys_a, keys_b = F.map_keys(a), F.map_keys(b)
-    common = F.array_intersect(keys_a, keys_b)
+def compared_attributes(a: Column, b: Column) -> Column:
+    """For every shared key of two ``attribute_facts`` maps, how its values compare. Project it on its own, so that it is computed once."""
 
     def compare(key: Column) -> Column:
         x, y = F.element_at(a, key), F.element_at(b, key)
         meets = lambda f: F.arrays_overlap(x[f], y[f])
         both = lambda f: some(x[f]) & some(y[f])
         return F.struct(
-            (x["v"] == y["v"]).cast("int").alias("exact"), jaccard(x["t"], y["t"]).alias("j"), both("i").cast("int").alias("ic"),
-            (both("i") & meets("i")).cast("int").alias("io"), both("n").cast("int").alias("nc"), (both("n") & meets("n")).cast("int").alias("no"),
+            (x["v"] == y["v"]).cast("int").alias("exact"), F.when(x["v"] == y["v"], some(x["t"]).cast("double")).otherwise(jaccard(x["t"], y["t"])).alias("j"),
+            both("i").cast("int").alias("ic"), (both("i") & meets("i")).cast("int").alias("io"), both("n").cast("int").alias("nc"), (both("n") & meets("n")).cast("int").alias("no"),
         )
 
-    each = F.transform(common, compare)
-    total = lambda f, t="int": F.aggregate(F.transform(each, lambda e: e[f]), F.lit(0).cast(t), lambda s, x: s + x)
-    n = F.size(common)
-    exact, ic, io, nc, no = (total(f) for f in ("exact", "ic", "io", "nc", "no"))
-    scores = F.transform(each, lambda e: e["j"])
+    return F.transform(F.array_intersect(F.map_keys(a), F.map_keys(b)), compare)
+
+
+def compared_sums(each: Column) -> Column:
+    """The totals of ``compared_attributes`` in one pass over its elements."""
+    counts = ("exact", "ic", "io", "nc", "no")
+    zero = F.struct(*(F.lit(0).alias(c) for c in counts), F.lit(0.0).alias("j"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    add = lambda s, e: F.struct(*((s[c] + e[c]).alias(c) for c in counts), (s["j"] + e["j"]).alias("j"), F.least(s["lo"], e["j"]).alias("lo"), F.greatest(s["hi"], e["j"]).alias("hi"))
+    return F.aggregate(each, zero, add)
+
+
+def aligned_attributes(a: Column, b: Column, n: Column, sums: Column) -> dict[str, Column]:
+    """The 17 aligned-attribute features from both maps, their number of shared keys and ``compared_sums``."""
+    exact, ic, io, nc, no = (sums[c] for c in ("exact", "ic", "io", "nc", "no"))
     values = {
         "key_count_min": F.least(F.size(a), F.size(b)), "key_count_max": F.greatest(F.size(a), F.size(b)), "key_common": n,
-        "key_jaccard": ratio(n, F.size(F.array_union(keys_a, keys_b))), "value_exact": exact, "value_exact_rate": ratio(exact, n),
-        "value_conflict": n - exact, "value_conflict_rate": ratio(n - exact, n), "token_jaccard_mean": ratio(total("j", "double"), n),
-        "token_jaccard_min": F.coalesce(F.array_min(scores), F.lit(0.0)), "token_jaccard_max": F.coalesce(F.array_max(scores), F.lit(0.0)),
+        "key_jaccard": ratio(n, F.size(a) + F.size(b) - n), "value_exact": exact, "value_exact_rate": ratio(exact, n),
+        "value_conflict": n - exact, "value_conflict_rate": ratio(n - exact, n), "token_jaccard_mean": ratio(sums["j"], n),
+        "token_jaccard_min": F.coalesce(sums["lo"], F.lit(0.0)), "token_jaccard_max": F.coalesce(sums["hi"], F.lit(0.0)),
         "identifier_common": ic, "identifier_overlap": io, "identifier_conflict": ic - io, "numeric_common": nc, "numeric_overlap": no, "numeric_conflict": nc - no,
     }
-    return F.struct(*(v.cast("double").alias(f"aligned_attribute_{k}") for k, v in values.items()))
+    return {f"aligned_attribute_{k}": v.cast("double") for k, v in values.items()}
 
 
 def normalized_idf(n: Column, df: Column) -> Column:

@@ -33,7 +33,8 @@ def prepared_items(items: DataFrame, ngram: int = 3) -> DataFrame:
     attributes = T.attribute_map(F.col("remaining_attributes"))
     facts = S.attribute_facts(attributes, lambda v: T.tokens(T.plain(v)), T.identifier_tokens, lambda v: T.numeric_tokens(T.plain(v)))
     fields = F.struct(*(T.tokens(F.col(f"{f}_norm")).alias(f) for f in PAIR_FIELDS))
-    return items.withColumns({"name_tokens": T.tokens(F.col("name_norm")), "name_grams": T.char_ngrams(F.col("name_norm"), ngram), "attribute_facts": facts, "field_tokens": fields})
+    forms = F.struct(*(T.identifier_form(F.col(f"{f}_norm")).alias(f) for f in ("model", "article")))
+    return items.withColumns({"identifier_forms": forms, "name_tokens": T.tokens(F.col("name_norm")), "name_grams": T.char_ngrams(F.col("name_norm"), ngram), "attribute_facts": facts, "field_tokens": fields})
 
 
 def join_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def _field_features() -> dict[str, Column]:
             out[f"{f}_{name}"] = value
         out[f"{f}_token_jaccard"] = S.jaccard(F.col(f"left.field_tokens.{f}"), F.col(f"right.field_tokens.{f}"))
         if f in ("model", "article"):
-            out[f"{f}_identifier_equal"] = S.flag((a != "") & (b != "") & (T.identifier_form(a) == T.identifier_form(b)))
+            out[f"{f}_identifier_equal"] = S.flag((a != "") & (b != "") & (F.col(f"left.identifier_forms.{f}") == F.col(f"right.identifier_forms.{f}")))
         if f == "brand":
             ta, tb = F.col("left.brand_translit"), F.col("right.brand_translit")
             out["brand_translit_equal"] = S.flag((ta != "") & (ta == tb))
@@ -81,13 +82,14 @@ def features(joined: DataFrame, tolerance: float = 0.015) -> DataFrame:
     keys = [c for c in KEYS if c in joined.columns]
     lo, hi = (f("left.attribute_count", "right.attribute_count").cast("double") for f in (F.least, F.greatest))
     counts = {"attribute_count_min": lo, "attribute_count_max": hi, "attribute_count_difference": hi - lo, "attribute_count_ratio": lo / F.greatest(hi, F.lit(1.0))}
-    one = joined.select(
-        "*", S.measurement_block(F.col("left.measurements"), F.col("right.measurements"), tolerance).alias("__m"),
-        S.aligned_attributes(F.col("left.attribute_facts"), F.col("right.attribute_facts")).alias("__a"))
+    sides = F.col("left.attribute_facts"), F.col("right.attribute_facts")
+    one = joined.withColumn("__each", S.compared_attributes(*sides))
+    one = one.withColumns({"__m": S.measurement_block(F.col("left.measurements"), F.col("right.measurements"), tolerance), "__n": F.size("__each"), "__s": S.compared_sums(F.col("__each"))})
     plain = {**name_features(), **_set_features("identifier"), **_set_features("numeric"), **counts, **_field_features()}
     measured = {"measurement_common_types": "common", "measurement_compatible_types": "compatible", "measurement_conflict_types": "conflict", "measurement_min_relative_diff": "difference"}
+    aligned = S.aligned_attributes(*sides, F.col("__n"), F.col("__s"))
     return one.select(*keys, S.pair_category(F.col("left.category"), F.col("right.category")).alias("category"), *(v.alias(k) for k, v in plain.items()),
-                      *(F.col(f"__m.{v}").alias(k) for k, v in measured.items()), "__a.*")
+                      *(F.col(f"__m.{v}").alias(k) for k, v in measured.items()), *(v.alias(k) for k, v in aligned.items()))
 
 
 def prepare_pairs(pairs: DataFrame, items: DataFrame, text_only: bool = False) -> DataFrame:
