@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,11 +27,23 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from matchloom.llm.common import Bounded, slices
+from matchloom.llm.common import Numbers, slices
 
-#: Fixed value: how byte-level vocabularies split text. White space is Unicode White_Space.
-_SPACE = r"\t-\r\x20\x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Pieces after which a worker's cache is emptied.
+PIECES = 300_000
+
+#: How byte-level vocabularies split text. White space is Unicode White_Space.
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _pattern(space: str, letter: str, number: str) -> str:
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+
+
+PATTERN = _pattern(_SPACE, r"\p{L}", r"\p{N}")
+#: The same split for texts up to U+017F, where the classes are short lists.
+LATIN_PATTERN = _pattern(r"\t-\r\x20\x85\xa0", "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be")
+_BEYOND_LATIN = re.compile("[^\x00-\u017f]").search
 
 
 def byte_symbols() -> dict[str, int]:
@@ -61,9 +74,9 @@ class ByteBPE:
             self.rank.setdefault(pair, len(self.made))
             self.made.append(vocab[left + right])
             self.pair_at.append(pair)
-        self.split = regex.compile(PATTERN).findall
+        self.split_any, self.split_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self.by_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces: Bounded = Bounded()
+        self.pieces = Numbers()
 
     def merge_all(self, pieces: list[str]) -> list[bytes]:
         """The ids of every piece, little-endian unsigned 32-bit, by the pair occurrence index."""
@@ -118,18 +131,22 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
-        parts = [self._parts(t) for t in texts]
-        cache = self.pieces
-        new = [p for p in set().union(*parts) if p not in cache]
-        if len(cache) + len(new) > 300_000:
-            cache.clear()
-            new = list(set().union(*parts))
-        new = [p for p in new if p not in self.added]
-        cache.update(zip(new, self.merge_all(new)))
+        pieces = self.pieces
+        number = pieces.__getitem__
+        numbers = [list(map(number, self._parts(t))) for t in texts]
+        found = dict(zip(pieces.new, self.merge_all(pieces.new)))
         for text, i in self.added.items():
-            cache[text] = np.array([i], dtype="<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+            if text in found:
+                found[text] = np.array([i], dtype="<u4").tobytes()
+        pieces.ids += map(found.__getitem__, pieces.new)
+        pieces.new.clear()
+        get = pieces.ids.__getitem__
+        out = [b"".join(map(get, x)) for x in numbers]
+        pieces.forget_beyond(PIECES)
+        return out
+
+    def split(self, text: str) -> list[str]:
+        return self.split_any(text) if _BEYOND_LATIN(text) else self.split_latin(text)
 
     def _parts(self, text: str | None) -> list[str]:
         if not text:
@@ -161,7 +178,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for part in slices(batches):
+        for part in slices(batches, 512):
             found = own.encode_batch(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -186,7 +203,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for part in slices(batches):
+        for part in slices(batches, 512):
             found = own.encode_batch(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([sha(x) for x in found], pa.string()),
