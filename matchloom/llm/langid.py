@@ -35,6 +35,8 @@ from matchloom.plans.durable import materialize
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 PER_LANGUAGE, WORDS, GRAMS = 600, 30_000, 8_000
+#: Languages learned at most, the most frequent ones.
+LANGUAGES = 1000
 #: Words whose evidence counts in full in the score; beyond, evidence is averaged down to as many.
 EVIDENCE = 12
 _WORD = re.compile(r"[^\W\d_]+")
@@ -108,8 +110,13 @@ def training_rows(docs: DataFrame, trainable: Column, id_col: str, text_col: str
     """At most ``per_language`` labelled texts of each language, by the least hash of their id."""
     rows = docs.where(trainable & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     rows = rows.select(rows[id_col].alias("id"), rows[lang_col].alias("lang"), rows[text_col].alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    many = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # The hash below which about eight times as many ids lie as are wanted: so few reach a language's one task, at any size.
+    share = F.least(F.lit(1.0), F.lit(8.0 * per_language) / F.col("n"))
+    low = F.shiftrightunsigned(F.xxhash64("id"), 1).cast("double") <= share * float(2**63)
+    few = rows.select("id", "lang").join(F.broadcast(many), "lang").where(low)
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id")
+    chosen = few.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
     chosen = materialize(chosen.select("id", "lang").distinct(), "language-sample")  # its measured size lets Catalyst decide on the join
     return rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
 
