@@ -47,6 +47,8 @@ from matchloom.plans.durable import materialize
 SIZE, LEAST_SHARE, END = 4096, 64, 2
 #: Words after which a worker's cache is emptied.
 WORDS = 400_000
+#: Chunks at most; their prefix sums are taken in one task a queue.
+MOST_CHUNKS = 1 << 17
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -334,7 +336,7 @@ def schedule(totals: DataFrame, size: int, least_share: int) -> tuple[Schedule |
     return Schedule(tuple(bounds), size), {x: i for i, x in enumerate(names)}
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_share: int = LEAST_SHARE, chunk_tokens: int = 1 << 22, with_ids: bool = True,
+def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_share: int = LEAST_SHARE, chunk_tokens: int = 1 << 20, with_ids: bool = True,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source`` and, ``with_ids``, its ``ids``.
 
@@ -349,7 +351,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_sha
     plan, queues = schedule(rows.groupBy("source").agg(F.sum("n_tokens").alias("n")), size, least_share)
     if plan is None:
         return spark.createDataFrame([], columns)
-    chunks = max(1, plan.total // chunk_tokens)
+    chunks = max(1, min(MOST_CHUNKS, plan.total // chunk_tokens))
     pooled = len(queues)
     queue = F.lit(pooled)
     for name, i in queues.items():

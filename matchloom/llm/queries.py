@@ -99,5 +99,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_longest_match_counts, op8_mixture_packing, op9_toxicity_chain, op10_simhash_blocks)}
 
 
+_TURN = "'<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)"
+
+
+def _mask(turns: str) -> str:
+    size = f"list_transform({turns}, lambda t: length({_TURN}))"
+    at = f"coalesce(list_sum(({size})[1:i - 1]), 0)::BIGINT"
+    span = f"({at} + length(coalesce({turns}[i].role, '')) + 5) || ':' || ({at} + ({size})[i] - 1)"
+    return f"array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant'), lambda i: {span}), ',')"
+
+
+OP1_SQL = f"""WITH s AS (SELECT conv_id // 2 AS pair_id, coalesce(list(DISTINCT {{'turn': turn, 'role': role, 'text': text}}) FILTER (conv_id % 2 = 0), []) AS c, coalesce(list(DISTINCT {{'turn': turn, 'role': role, 'text': text}}) FILTER (conv_id % 2 = 1), []) AS r
+  FROM conversations GROUP BY 1), o AS (SELECT pair_id, list_sort(c) AS c, list_sort(r) AS r, least(len(c), len(r)) AS m FROM s),
+  p AS (SELECT *, list_filter(range(0, m + 1), lambda i: i = m OR c[i + 1].role IS DISTINCT FROM r[i + 1].role OR c[i + 1].text IS DISTINCT FROM r[i + 1].text)[1] AS n FROM o),
+  x AS (SELECT pair_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM p)
+  SELECT pair_id, n::INT AS n_prompt_turns, len(c)::INT AS n_chosen_turns, len(r)::INT AS n_rejected_turns, array_to_string(list_transform(p, lambda t: {_TURN}), '') AS prompt, array_to_string(list_transform(c, lambda t: {_TURN}), '') AS chosen,
+  {_mask('c')} AS chosen_mask, array_to_string(list_transform(r, lambda t: {_TURN}), '') AS rejected, {_mask('r')} AS rejected_mask FROM x"""
+
+_WORD = r"[^\x20\x09-\x0D]"
+OP3_SQL = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS words FROM documents),
+  g AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+  c AS (SELECT DISTINCT doc_id, i + k AS at FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1), (SELECT unnest(range(0, 8)) AS k)), n AS (SELECT doc_id, count(*) AS n_repeat_words FROM c GROUP BY doc_id),
+  l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM w),
+  m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_bangs, length(regexp_replace(text, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS n_letters,
+    len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutters FROM l LEFT JOIN n USING (doc_id)),
+  b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 3 * n_words)::BIGINT
+    + 32 * (word_chars > 12 * n_words)::BIGINT + 64 * (10 * n_letters < 6 * word_chars)::BIGINT + 128 * (5 * n_bangs > n_words)::BIGINT + 256 * (10 * n_stutters > 3 * n_words)::BIGINT AS failed_bits FROM m)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 > 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can express; tests hold the others against brute force, a round trip or held-out accuracy."""
+    return {"op1_preference_pairs": OP1_SQL, "op3_quality_ledger": OP3_SQL}
