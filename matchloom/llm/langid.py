@@ -57,8 +57,8 @@ class Model:
         known = self.words.get(word)
         if known is not None:
             return known
-        padded = f" {word} "
         for n in ORDERS:
+            padded = f" {word} " if n > 1 else word
             found = [v for i in range(len(padded) - n + 1) if (v := self.grams.get(padded[i : i + n])) is not None]
             if found:
                 return tuple(sum(x) / len(found) for x in zip(*found))
@@ -139,9 +139,10 @@ def fit(counts: list[tuple[str, str, int]], grams: int = GRAMS) -> Model:
     place = {x: i for i, x in enumerate(languages)}
     tables: list[dict[str, list[int]]] = [defaultdict(lambda: [0] * len(languages)) for _ in range(max(ORDERS) + 1)]
     for lang, word, n in counts:
-        at, padded = place[lang], f" {word} "
+        at = place[lang]
         tables[0][word][at] += n
         for size in ORDERS:
+            padded = f" {word} " if size > 1 else word
             for i in range(len(padded) - size + 1):
                 tables[size][padded[i : i + size]][at] += n
     logs = []
