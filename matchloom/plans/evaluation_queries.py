@@ -53,7 +53,7 @@ def macro_ap_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("roc_auc", f"""WITH {SCORED}, r AS (SELECT category, target, rank() OVER (PARTITION BY category ORDER BY score) + (count(*) OVER (PARTITION BY category, score) - 1) / 2.0 AS rk FROM scored)
   SELECT category, sum((target > 0.5)::INT) AS positives, sum((target <= 0.5)::INT) AS negatives,
-  round((sum(rk) FILTER (target > 0.5) - sum((target > 0.5)::INT) * (sum((target > 0.5)::INT) + 1) / 2.0) / (sum((target > 0.5)::INT) * sum((target <= 0.5)::INT)), 6) AS auc FROM r GROUP BY category""")
+  round((sum(rk) FILTER (target > 0.5) - sum((target > 0.5)::INT) * (sum((target > 0.5)::INT) + 1) / 2.0) / nullif(sum((target > 0.5)::INT) * sum((target <= 0.5)::INT), 0), 6) AS auc FROM r GROUP BY category""")
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.roc_auc(scored(spark, sf_dir), ["category"]), "auc")
 

@@ -26,12 +26,13 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("novel_holdout", f"""WITH {LABELLED}, {SEEN}, e AS (SELECT DISTINCT id1, id2, target, category FROM labelled WHERE {_UNSEEN}), c AS (SELECT category FROM e GROUP BY 1 HAVING count(DISTINCT target) = 2),
   f AS (SELECT * FROM e WHERE category IN (SELECT category FROM c)), s AS (SELECT category, target, count(*) AS n FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category, target ORDER BY md5(concat_ws('|', id1, id2, 3)), id1, id2) AS rk FROM f)
-  SELECT id1, id2, target, category, row_number() OVER (ORDER BY category, target, id1, id2) - 1 AS row_id FROM r WHERE rk <= 20""")
+  SELECT id1, id2, target, category, row_number() OVER (ORDER BY category, target, id1, id2) - 1 AS row_id FROM r WHERE rk <= (SELECT least(20, min(n)) FROM s)""")
 def novel_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many rows as give every stratum twenty: the quotas are then equal, which SQL can say."""
+    """As many rows as give every stratum as many as the smallest has, twenty at most: the quotas are then equal, which SQL can say."""
     eligible = B.unseen_pairs(labelled(spark, sf_dir), seen_ids(spark, sf_dir))
-    strata = eligible.groupBy("category").agg(F.countDistinct("target").alias("n")).where("n = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return B.novel_holdout(labelled(spark, sf_dir), seen_ids(spark, sf_dir), max(1, 20 * strata), 3).select("id1", "id2", "target", "category", "row_id")
+    both = eligible.distinct().groupBy("category").agg(*(F.sum((F.col("target") == t).cast("int")).alias(n) for t, n in ((0.0, "m"), (1.0, "p")))).where("m > 0 and p > 0")
+    size, least = both.agg(F.count("*"), F.min(F.least("m", "p"))).first()
+    return B.novel_holdout(labelled(spark, sf_dir), seen_ids(spark, sf_dir), max(1, 2 * size * min(20, least or 0)), 3).select("id1", "id2", "target", "category", "row_id")
 
 
 @query("natural_rate_proxy", f"""WITH {VOTES}, {SEEN}, e AS (SELECT DISTINCT id1, id2, (round(target * 9)::INT = 9)::INT::DOUBLE AS target, category FROM votes WHERE {_UNSEEN}), c AS (SELECT category FROM e GROUP BY 1 HAVING count(DISTINCT target) = 2)
