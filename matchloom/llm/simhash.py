@@ -27,7 +27,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -123,13 +123,13 @@ def links(distinct_fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` for every distinct fingerprint of ``(doc_id, fp)`` rows."""
+    """``(fp, component, component_id)`` for every distinct fingerprint of ``(doc_id, fp)`` rows; ``component`` is its least fingerprint."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = connected_components(links(distinct.select("fp")))
     joined = distinct.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left")
     joined = joined.withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return joined.join(least, "component").select("fp", "component_id")
+    return joined.join(least, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,12 +143,24 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs``, all columns kept, of which one stays for each component.
 
     The row with the component's least id stays; of rows that share that id, the one
-    whose text has the least hash. Only ids travel through the grouping.
+    whose text has the least hash. A component without any id keeps its row with the least hash.
+    Ids travel through the grouping, texts only through the last join, once: it and
+    the choice among rows of one id are dealt by the same key.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
-    keep = components(prints).select(F.col("component_id").alias("__kept_id")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(docs[id_col]).orderBy(F.xxhash64(docs[text_col]), docs[text_col])
-    return kept.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+    found = materialize(components(prints), "simhash-components")
+    keep = found.where("component_id is not null").select(F.col("component_id").alias("__id")).distinct()
+    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text_col)), F.col(text_col)))
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
+    named = named.join(keep, "__id", "left_semi").withColumn("__rank", first("__id")).where("__rank = 1")
+    fingerprint = F.pandas_udf(_fingerprint_series, "long").asNondeterministic()
+    orphans = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint(F.col(text_col).cast("string")))
+    alone = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("component").alias("__component"))
+    orphans = orphans.join(alone, "__fp").withColumn("__rank", first("__component")).where("__rank = 1")
+    return named.select(*docs.columns).unionByName(orphans.select(*docs.columns))
+
+
+def _fingerprint_series(texts):  # noqa: ANN001, ANN202
+    import pandas as pd
+
+    return pd.Series([simhash64(t) for t in texts], dtype="int64")
