@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.metrics import with_average_rank
+from matchloom.operators.ordering import numbered
 
 
 def require_finite(df: DataFrame, *columns: str) -> None:
@@ -28,7 +29,8 @@ def percentile_rank(df: DataFrame, score: str = "text_score", by: tuple[str, ...
 def cascade_select(df: DataFrame, threshold: float, fraction: float, score: str = "score", row: str = "row_id") -> DataFrame:
     """At most ``floor(fraction * rows)`` rows at or above the threshold, by descending score, then row; ``fraction`` counts all rows."""
     most = int(fraction * df.count())
-    return df.where(F.col(score) >= threshold).orderBy(F.desc(score), row).limit(most)
+    ranked = numbered(df.where(F.col(score) >= threshold), [F.desc(score), F.asc(row)], "__place")
+    return ranked.where(F.col("__place") < most).drop("__place")
 
 
 def cascade_fill(df: DataFrame, expensive: DataFrame, fill: str = "substitute", score: str = "score", row: str = "row_id", value: str = "expensive_score", out: str = "second_score") -> DataFrame:
