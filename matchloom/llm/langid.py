@@ -22,14 +22,14 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Bounded, slices
+from matchloom.llm.common import slices
 from matchloom.plans.durable import materialize
 
 UNKNOWN = "und"
@@ -37,6 +37,8 @@ ORDERS = (5, 4, 3, 2, 1)
 PER_LANGUAGE, WORDS, GRAMS = 600, 30_000, 8_000
 #: Languages learned at most, the most frequent ones.
 LANGUAGES = 1000
+#: Words that a worker's cache holds before it starts anew.
+CACHED = 200_000
 #: Words whose evidence counts in full in the score; beyond, evidence is averaged down to as many.
 EVIDENCE = 12
 _WORD = re.compile(r"[^\W\d_]+")
@@ -45,66 +47,59 @@ _JAVA_WORD = r"[\p{L}]+"
 
 @dataclass
 class Model:
+    """Log frequencies by language: a row of ``table`` for every known word and n-gram."""
+
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
-    key: str = ""
-    _cache: Bounded = field(default_factory=Bounded, repr=False)
-    _rows: list = field(default_factory=list, repr=False)
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
+
+    def __post_init__(self) -> None:
+        self._numbers: dict[str, int] = {}
+        self._cached = np.zeros((1024, len(self.languages)), dtype=np.float32)
 
-    def vector(self, word: str) -> tuple[float, ...]:
+    def vector(self, word: str) -> np.ndarray:
         """Log frequency by language: of the word, else of its longest known n-grams."""
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.table[known]
         for n in ORDERS:
             padded = f" {word} " if n > 1 else word
             found = [v for i in range(len(padded) - n + 1) if (v := self.grams.get(padded[i : i + n])) is not None]
             if found:
-                return tuple(sum(x) / len(found) for x in zip(*found))
-        return (0.0,) * len(self.languages)
+                return self.table[found].mean(axis=0) if len(found) > 1 else self.table[found[0]]
+        return np.zeros(len(self.languages), dtype=np.float32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Number the words that the cache does not know; a full cache starts anew."""
+        new = {w for w in words if w not in self._numbers}
+        if len(self._numbers) + len(new) > CACHED:
+            self._numbers.clear()
+            new = set(words)
+        need = len(self._numbers) + len(new)
+        if need > len(self._cached):
+            grown = np.zeros((2 * need, len(self.languages)), dtype=np.float32)
+            grown[: len(self._cached)] = self._cached
+            self._cached = grown
+        for w in new:
+            n = self._numbers[w] = len(self._numbers)
+            self._cached[n] = self.vector(w)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
         if not self.languages or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        cache, rows = self._cache, self._rows
         try:
-            at = [cache[w] for w in words]
+            at = [self._numbers[w] for w in words]
         except KeyError:
-            new = {w for w in words if w not in cache}
-            if len(cache) + len(new) > 300_000:
-                cache.clear()
-                rows.clear()
-                self._matrix = None
-                new = set(words)
-            for w in new:
-                cache[w] = len(rows)
-                rows.append(self.vector(w))
-            at = [cache[w] for w in words]
-        total = self._table()[at].sum(axis=0)
+            self._learn(words)
+            at = [self._numbers[w] for w in words]
+        total = self._cached[at].sum(axis=0, dtype=np.float64)
         total *= min(1.0, EVIDENCE / len(words))
         best = int(np.argmax(total))
         share = float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum())
         return self.languages[best], min(1.0, max(0.0, share))
 
-    _matrix = None
-
-    def _table(self) -> np.ndarray:
-        """The cached vectors as an array that grows by doubling."""
-        have, need = (0 if self._matrix is None else self._used), len(self._rows)
-        if self._matrix is None or need > len(self._matrix):
-            grown = np.zeros((max(1024, 2 * need), len(self.languages)))
-            if have:
-                grown[:have] = self._matrix[:have]
-            self._matrix = grown
-        if need > have:
-            self._matrix[have:need] = self._rows[have:need]
-        self._used = need
-        return self._matrix
-
-    _used = 0
-
 
 def training_rows(docs: DataFrame, trainable: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
     """At most ``per_language`` labelled texts of each language, by the least hash of their id."""
@@ -145,22 +140,25 @@ def fit(counts: list[tuple[str, str, int]], grams: int = GRAMS) -> Model:
             padded = f" {word} " if size > 1 else word
             for i in range(len(padded) - size + 1):
                 tables[size][padded[i : i + size]][at] += n
-    logs = []
+    rows: list[list[float]] = []
+    known: list[dict[str, int]] = []
     for size, items in enumerate(tables):
         whole = [sum(v[i] for v in items.values()) for i in range(len(languages))]
-        kept = items.items()
+        kept = sorted(items)
         if size:
             best = [sorted(items, key=lambda k, i=i: (-items[k][i], k))[:grams] for i in range(len(languages))]
-            kept = [(k, items[k]) for k in sorted(set().union(*best))]
-        logs.append({k: tuple(math.log((n + 0.5) / (t + 0.5 * len(items))) for n, t in zip(v, whole)) for k, v in kept})
-    return Model(languages, logs[0], {k: v for n in ORDERS for k, v in logs[n].items()})
+            kept = sorted(set().union(*best))
+        known.append({k: len(rows) + i for i, k in enumerate(kept)})
+        rows += [[math.log((n + 0.5) / (t + 0.5 * len(items))) for n, t in zip(items[k], whole)] for k in kept]
+    table = np.array(rows, dtype=np.float32).reshape(len(rows), len(languages))
+    return Model(languages, known[0], {k: v for n in ORDERS for k, v in known[n].items()}, table)
 
 
 def _predictor(model: Model):  # noqa: ANN202
     """A function of Arrow batches ``(id, text)``; the model travels as a broadcast."""
     from pyspark.sql import SparkSession
 
-    held = SparkSession.active().sparkContext.broadcast((model.languages, model.words, model.grams))
+    held = SparkSession.active().sparkContext.broadcast((model.languages, model.words, model.grams, model.table))
     local: dict = {}
 
     def own() -> Model:

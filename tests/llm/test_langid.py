@@ -44,10 +44,11 @@ def test_held_out_accuracy_and_edge_cases(spark):
 
 def test_unseen_words_back_off_to_ever_shorter_grams():
     model = langid.fit([("xx", "kala", 9), ("xx", "mira", 5), ("yy", "grünz", 7)])
-    assert model.vector("kala") == model.words["kala"]
-    assert model.vector("kalax") == model.grams[" kala"]  # of its 5-grams only this one is known
-    assert "xkalx" not in model.words and model.vector("qqü") == model.grams["ü"]
-    assert model.vector("ж") == (0.0, 0.0) and " " not in model.grams
+    same = lambda word, row: model.vector(word).tolist() == model.table[row].tolist()
+    assert same("kala", model.words["kala"])
+    assert same("kalax", model.grams[" kala"])  # of its 5-grams only this one is known
+    assert "xkalx" not in model.words and same("qqü", model.grams["ü"])
+    assert model.vector("ж").tolist() == [0.0, 0.0] and " " not in model.grams
     assert model.predict("kalak")[0] == "xx" and model.predict("zgrün")[0] == "yy"
 
 
@@ -61,11 +62,12 @@ def test_sample_bound_and_no_labels(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
-def test_cache_changes_nothing():
-    model = langid.fit([("xx", "kala", 9), ("yy", "grünz", 7)])
+def test_cache_changes_nothing(monkeypatch):
     texts = ["kala grünz neu", "ganz andere worte", "kala"] * 3
+    counts = [("xx", "kala", 9), ("yy", "grünz", 7)]
+    model = langid.fit(counts)
     first = [model.predict(t) for t in texts]
-    model._cache.clear()
-    model._rows.clear()
-    model._matrix = None
-    assert [model.predict(t) for t in texts] == first
+    monkeypatch.setattr(langid, "CACHED", 1)
+    assert [langid.fit(counts).predict(t) for t in texts] == first
+    small = langid.fit(counts)
+    assert [small.predict(t) for t in texts] == first
