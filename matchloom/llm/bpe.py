@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from matchloom.llm.common import Numbers, slices
 
 #: Pieces after which a worker's cache is emptied.
-PIECES = 300_000
+PIECES = 400_000
 
 #: How byte-level vocabularies split text. White space is Unicode White_Space.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
