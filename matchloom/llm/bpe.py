@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from matchloom.llm.common import Numbers, slices
+from matchloom.llm.common import Numbers, map_batches, slices
 
 #: Pieces after which a worker's cache is emptied.
 PIECES = 400_000
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return map_batches(rows, run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -194,7 +194,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(x or b"") for x in part.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return rows.select(rows[id_col].alias("doc_id"), rows[ids_col].alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return map_batches(rows.select(rows[id_col].alias("doc_id"), rows[ids_col].alias("ids")), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,4 +212,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a Python worker turns into Python objects at a time; bounds its memory.
 SLICE = 256
+#: Bytes of texts that travel to or from a Python worker at a time.
+BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: Entries of a worker's word cache before it is emptied; bounds its memory.
 CACHE = 300_000
 
@@ -23,9 +25,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def map_rows(df: DataFrame, columns: list[str], function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over the named columns only, so other columns never leave the JVM."""
-    return df.select(*(df[c] for c in columns)).mapInArrow(function, schema)
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_BYTES``, whatever the texts' lengths (but one text is never split)."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes a batch, so that a worker's memory does not follow the texts' lengths."""
+    if spark.conf.get(BYTES, "64m") != BATCH_BYTES:
+        spark.conf.set(BYTES, BATCH_BYTES)
 
 
 def word_bytes(text: str | None) -> list[bytes]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from matchloom.llm.common import slices
+from matchloom.llm.common import map_batches, slices
 from matchloom.plans.durable import materialize
 
 MIN_PAGES, MIN_SHARE = 8, 0.005
@@ -262,7 +262,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 names=["key", "host", "seen", "matter"],
             )
 
-    rows = pages.select("key", host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "key long, host string, seen array<long>, matter array<long>")
+    rows = map_batches(pages.select("key", host_of(F.col("url")).alias("host"), "html"), run, "key long, host string, seen array<long>, matter array<long>")
     rows = materialize(rows, "html-subtrees")
     counts = rows.select("host", F.explode("seen").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     sites = rows.groupBy("host").agg(F.count("*").alias("pages"))
@@ -284,4 +284,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = rows.join(hits, "key", "left").select("page_id", "url", "html", "hashes")
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_batches(joined, run, f"page_id {kind}, url string, text string, n_chars long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices
+from matchloom.llm.common import SLICE, bound_batches, map_batches, slices
 from matchloom.plans.durable import materialize
 
 UNKNOWN = "und"
@@ -181,18 +181,19 @@ def _predictor(model: Model):  # noqa: ANN202
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every row."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_predictor(model)[1], "doc_id long, lang_pred string, score double")
+    return map_batches(rows, _predictor(model)[1], "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has an identified language with enough confidence, all columns kept."""
     own, _ = _predictor(model)
 
-    @F.pandas_udf("boolean")
-    def sure(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        mine = own()
-        return pd.Series([lang != UNKNOWN and score >= least for lang, score in map(mine.predict, texts)], dtype=bool)
+    def confident(texts: pa.Array) -> pa.Array:
+        mine, said = own(), []
+        for at in range(0, len(texts), SLICE):
+            said += [lang != UNKNOWN and score >= least for lang, score in map(mine.predict, texts.slice(at, SLICE).to_pylist())]
+        return pa.array(said, pa.bool_())
 
+    bound_batches(docs.sparkSession)
+    sure = F.arrow_udf(confident, "boolean")
     return docs.where(sure(docs[text_col].cast("string")))

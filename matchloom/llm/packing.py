@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.bpe import byte_symbols
-from matchloom.llm.common import Numbers, slices
+from matchloom.llm.common import Numbers, map_batches, slices
 from matchloom.plans.durable import materialize
 
 SIZE, LEAST_SHARE, END = 4096, 64, 2
@@ -241,7 +241,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary")
+    return map_batches(rows, run, "doc_id long, source string, n_tokens long, ids binary")
 
 
 @dataclass(frozen=True)
@@ -379,7 +379,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_sha
                     [pa.array(x, t) for x, t in zip(zip(*out), types)], names=[x.split()[0] for x in columns.split(", ")]
                 )
 
-    return placed.mapInArrow(cut, columns)
+    return map_batches(placed, cut, columns)
 
 
 def encoder_kind(path: str) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import map_rows, slices, word_bytes
+from matchloom.llm.common import SLICE, bound_batches, map_batches, slices, word_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_letters", "n_stutters")
 #: Rule name, and the SQL condition on the measurements under which a text fails. Order is bit order; append only.
@@ -99,9 +99,17 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _measured_array(texts: pa.Array) -> pa.Array:
+    columns: list[list[int]] = [[] for _ in MEASURES]
+    for at in range(0, len(texts), SLICE):
+        for column, values in zip(columns, zip(*map(measure, texts.slice(at, SLICE).to_pylist()))):
+            column += values
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))
+
+
 def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     ids = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_rows(ids, ["doc_id", "text"], _measured, "doc_id long, " + ", ".join(f"{x} long" for x in MEASURES))
+    return map_batches(ids, _measured, "doc_id long, " + ", ".join(f"{x} long" for x in MEASURES))
 
 
 def failure_bits() -> Column:
@@ -153,16 +161,8 @@ def verdict(text: str | None, version: str = CURRENT) -> bool:
 
 def keep_good(docs: DataFrame, text_col: str = "text", version: str = CURRENT) -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with all their columns."""
-    from pyspark.sql.functions import pandas_udf
-
-    schema = ", ".join(f"{x} long" for x in MEASURES)
-
-    @pandas_udf(schema)
-    def measured(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
-
+    bound_batches(docs.sparkSession)
+    measured = F.arrow_udf(_measured_array, ", ".join(f"{x} long" for x in MEASURES))
     values = docs.withColumn("__m", measured(docs[text_col].cast("string")))
     failed = F.lit(False)
     for name, condition in RULES:

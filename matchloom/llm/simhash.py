@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from matchloom.llm.common import map_rows, slices
+from matchloom.llm.common import map_batches, slices
 from matchloom.operators.graph import connected_components
 from matchloom.plans.durable import materialize
 
@@ -73,7 +73,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)`` with the fingerprint as a signed long."""
     ids = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_rows(ids, ["doc_id", "text"], _fingerprints, "doc_id long, fp long")
+    return map_batches(ids, _fingerprints, "doc_id long, fp long")
 
 
 def _block(fp: Column, i: int) -> Column:
@@ -153,14 +153,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text_col)), F.col(text_col)))
     named = docs.where(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
     named = named.join(keep, "__id", "left_semi").withColumn("__rank", first("__id")).where("__rank = 1")
-    fingerprint = F.pandas_udf(_fingerprint_series, "long").asNondeterministic()
+    fingerprint = F.arrow_udf(_fingerprint_array, "long").asNondeterministic()
     orphans = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint(F.col(text_col).cast("string")))
     alone = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("component").alias("__component"))
     orphans = orphans.join(alone, "__fp").withColumn("__rank", first("__component")).where("__rank = 1")
     return named.select(*docs.columns).unionByName(orphans.select(*docs.columns))
 
 
-def _fingerprint_series(texts):  # noqa: ANN001, ANN202
-    import pandas as pd
-
-    return pd.Series([simhash64(t) for t in texts], dtype="int64")
+def _fingerprint_array(texts: pa.Array) -> pa.Array:
+    return pa.array([simhash64(t.as_py()) for t in texts], pa.int64())

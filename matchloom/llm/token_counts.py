@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from matchloom.llm.bpe import byte_symbols
-from matchloom.llm.common import Bounded, slices, word_bytes
+from matchloom.llm.common import Bounded, map_batches, slices, word_bytes
 
 MARK = b"\x20"
 
@@ -123,4 +123,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return map_batches(rows, run, "doc_id long, n_words long, n_tokens long")

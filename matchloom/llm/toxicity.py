@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices
+from matchloom.llm.common import map_batches, slices
 
 TRAIN_ROWS, FEATURES, FOLDS, RIDGE, LEAST_TEXTS = 20_000, 256, 3, 1.0, 4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
             values = [np.array([strength(n) for _, n in x], dtype="<f4").tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary()), pa.array(values, pa.binary()), *part.columns[2:]], names=["h", "words", "strengths", *names])
 
-    found = texts.select("__h", "__text", *names).mapInArrow(run, "h long, words binary, strengths binary, " + ", ".join(f"{x} int" for x in names))
+    found = map_batches(texts.select("__h", "__text", *names), run, "h long, words binary, strengths binary, " + ", ".join(f"{x} int" for x in names))
     held = sorted(found.collect(), key=lambda r: (r["h"], r["words"]))
     sets = [(np.frombuffer(r["words"], dtype="<u4"), np.frombuffer(r["strengths"], dtype="<f4")) for r in held]
     values = np.array([[r[x] for x in names] for r in held], dtype=float).reshape(len(held), len(names))
@@ -208,4 +208,4 @@ def predict(docs: DataFrame, chain: list[Link], names: list[str], id_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *(f"p_{x}" for x in names)])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{x} double" for x in names))
+    return map_batches(rows, run, "doc_id long, " + ", ".join(f"p_{x} double" for x in names))
