@@ -46,14 +46,14 @@ def macro_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(per, "ap")
 
 
-@query("macro_ap_total", f"WITH {SCORED} SELECT count(*) AS categories, sum((positives = 0)::INT) AS without_positives, round(avg(ap), 6) AS macro_ap FROM {ap_sql('scored', 'score')}")
+@query("macro_ap_total", f"WITH {SCORED} SELECT count(*) AS categories, sum((positives = 0)::INT) AS without_positives, round(avg(ap), 6) AS macro_ap FROM {ap_sql('scored', 'score')}", bigint="without_positives")
 def macro_ap_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.macro_average_precision(scored(spark, sf_dir)), "macro_ap")
 
 
 @query("roc_auc", f"""WITH {SCORED}, r AS (SELECT category, target, rank() OVER (PARTITION BY category ORDER BY score) + (count(*) OVER (PARTITION BY category, score) - 1) / 2.0 AS rk FROM scored)
   SELECT category, sum((target > 0.5)::INT) AS positives, sum((target <= 0.5)::INT) AS negatives,
-  round((sum(rk) FILTER (target > 0.5) - sum((target > 0.5)::INT) * (sum((target > 0.5)::INT) + 1) / 2.0) / nullif(sum((target > 0.5)::INT) * sum((target <= 0.5)::INT), 0), 6) AS auc FROM r GROUP BY category""")
+  round((sum(rk) FILTER (target > 0.5) - sum((target > 0.5)::INT) * (sum((target > 0.5)::INT) + 1) / 2.0) / nullif(sum((target > 0.5)::INT) * sum((target <= 0.5)::INT), 0), 6) AS auc FROM r GROUP BY category""", bigint="positives negatives")
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.roc_auc(scored(spark, sf_dir), ["category"]), "auc")
 
@@ -77,7 +77,7 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("top_overlap", f"""WITH {SCORED}, r AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY score DESC, row_id) AS a, row_number() OVER (PARTITION BY category ORDER BY other DESC, row_id) AS b,
   ceil(count(*) OVER (PARTITION BY category) * 0.1::DOUBLE)::BIGINT AS take FROM scored)
-  SELECT category, max(take) AS take, sum((a <= take AND b <= take)::INT) AS shared, sum((a <= take OR b <= take)::INT) AS united, round(sum((a <= take AND b <= take)::INT)::DOUBLE / sum((a <= take OR b <= take)::INT), 6) AS overlap FROM r GROUP BY category""")
+  SELECT category, max(take) AS take, sum((a <= take AND b <= take)::INT) AS shared, sum((a <= take OR b <= take)::INT) AS united, round(sum((a <= take AND b <= take)::INT)::DOUBLE / sum((a <= take OR b <= take)::INT), 6) AS overlap FROM r GROUP BY category""", bigint="shared united")
 def top_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.top_overlap(scored(spark, sf_dir), "score", "other", "row_id", ["category"], 0.1), "overlap")
 
@@ -92,7 +92,7 @@ def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("histogram_overlap", f"""WITH {_TWO}, e AS (SELECT list_distinct(quantile_cont(score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM two),
   p AS (SELECT source, len(edges) AS edges, least(len(list_filter(edges, lambda x: x <= score)), len(edges) - 1) AS bin FROM two, e),
   s AS (SELECT edges, source, bin, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source) AS share FROM p GROUP BY edges, source, bin),
-  m AS (SELECT edges, bin, CASE WHEN count(*) = 2 THEN min(share) ELSE 0 END AS share FROM s GROUP BY edges, bin) SELECT edges, round(sum(share), 6) AS overlap FROM m GROUP BY edges""")
+  m AS (SELECT edges, bin, CASE WHEN count(*) = 2 THEN min(share) ELSE 0 END AS share FROM s GROUP BY edges, bin) SELECT edges, round(sum(share), 6) AS overlap FROM m GROUP BY edges""", integer="edges")
 def histogram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.histogram_overlap(_two(spark, sf_dir), "score", "source"), "overlap")
 
@@ -141,7 +141,7 @@ def strict_score_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("score_join_faults", """WITH s AS (SELECT doc_id + 1 AS row_id FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id FROM labels) SELECT
   (SELECT count(*) FROM (SELECT row_id FROM s GROUP BY 1 HAVING count(*) > 1)) AS duplicate, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT row_id FROM s)) AS missing,
-  (SELECT count(*) FROM s WHERE row_id NOT IN (SELECT doc_id FROM labels)) AS extra, 0 AS not_finite""")
+  (SELECT count(*) FROM s WHERE row_id NOT IN (SELECT doc_id FROM labels)) AS extra, 0 AS not_finite""", bigint="not_finite")
 def score_join_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
     shape = lambda d: d.select("row_id", F.col("row_id").alias("id1"), F.col("row_id").alias("id2"))
@@ -180,7 +180,7 @@ _DRAWS = f"""sizes AS (SELECT category, count(*) AS n FROM scored GROUP BY categ
 
 
 @query("paired_bootstrap", f"""WITH {SCORED}, {_DRAWS}, a AS (SELECT sample, avg(ap) AS ap FROM {ap_sql('drawn', 'score', 'category, sample', 'weight')} GROUP BY sample), b AS (SELECT sample, avg(ap) AS ap FROM {ap_sql('drawn', 'other', 'category, sample', 'weight')} GROUP BY sample)
-  SELECT sample, round(b.ap - a.ap, 6) AS difference FROM a JOIN b USING (sample)""")
+  SELECT sample, round(b.ap - a.ap, 6) AS difference FROM a JOIN b USING (sample)""", integer="sample")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.paired_bootstrap(scored(spark, sf_dir), "score", "other", samples=_SAMPLES, seed=_SEED), "difference")
 

@@ -10,13 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable:
-    """Register a query, with its SQL where SQL can express it."""
+def query(name: str, sql: str | None = None, **types: str) -> Callable:
+    """Register a query, with its SQL where SQL can express it; ``types`` names columns whose SQL type is to be cast: ``bigint="a b"``."""
 
     def put(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[name] = function
         if sql:
-            ORACLE_SQL[name] = sql
+            casts = ", ".join(f"{c}::{kind} AS {c}" for kind, columns in types.items() for c in columns.split())
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return function
 
     return put

@@ -42,7 +42,7 @@ def natural_rate_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("label_slices", f"""WITH {VOTES}, {SEEN}, k AS (SELECT *, round(target * 9)::INT AS k FROM votes WHERE {_UNSEEN}), s AS (SELECT 'natural' AS slice, * FROM k UNION ALL SELECT 'hard', * FROM k WHERE k IN (4, 5))
-  SELECT slice, category, count(*) AS rows, sum((k >= 5)::INT) AS positives, round(avg((k >= 5)::INT), 6) AS rate FROM s GROUP BY ALL""")
+  SELECT slice, category, count(*) AS rows, sum((k >= 5)::INT) AS positives, round(avg((k >= 5)::INT), 6) AS rate FROM s GROUP BY ALL""", bigint="positives")
 def label_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.label_slices(votes(spark, sf_dir), seen_ids(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
@@ -60,7 +60,7 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("repeated_negatives", f"""WITH {SCORED}, n AS (SELECT * FROM scored WHERE target <= 0.5), q AS (SELECT greatest(1, floor(count(*) * 0.5 / count(DISTINCT category))::BIGINT) AS k FROM n),
-  m AS (SELECT row_id FROM n, q QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, row_id) <= k) SELECT row_id, 1 + 2 * (row_id IN (SELECT row_id FROM m))::INT AS times FROM scored""")
+  m AS (SELECT row_id FROM n, q QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, row_id) <= k) SELECT row_id, 1 + 2 * (row_id IN (SELECT row_id FROM m))::INT AS times FROM scored""", bigint="times")
 def repeated_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
     return B.repeated(rows, B.hard_negatives(rows, 0.5), 2).groupBy("row_id").agg(F.count("*").alias("times"))
@@ -78,7 +78,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("component_degree", f"""WITH {BRAND_EDGES}, d AS (SELECT id, count(*) AS degree FROM (SELECT id1 AS id FROM brand_edges UNION ALL SELECT id2 FROM brand_edges) GROUP BY id)
-  SELECT count(*) AS edges, sum((a.degree = 1 AND b.degree = 1)::INT) AS isolated, sum((least(a.degree, b.degree) = 1)::INT) AS with_leaf, max(greatest(a.degree, b.degree)) AS most FROM brand_edges JOIN d a ON a.id = id1 JOIN d b ON b.id = id2""")
+  SELECT count(*) AS edges, sum((a.degree = 1 AND b.degree = 1)::INT) AS isolated, sum((least(a.degree, b.degree) = 1)::INT) AS with_leaf, max(greatest(a.degree, b.degree)) AS most FROM brand_edges JOIN d a ON a.id = id1 JOIN d b ON b.id = id2""", bigint="isolated with_leaf")
 def component_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.degree_stats(brand_edges(spark, sf_dir))
     return d.agg(F.count("*").alias("edges"), F.sum(F.col("isolated").cast("int")).alias("isolated"), F.sum((F.least("degree1", "degree2") == 1).cast("int")).alias("with_leaf"), F.max(F.greatest("degree1", "degree2")).alias("most"))

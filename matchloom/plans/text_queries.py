@@ -158,7 +158,7 @@ _FIELDS_SQL = ", ".join(
   0.0 + (a.p_size = b.p_size)::INT + (a.material = b.material)::INT + (a.two_brands AND b.two_brands AND a.brand_norm = b.brand_norm)::INT AS aligned_attribute_value_exact,
   round(({_SET.format(a='a.wt', b='b.wt')} + {_SET.format(a='a.mt', b='b.mt')} + CASE WHEN a.two_brands AND b.two_brands THEN {_SET.format(a='a.bt', b='b.bt')} ELSE 0 END) / (2.0 + (a.two_brands AND b.two_brands)::INT), 6) AS aligned_attribute_token_jaccard_mean,
   1.0 + (a.two_brands AND b.two_brands)::INT AS aligned_attribute_numeric_common, 0.0 + (a.p_size = b.p_size)::INT + (a.two_brands AND b.two_brands AND a.brand_norm = b.brand_norm)::INT AS aligned_attribute_numeric_overlap
-  FROM co_ordered JOIN feat a ON a.id = id1 JOIN feat b ON b.id = id2) SELECT * FROM x""")
+  FROM co_ordered JOIN feat a ON a.id = id1 JOIN feat b ON b.id = id2) SELECT * FROM x""", double="attribute_count_min attribute_count_max brand_both article_both color_both size_both quantity_both measurement_common_types aligned_attribute_key_common aligned_attribute_value_exact aligned_attribute_numeric_common aligned_attribute_numeric_overlap")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = P.prepared_items(C.canonicalize(raw_items(spark, sf_dir)))
     made = P.features(P.join_items(co_ordered(spark, sf_dir), items))
