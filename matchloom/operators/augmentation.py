@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity as S
 from matchloom.functions import text as T
-from matchloom.operators.canonical import serialize_pair
+from matchloom.operators.canonical import item_lines, serialize_pair
 from matchloom.operators.graph import connected_components
 from matchloom.operators.metrics import hash_int, hash_key
 from matchloom.operators.pairs import join_items
@@ -130,7 +130,7 @@ def hard_identifier_negatives(pairs: DataFrame, items: DataFrame, least_idf: flo
     top = pairs.agg(F.max("row_id")).first()[0]
     made = made.withColumn("row_id", F.row_number().over(Window.orderBy("source_row_id", "id1", "id2")) + F.lit(top))  # at most ``most`` rows
     keyed = made.select("id1", "id2", "target", "fold", "row_id")
-    joined = join_items(keyed, items)
+    joined = join_items(keyed, items.withColumns(item_lines()))
     a, b = serialize_pair()
     texts = joined.select("row_id", S.pair_category(F.col("left.category"), F.col("right.category")).alias("category"), a.alias("text_a"), b.alias("text_b"))
     return made.join(texts, "row_id").withColumn("is_synthetic", F.lit(True))

@@ -125,8 +125,13 @@ def serialize_item(item: str = "") -> Column:
     return F.concat_ws("\n", *_lines("item", item))
 
 
+def item_lines() -> dict[str, Column]:
+    """An item's lines as either side of a pair: made once an item, so that a pair only joins them."""
+    return {"lines_a": F.concat_ws("\n", *_lines("a", "")), "lines_b": F.concat_ws("\n", *_lines("b", ""))}
+
+
 def serialize_pair(left: str = "left.", right: str = "right.") -> tuple[Column, Column]:
-    """Both texts of a pair whose sides are in ascending order of id, the header on the first only."""
+    """Both texts of a pair of items with ``item_lines``, whose sides are in ascending order of id; the header is on the first only."""
     category = F.when(F.coalesce(F.col(f"{left}category"), F.lit("")) != "", F.col(f"{left}category")).otherwise(F.coalesce(F.col(f"{right}category"), F.lit("")))
     header = F.concat(F.lit("category: "), T.shortened(category, 100))
-    return F.concat_ws("\n", header, *_lines("a", left)), F.concat_ws("\n", *_lines("b", right))
+    return F.concat_ws("\n", header, F.col(f"{left}lines_a")), F.col(f"{right}lines_b")

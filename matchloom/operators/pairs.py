@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity as S
 from matchloom.functions import text as T
-from matchloom.operators.canonical import serialize_pair
+from matchloom.operators.canonical import item_lines, serialize_pair
 from matchloom.schemas import PAIR_FIELDS
 
 KEYS = ("id1", "id2", "target", "fold", "row_id", "is_synthetic")
@@ -95,11 +95,11 @@ def features(joined: DataFrame, tolerance: float = 0.015) -> DataFrame:
 def prepare_pairs(pairs: DataFrame, items: DataFrame, text_only: bool = False) -> DataFrame:
     """Pairs with their texts and, unless ``text_only``, their features; pairs of unknown items are left out (see ``missing_ids``)."""
     if text_only:
-        joined = join_items(pairs, items)
+        joined = join_items(pairs, items.select("id", "category", *(v.alias(k) for k, v in item_lines().items())))
         a, b = serialize_pair()
         keys = [c for c in KEYS if c in joined.columns]
         return joined.select(*keys, S.pair_category(F.col("left.category"), F.col("right.category")).alias("category"), a.alias("text_a"), b.alias("text_b"))
-    joined = join_items(pairs, prepared_items(items))
+    joined = join_items(pairs, prepared_items(items).withColumns(item_lines()))
     a, b = serialize_pair()
     wide = joined.withColumns({"text_a": a, "text_b": b})
     made = features(wide)
