@@ -34,9 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again."""
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again.
+
+    ``narrow`` rows, such as ids and hashes of long texts, are first rebalanced into few files of
+    full size; otherwise every task of the scan would leave a tiny one.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if narrow else df
     path = f"{shared_dir(spark)}/matchloom/{label}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", BLOCK).parquet(path)
     _written.append((spark, path))
