@@ -134,7 +134,7 @@ def components(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (16 hex digits) ``, component_id``."""
-    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
+    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints", narrow=True)
     found = prints.join(components(prints), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -147,7 +147,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Ids travel through the grouping, texts only through the last join, once: it and
     the choice among rows of one id are dealt by the same key.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
+    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints", narrow=True)
     found = materialize(components(prints), "simhash-components")
     keep = found.where("component_id is not null").select(F.col("component_id").alias("__id")).distinct()
     first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text_col)), F.col(text_col)))
