@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import map_batches, slices
 
-TRAIN_ROWS, FEATURES, FOLDS, RIDGE, LEAST_TEXTS = 20_000, 256, 3, 1.0, 4
+TRAIN_ROWS, FEATURES, FOLDS, RIDGE, LEAST_TEXTS = 12_000, 256, 3, 1.0, 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -69,9 +69,11 @@ class Texts:
     def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.words = np.concatenate([x for x, _ in sets]) if sets else np.zeros(0, np.uint32)
         self.values = np.concatenate([x for _, x in sets]) if sets else np.zeros(0, np.float32)
-        self.rows = np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets])
+        self.rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x, _ in sets])
         self.n = len(sets)
-        self.vocabulary, self.at = np.unique(self.words, return_inverse=True)
+        self.vocabulary, at = np.unique(self.words, return_inverse=True)
+        self.at = at.astype(np.int32)
+        del self.words
 
     def dense(self, features: np.ndarray) -> np.ndarray:
         place = np.full(len(self.vocabulary), -1)
