@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +161,29 @@ def test_near_misses(spark):
     assert A.near_misses(pairs, items, 0.1, 0.9).count() == 0
 
 
+def test_hard_identifier_negatives_search_all_positives(spark):
+    """The registered query against a loop over all anchors and donors."""
+    from matchloom.plans import sampling_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    edges = sorted((r["id1"], r["id2"]) for r in Q.brand_edges(spark, sf).collect())
+    tokens = {r["id"]: set(r["identifier_tokens"] or []) for r in C.canonicalize(Q.raw_items(spark, sf)).select("id", "identifier_tokens").collect()}
+    df = Counter(t for own in tokens.values() for t in own)
+    rare = {i: [t for t in own if math.log(len(tokens) / df[t]) / math.log(len(tokens)) >= 0.5] for i, own in tokens.items()}
+    first = {}
+    for row_id, pair in enumerate(edges):
+        for i in pair:
+            first.setdefault(i, row_id)
+
+    def near(s, t):
+        return s != t and len(os.path.commonprefix([s, t])) / max(len(s), len(t)) >= 0.8
+
+    want = {(a, d, first[a]) for a in first for d in tokens if d not in first and any(near(s, t) for s in rare[a] for t in rare[d])}
+    got = Q.hard_identifier_negatives(spark, sf).collect()
+    assert len(got) == len(want) > 0 and {(r["id1"], r["id2"], r["source_row_id"]) for r in got} == want
+    assert sorted(r["row_id"] for r in got) == list(range(len(edges), len(edges) + len(got)))
+
+
 def test_scorer_takes_real_rows_of_a_fold(spark):
     df = serialised(spark).withColumn("is_synthetic", F.col("row_id") == 0)
     got = scoring.score_pairs(df, scoring.token_overlap_scorer, fold=0).collect()
