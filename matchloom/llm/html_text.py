@@ -1,15 +1,18 @@
 """Main text of web pages, with site templates removed by subtree counts.
 
 Every page is parsed into a tree, and every element outside running prose gets a hash of its subtree:
-tag, texts and children. Spark counts for each host the pages that hold a subtree; one found on at least
-``min_pages`` pages and ``min_share`` of the host's pages is part of the site's template and is deleted wherever it
-occurs on that host. Counts are partial aggregates keyed by host and hash, so a host with a third of all
-pages is spread like any other. Only (page, hash) rows whose deletion would change a page's text travel
+tag, texts and children. Spark counts for each host the page contents that hold a subtree; one found in at least
+``min_pages`` contents and ``min_share`` of the host's contents is part of the site's template and is deleted wherever it
+occurs on that host. Pages of equal text are one content, however many mirrors, print views and repeated rows there
+are, so copies of a page do not make it a template. Counts are partial aggregates keyed by host, hash and content, so a
+host with a third of all pages is spread like any other. Only (page, hash) rows whose deletion would change a page's text travel
 back to the pages, and Catalyst broadcasts them only where their measured size allows.
 
 What is left of a page without its navigation, headers, footers, asides, notices, adverts, forms, comments,
-scripts and styles is its text: that of its articles, else of its main element, else of its body. Paragraphs of
-an article are never template: a passage that many articles repeat is part of each.
+scripts and styles is its text: that of its articles, else of its main element, else of its body. Its paragraphs
+and headings are never template by themselves: a passage that many pages repeat is part of each. On a page without
+article and main they are so only with the whole of a recurring box around them, list items and table cells
+only where they are mostly links.
 
 Blocks are white-space-collapsed and joined by one space. Null, empty and textless pages give an empty text.
 Unclosed, misnested and truncated markup is closed as HTML does it for paragraphs, list items and
@@ -40,6 +43,9 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body article main div section table ul ol dl td th nav aside header footer form blockquote".split())
+#: Where a page has neither article nor main, tables may be its layout.
+BODY_PROSE = PROSE - {"table"}
+ITEMS = frozenset("li dt dd tr td th thead tbody tfoot caption".split())
 #: Words in a class, id or role that mark an element as no part of the article.
 CHROME = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header menu modal nav navbar navigation "
@@ -196,7 +202,7 @@ def _candidates(nodes: list[Node], roots: list[Node]) -> list[tuple[Node, bool]]
     for x in nodes:
         up = state.get(id(x.parent), (False, False, False))
         inside = up[0] or id(x) in content
-        prose = inside and (up[1] or x.tag in PROSE)
+        prose = inside and (up[1] or x.tag in PROSE) or not content and (up[1] or x.tag in BODY_PROSE)
         dropped = up[2] or x.tag in DROPPED or x.chrome
         state[id(x)] = (inside, prose, dropped)
         if not prose and x.tag not in INLINE and x.tag not in ("#root", "html", "body", "article", "main", "head") and x.tag not in VOID and x.tag not in RAW and not (up[2] and x.tag in ("meta", "link")):
@@ -210,8 +216,8 @@ def _candidates(nodes: list[Node], roots: list[Node]) -> list[tuple[Node, bool]]
 
 
 def _removable(node: Node, in_article: bool) -> bool:
-    """In an article only link lists are template: a repeated passage or an article shown twice is not."""
-    if not in_article:
+    """In an article only link lists are template: a repeated passage or an article shown twice is not. Elsewhere this holds for single items of lists and tables."""
+    if not in_article and node.tag not in ITEMS:
         return True
     linked = whole = 0
     stack: list[tuple[Node | str, bool]] = [(node, False)]
@@ -226,13 +232,14 @@ def _removable(node: Node, in_article: bool) -> bool:
     return whole > 0 and 2 * linked > whole
 
 
-def subtrees(source: str | None) -> tuple[list[int], list[int]]:
-    """Hashes of a page's possible template subtrees: all, and those whose deletion could change its text."""
+def subtrees(source: str | None) -> tuple[list[int], list[int], int]:
+    """Hashes of a page's possible template subtrees: all, and those whose deletion could change its text; and the hash of its text with them."""
     if not source:
-        return [], []
+        return [], [], 0
     nodes = _walk(parse(source))
-    found = _candidates(nodes, _roots(nodes))
-    return sorted({x.hash for x, _ in found}), sorted({x.hash for x, m in found if m})
+    roots = _roots(nodes)
+    found = _candidates(nodes, roots)
+    return sorted({x.hash for x, _ in found}), sorted({x.hash for x, m in found if m}), xxh64_intdigest(_text(roots)) >> 1
 
 
 def extract(source: str | None, deleted: set[int] | None = None) -> str:
@@ -258,14 +265,14 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         for part in slices(batches):
             found = [subtrees(x) for x in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([b for _, b in found], pa.list_(pa.int64()))],
-                names=["key", "host", "seen", "matter"],
+                [part.column(0), part.column(1), *(pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)), pa.array([x[2] for x in found], pa.int64())],
+                names=["key", "host", "seen", "matter", "content"],
             )
 
-    rows = map_batches(pages.select("key", host_of(F.col("url")).alias("host"), "html"), run, "key long, host string, seen array<long>, matter array<long>")
+    rows = map_batches(pages.select("key", host_of(F.col("url")).alias("host"), "html"), run, "key long, host string, seen array<long>, matter array<long>, content long")
     rows = materialize(rows, "html-subtrees")
-    counts = rows.select("host", F.explode("seen").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sites = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = rows.select("host", "content", F.explode("seen").alias("hash")).groupBy("host", "hash").agg(F.countDistinct("content").alias("n"))
+    sites = rows.groupBy("host").agg(F.countDistinct("content").alias("pages"))
     common = counts.where(F.col("n") >= min_pages).join(sites, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
     mine = rows.select("key", "host", F.explode("matter").alias("hash"))
     return mine.join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("hashes"))

@@ -58,5 +58,16 @@ def test_copies_of_one_article_keep_their_text(spark):
     assert {r["text"] for r in html_text.extract_pages(frame(spark, rows)).collect()} == {"Same The same article many times."}
 
 
+def test_copies_and_shared_passages_of_pages_without_article(spark):
+    own = "<div><h1>Same</h1><p>The same page many times.</p><ul><li>Item</li></ul></div>"
+    rows = [(i, "http://copy.example/", f"<body><nav>menu {i}</nav>{own}</body>", "", "") for i in range(40)]
+    for i in range(20):
+        box = "<div><p>Subscribe</p><a href=/s>here</a></div>"
+        rows.append((100 + i, f"http://body.example/{i}", f"<body>{box}<h2>Shared heading</h2><p>Shared passage.</p><div><p>Own {i}</p><ul><li>Salt</li><li>Spice {i}</li></ul></div></body>", "", ""))
+    text = {r["page_id"]: r["text"] for r in html_text.extract_pages(frame(spark, rows)).collect()}
+    assert all(text[i] == "Same The same page many times. Item" for i in range(40))
+    assert all(text[100 + i] == f"Shared heading Shared passage. Own {i} Salt Spice {i}" for i in range(20))
+
+
 def test_empty_table(spark):
     assert html_text.extract_pages(frame(spark, [])).collect() == []
