@@ -17,9 +17,15 @@ only prefix sums: of tokens by queue and chunk.
 Windows are ``size`` tokens long, a sequence each. The last window is longer by the remainder
 of ``T`` and is cut into a full sequence and sequences of powers of two, which need no padding.
 
-A source with less than ``least_share`` tokens of a window would be served crumbs; such
-sources share one pooled queue, in which their documents are mixed by hash. There are so at
-most ``size / least_share + 1`` queues, whatever the number of sources.
+A source with less than ``least_share`` tokens of a window would be served crumbs. It keeps a
+queue of its own, served in larger quanta every few windows with its deficit carried: sources whose
+tokens lie between the same powers of two form a class, and the tokens of a class are dealt to its sources by the same
+closed form in rounds that give each of them ``least_share`` to twice as many tokens (the last round up to
+four times; a source of fewer tokens is one quantum). A class of less than ``least_share`` tokens of a window is
+dealt its part of the tokens of the next larger class (of the smallest queue, if there is none) in such
+rounds too, as the closed form can owe a queue of less than one token a window a negative service. So a small source is at most a few
+quanta ahead of or behind its share after any window. There are at most ``size / least_share`` queues and one
+for each power of two, whatever the number of sources; bounds of small sources are columns, never on the driver.
 
 Edge cases: a null text is empty and a document of one token, the end token; a null source is a
 queue of its own; repeated rows are packed as often as they occur. No rows: no rows.
@@ -291,49 +297,98 @@ class Schedule:
             at, left = at + n, left - n
         return found
 
-    def pieces(self, queue: int, position: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-        """``(start in document, length, sequence, offset)`` of a document at a queue's position."""
+    def runs(self, queue: int, position: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """``(start in document, length, window, offset)`` of a document at a queue's position."""
         done, window = 0, self.window_of(queue, position)
-        tail = None
         while done < length:
             begin, end = self.served(queue, window), self.served(queue, window + 1)
             take = min(length - done, end - (position + done))
-            offset = self.before(queue, window) + position + done - begin
             if take > 0:
-                if window < self.windows - 1:
-                    yield done, take, window, offset
-                else:
-                    tail = tail or self.tail()
-                    for i, (at, n) in enumerate(tail):
-                        lo, hi = max(at, offset), min(at + n, offset + take)
-                        if lo < hi:
-                            yield done + lo - offset, hi - lo, window + i, lo - at
+                yield done, take, window, self.before(queue, window) + position + done - begin
                 done += take
-            window += 1
-
+                window += 1
+            else:  # the queue is served nothing here
+                window = max(window + 1, self.window_of(queue, position + done))
 
-def schedule(totals: DataFrame, size: int, least_share: int) -> tuple[Schedule | None, dict[str | None, int]]:
-    """The schedule, and each large source's queue; sources not named share the last queue.
-
-    ``totals`` has ``source, n``. What comes to the driver: one sum, and at most
-    ``size / least_share`` sources.
+    def pieces(self, queue: int, position: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """``(start in document, length, sequence, offset)`` of a document at a queue's position."""
+        tail = None
+        for done, take, window, offset in self.runs(queue, position, length):
+            if window < self.windows - 1:
+                yield done, take, window, offset
+                continue
+            tail = tail or self.tail()
+            for i, (at, n) in enumerate(tail):
+                lo, hi = max(at, offset), min(at + n, offset + take)
+                if lo < hi:
+                    yield done + lo - offset, hi - lo, window + i, lo - at
+
+    def through(self, queue: int, levels: tuple[Schedule, ...], position: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """As ``pieces`` for a document of a small source: each level deals the tokens of the next, the last those of the queue."""
+        if not levels:
+            yield from self.pieces(queue, position, length)
+            return
+        for done, take, turn, offset in levels[0].runs(0, position, length):
+            for start, n, sequence, at in self.through(queue, levels[1:], levels[0].upto(turn) + offset, take):
+                yield done + start, n, sequence, at
+
+
+Places = list[tuple[int, tuple[Schedule, ...]]]
+
+
+def arrange(large: list[int], classes: list[int], size: int, least_share: int) -> tuple[Schedule, Places]:
+    """The schedule of the windows, and the queue and levels of every large source and then every class, from their tokens."""
+    sizes = large + classes
+    total = sum(sizes)
+    least = -(-total * least_share // size)
+    levels: list[tuple[Schedule, ...]] = [()] * len(sizes)
+    big = [(n, [i]) for i, n in enumerate(large)]
+    rest = sorted((n, [len(large) + i]) for i, n in enumerate(classes))
+    while rest and rest[0][0] < least and len(rest) + len(big) > 1:
+        n, few = rest.pop(0)
+        other = rest if rest else big
+        m, many = other.pop(other.index(min(other)))
+        turn = -(-(n + m) * least_share // min(n, m))
+        for i in few:
+            levels[i] += (Schedule((0, n, n + m), turn),)
+        for i in many:
+            levels[i] += (Schedule((n, n + m, n + m), turn),)
+        other.append((n + m, few + many))
+        other.sort()
+    bounds, places = [0], {}
+    for q, (n, members) in enumerate(sorted(big + rest, key=lambda x: x[1])):
+        bounds.append(bounds[-1] + n)
+        places |= {i: (q, levels[i]) for i in members}
+    return Schedule(tuple(bounds), size), [places[i] for i in range(len(sizes))]
+
+
+def schedule(totals: DataFrame, size: int, least_share: int) -> tuple[Schedule | None, Places, dict[str | None, int], DataFrame | None]:
+    """The schedule, its places, each large source's place, and the small sources' parts of the places of their classes.
+
+    ``totals`` has ``source, n``. What comes to the driver: one sum, at most ``size / least_share`` sources, and
+    a row for each power of two. Small sources are ``source, place, low, high, whole, turn``: the class's place, the source's bounds in its
+    class, the class's tokens, and those of a round.
     """
     total = int(totals.agg(F.sum("n")).first()[0] or 0)
     if not total:
-        return None, {}
-    large = {r["source"]: int(r["n"]) for r in totals.where(F.col("n") >= F.lit(-(-total * least_share // size))).collect()}
+        return None, [], {}, None
+    least = F.lit(-(-total * least_share // size))
+    large = {r["source"]: int(r["n"]) for r in totals.where(F.col("n") >= least).collect()}
     names = sorted(large, key=lambda x: (x is not None, x or ""))
-    pool = total - sum(large.values())
-    if names and 0 < pool * size < total * least_share:  # too little for a queue of its own: it joins the smallest
-        least = min(names, key=lambda x: (large[x], names.index(x)))
-        names.remove(least)
-        pool += large[least]
-    bounds = [0]
-    for x in names:
-        bounds.append(bounds[-1] + large[x])
-    if pool:
-        bounds.append(bounds[-1] + pool)
-    return Schedule(tuple(bounds), size), {x: i for i, x in enumerate(names)}
+    small = totals.where(F.col("n") < least).withColumn("class", F.length(F.bin("n")) - 1)
+    classes = [(r["class"], int(r["n"])) for r in small.groupBy("class").agg(F.sum("n").alias("n")).orderBy("class").collect()]
+    plan, places = arrange([large[x] for x in names], [n for _, n in classes], size, least_share)
+    queues = {x: i for i, x in enumerate(names)}
+    if not classes:
+        return plan, places, queues, None
+    place, whole, turn = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")
+    for i, (power, n) in enumerate(classes):
+        here = F.col("class") == power
+        place, whole = F.when(here, len(names) + i).otherwise(place), F.when(here, F.lit(n).cast("long")).otherwise(whole)
+        turn = F.when(here, F.lit(-(-n * least_share >> power)).cast("long")).otherwise(turn)
+    high = F.sum("n").over(Window.partitionBy("class").orderBy(F.xxhash64("source", F.lit(2)), "source").rowsBetween(Window.unboundedPreceding, 0))
+    small = small.select("source", place.alias("place"), (high - F.col("n")).alias("low"), high.alias("high"), whole.alias("whole"), turn.alias("turn"))
+    return plan, places, queues, small
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_share: int = LEAST_SHARE, chunk_tokens: int = 1 << 20, with_ids: bool = True,
@@ -348,29 +403,40 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_sha
     spark = docs.sparkSession
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
     rows = materialize(encoded(docs, path, end, id_col, text_col, source_col), "packing-ids")
-    plan, queues = schedule(rows.groupBy("source").agg(F.sum("n_tokens").alias("n")), size, least_share)
+    totals = materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("n")), "packing-sources")
+    plan, places, queues, small = schedule(totals, size, least_share)
     if plan is None:
         return spark.createDataFrame([], columns)
     chunks = max(1, min(MOST_CHUNKS, plan.total // chunk_tokens))
-    pooled = len(queues)
-    queue = F.lit(pooled)
+    queue = F.lit(-1)
     for name, i in queues.items():
         queue = F.when(F.col("source").eqNullSafe(F.lit(name)), i).otherwise(queue)
-    rows = rows.withColumn("queue", queue).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    sums = rows.groupBy("queue", "chunk").agg(F.sum("n_tokens").alias("n"))
-    prefix = sums.select("queue", "chunk", (F.sum("n").over(Window.partitionBy("queue").orderBy("chunk")) - F.col("n")).alias("base"))
-    order = Window.partitionBy("queue", "chunk").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "n_tokens", "ids", "source")
+    own = F.when(F.col("queue") >= 0, "").otherwise(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    rows = rows.withColumn("queue", queue).withColumns({"own": own, "chunk": F.pmod(F.xxhash64("doc_id"), F.lit(chunks))})
+    key = ["queue", "own", "chunk"]
+    sums = rows.groupBy(*key).agg(F.sum("n_tokens").alias("n"))
+    prefix = sums.select(*key, (F.sum("n").over(Window.partitionBy("queue", "own").orderBy("chunk")) - F.col("n")).alias("base"))
+    bounds = ["place", "low", "high", "whole", "turn"]
+    if small is None:
+        prefix = prefix.select("*", F.col("queue").alias("place"), *(F.lit(None).cast("long").alias(x) for x in bounds[1:]))
+    else:
+        mine = small.select(F.lit(-1).alias("queue"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("own"), *bounds)
+        prefix = prefix.join(mine, ["queue", "own"], "left").withColumn("place", F.coalesce("place", "queue"))
+    order = Window.partitionBy(*key).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "n_tokens", "ids", "source")
     placed = rows.withColumn("upto", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(prefix, ["queue", "chunk"])
-    placed = placed.select("doc_id", "source", "n_tokens", "ids", "queue", (F.col("base") + F.col("upto") - F.col("n_tokens")).alias("position"))
+    placed = placed.join(prefix, key)
+    placed = placed.select("doc_id", "source", "n_tokens", "ids", (F.col("base") + F.col("upto") - F.col("n_tokens")).alias("position"), *bounds)
     kind = encoder_kind(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out: list[tuple] = []
-            for doc, source, n, ids, q, position in zip(*(c.to_pylist() for c in part.columns)):
+            for doc, source, n, ids, position, q, low, high, whole, turn in zip(*(c.to_pylist() for c in part.columns)):
                 own = np.frombuffer(ids, dtype=kind).astype("<u4").tobytes()
-                for start, length, sequence, offset in plan.pieces(q, position, n):
+                queue, levels = places[q]
+                if turn is not None:
+                    levels = (Schedule((low, high, whole), turn), *levels)
+                for start, length, sequence, offset in plan.through(queue, levels, position, n):
                     bit = own[4 * start : 4 * (start + length)]
                     out.append((doc, start, length, zlib.crc32(bit), n, sequence, offset, source, bit)[: 8 + with_ids])
             if out:

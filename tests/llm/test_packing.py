@@ -90,6 +90,31 @@ def test_every_token_once_and_mixture_in_every_window(spark):
         assert all(abs(by.get(w, 0) - owed) <= 2 for w in range(last)), name
 
 
+@pytest.mark.parametrize("hot", [0, 500])
+def test_every_small_source_keeps_its_share(spark, hot):
+    """65 sources below the least share, beside a source of a third or alone: none strays from its share by more than a few quanta."""
+    least, size = 8, 512
+    rows = [(i, "alpha beta Gamma. " * 15, "hot", "", 0) for i in range(hot)]
+    rows += [(1000 + 20 * k + i, "alpha beta Gamma. " * 15, f"s{k}", "", 0) for k in range(65) for i in range(1 if k < 64 and k else 12)]
+    rows += [(5000 + k, "one long document " * 225, f"s{k}", "", 0) for k in range(1, 64)]
+    rows += [(9000, "of no source", None, "", 0), (9001, "tiny", "", "", 0), (9002, "tiny", "tiny", "", 0)]
+    got = pieces_of(spark, rows, size=size, chunk_tokens=4096, least_share=least).collect()
+    check(rows, got, size)
+    tokens, by = {}, {}
+    for r in got:
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["length"]
+        by[r["source"], r["sequence_id"]] = by.get((r["source"], r["sequence_id"]), 0) + r["length"]
+    total = sum(tokens.values())
+    small = [x for x, n in tokens.items() if n * size < total * least]
+    assert len(small) >= 67
+    for name in small:
+        served = 0
+        for w in range(total // size - 1):
+            served += by.get((name, w), 0)
+            assert abs(served - tokens[name] * size * (w + 1) / total) <= 4 * least + 2, (name, w)
+    assert len(got) < 2 * len(rows) + total / least + 20 * total / size
+
+
 def test_chunks_keep_all_rows(spark):
     rows = [(i, f"text number {i} " * (i % 9), f"s{i % 3}", "", 0) for i in range(200)]
     for chunk in (64, 1 << 20):
