@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever its columns are called (Spark ignores case)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -53,18 +65,24 @@ class Bounded(dict):
 class Numbers(dict):
     """Words to their numbers; an unknown word gets the next one and waits in ``new`` until its value joins ``ids``."""
 
+    #: Characters of all words that a cache holds at most, as a word may be a whole text without white space.
+    MOST_CHARS = 16 << 20
+
     def __init__(self) -> None:
         super().__init__()
         self.ids: list[bytes] = []
         self.new: list = []
+        self.chars = 0
 
     def __missing__(self, word) -> int:  # noqa: ANN001
         n = self[word] = len(self)
         self.new.append(word)
+        self.chars += len(word)
         return n
 
     def forget_beyond(self, most: int) -> None:
-        """Empty a cache that has grown too large; its contents never change a result."""
-        if len(self.ids) > most:
+        """Empty a cache that has grown too large in words or characters; its contents never change a result."""
+        if len(self.ids) > most or self.chars > self.MOST_CHARS:
             self.clear()
             self.ids.clear()
+            self.chars = 0

@@ -17,7 +17,8 @@ distance two or less share one. At most 65 fingerprints meet under a variant.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked like any other; a
 text of fewer than three words is one shingle; rows with equal ids each keep a row; a null id
-never names a component unless all of the component's ids are null. No rows: no rows.
+never names a component unless all of the component's ids are null; a very long text is hashed whole, its bits summed in
+parts. Extra columns, whatever their names, are ignored by ``near_duplicates`` and kept by ``deduplicate``. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from matchloom.llm.common import map_batches, slices
+from matchloom.llm.common import bound_batches, fresh, map_batches, slices
 from matchloom.operators.graph import connected_components
 from matchloom.plans.durable import materialize
 
@@ -122,9 +123,12 @@ def links(distinct_fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def components(prints: DataFrame) -> DataFrame:
-    """``(fp, component, component_id)`` for every distinct fingerprint of ``(doc_id, fp)`` rows; ``component`` is its least fingerprint."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def components(prints: DataFrame, rank: str = "doc_id") -> DataFrame:
+    """``(fp, component, component_id)`` for every distinct fingerprint of ``(fp, rank)`` rows.
+
+    ``component`` is a component's least fingerprint, ``component_id`` its least ``rank``.
+    """
+    distinct = prints.groupBy("fp").agg(F.min(rank).alias("least"))
     groups = connected_components(links(distinct.select("fp")))
     joined = distinct.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left")
     joined = joined.withColumn("component", F.coalesce("component", "fp"))
@@ -140,24 +144,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, of which one stays for each component.
+    """The rows of ``docs``, all columns kept, of which exactly one stays for each component.
 
-    The row with the component's least id stays; of rows that share that id, the one
-    whose text has the least hash. A component without any id keeps its row with the least hash.
-    Ids travel through the grouping, texts only through the last join, once: it and
-    the choice among rows of one id are dealt by the same key.
+    The row with the component's least id stays (null ids come last); of several with that id, the one whose
+    text, then whose whole row, has the least hash. Ids may repeat over unlike texts: every component keeps a row of its own.
+    Rows are known by 128 bits of hash over all their columns; equal rows, being one text, are one component and leave one row. Only ids and
+    hashes travel through the grouping, texts only through the last join, once.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints", narrow=True)
-    found = materialize(components(prints), "simhash-components")
-    keep = found.where("component_id is not null").select(F.col("component_id").alias("__id")).distinct()
-    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text_col)), F.col(text_col)))
-    named = docs.where(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
-    named = named.join(keep, "__id", "left_semi").withColumn("__rank", first("__id")).where("__rank = 1")
-    fingerprint = F.arrow_udf(_fingerprint_array, "long").asNondeterministic()
-    orphans = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint(F.col(text_col).cast("string")))
-    alone = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("component").alias("__component"))
-    orphans = orphans.join(alone, "__fp").withColumn("__rank", first("__component")).where("__rank = 1")
-    return named.select(*docs.columns).unionByName(orphans.select(*docs.columns))
+    first, second, fp, rank, place = fresh(docs, "first_hash", "second_hash", "fingerprint", "rank", "place")
+    said = [docs[c] if f.dataType.typeName() not in ("map", "variant") else F.to_json(docs[c]) for c, f in zip(docs.columns, docs.schema)]
+    rows = docs.withColumns({first: F.xxhash64(*said), second: F.xxhash64(F.lit("second"), *reversed(said))})
+    bound_batches(docs.sparkSession)
+    fingerprint = F.arrow_udf(_fingerprint_array, "long")
+    order = F.struct(docs[id_col].isNull().alias("n"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("t"), F.col(first).alias("a"), F.col(second).alias("b"))
+    prints = materialize(rows.select(fingerprint(docs[text_col].cast("string")).alias(fp), order.alias(rank)), "simhash-prints", narrow=True)
+    found = components(prints.select(F.col(fp).alias("fp"), F.col(rank).alias("rank")), "rank").where("fp = component")
+    kept = materialize(found.select(F.col("component_id.a").alias(first), F.col("component_id.b").alias(second)), "simhash-kept")
+    once = F.row_number().over(Window.partitionBy(first, second).orderBy(F.lit(0)))
+    rows = rows.withColumn(place, once).where(F.col(place) == 1)  # equal rows are cut down before they meet
+    return rows.join(kept, [first, second], "left_semi").select(*(rows[c] for c in docs.columns))
 
 
 def _fingerprint_array(texts: pa.Array) -> pa.Array:

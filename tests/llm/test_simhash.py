@@ -85,7 +85,7 @@ def test_whole_operator(spark):
     assert simhash.near_duplicates(empty).collect() == []
 
 
-def test_deduplicate_keeps_one_row_of_each_group(spark):
+def test_deduplicate_keeps_one_row_of_each_component(spark):
     text = " ".join(f"word{i}" for i in range(200))
     rows = [(4, text, "a"), (2, text, "b"), (2, text, "b"), (9, "some other text of its own kind", "c"), (None, None, None), (11, "", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -93,3 +93,24 @@ def test_deduplicate_keeps_one_row_of_each_group(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [2, 9, 11]
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_deduplicate_with_repeated_and_null_ids(spark, seed):
+    """Unlike texts under one id, copies under many, equal rows and clashing columns: every component keeps its first row, once."""
+    rng = random.Random(seed)
+    base = [" ".join(f"t{k}w{i}" for i in range(rng.randint(1, 60))) for k in range(12)] + [None, "", " \n"]
+    rows = [(rng.choice([None, 1, 2, 3, 5, 8, 2**60, -(2**62)]), rng.choice(base), rng.choice(["x", None]), 0.5, rng.randint(0, 1)) for _ in range(90)]
+    rows += [(5, "A " + base[0], "x", 0.5, 1), (5, "B " + base[1], "x", 0.5, 1), (3, "B " + base[1], "x", 0.5, 1)] + [rows[0]] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, __fp double, rank int").repartition(5)
+    kept = [tuple(r) for r in simhash.deduplicate(df).collect()]
+    prints = [brute_print(r[1]) for r in rows]
+    root = brute_components(list(enumerate(prints)))
+    members = {}
+    for i, r in enumerate(rows):
+        members.setdefault(root[i], []).append(r)
+    assert len(kept) == len(members)
+    for group in members.values():
+        least = min((r[0] is None, r[0] or 0) for r in group)
+        mine = [r for r in kept if r in group]
+        assert len(mine) == 1 and (mine[0][0] is None, mine[0][0] or 0) == least
