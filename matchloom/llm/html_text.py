@@ -1,29 +1,35 @@
 """Main text of web pages, with site templates removed by subtree counts.
 
-Every page is parsed into a tree, and every element outside running prose gets a hash of its subtree:
-tag, texts and children. Spark counts for each host the page contents that hold a subtree; one found in at least
-``min_pages`` contents and ``min_share`` of the host's contents is part of the site's template and is deleted wherever it
-occurs on that host. Pages of equal text are one content, however many mirrors, print views and repeated rows there
-are, so copies of a page do not make it a template. Counts are partial aggregates keyed by host, hash and content, so a
-host with a third of all pages is spread like any other. Only (page, hash) rows whose deletion would change a page's text travel
-back to the pages, and Catalyst broadcasts them only where their measured size allows.
-
-What is left of a page without its navigation, headers, footers, asides, notices, adverts, forms, comments,
-scripts and styles is its text: that of its articles, else of its main element, else of its body. Its paragraphs
-and headings are never template by themselves: a passage that many pages repeat is part of each. On a page without
-article and main they are so only with the whole of a recurring box around them, list items and table cells
-only where they are mostly links.
-
-Blocks are white-space-collapsed and joined by one space. Null, empty and textless pages give an empty text.
-Unclosed, misnested and truncated markup is closed as HTML does it for paragraphs, list items and
-table cells. A url without a host forms the host ``""``. Repeated rows give equal rows. No rows: no rows.
+Every page is parsed into a tree, and its subtrees are hashed. Outside the article a subtree's hash is that of its frame: tag,
+class, id and role, and the frames of its children, runs of equal ones counting once, without the texts, so that menus, adverts and
+notices are recognised whatever they say today. Inside an article, and on pages without one, the hash also covers the texts.
+Spark counts for each host the page contents that hold a subtree; one found in at least ``min_pages`` contents
+and ``min_share`` of the host's contents is part of the site's template and is deleted wherever it occurs on that host. Pages of
+equal main text are one content, however many mirrors, print views and repeated rows there are, so copies of a page do
+not make it a template. Counts are partial aggregates keyed by host, hash and content, so a host with a third of all pages is spread like
+any other. What travels back is one row a host with its template hashes (at most ``1 / min_share`` times the subtrees of a
+page), which Catalyst broadcasts where its measured size allows.
+
+What is left of a page's body after the deletions is its text. Script, style, forms and hidden elements, and what HTML itself names as navigation, header, footer or
+aside, never are. On a host of fewer than ``min_pages`` contents counts say nothing: there the text is that of the page's articles,
+else of its main element, else of its body.
+
+Protected from deletion: paragraphs, headings, quotes and tables of an article, and boxes in it of more than ``PART`` of its words unless
+mostly links, since a passage that many pages repeat is part of each; everything that holds an article. On a page without article and main, paragraphs and
+headings go only with the whole of a recurring box around them, list items and table cells only where they are mostly links.
+
+Blocks are white-space-collapsed and joined by one space. Null, empty and textless pages give an empty text. Text that lies loose between the
+boxes around an article belongs to no box and is left out. Unclosed, misnested and truncated markup is closed as HTML does it for paragraphs, list items and
+table cells. A very long or deep page is read in time linear in its length, and whole. A url without a host forms the host ``""``. Repeated rows give
+equal rows; other columns are not read, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Container, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,48 +52,45 @@ SCOPE = frozenset("html body article main div section table ul ol dl td th nav a
 #: Where a page has neither article nor main, tables may be its layout.
 BODY_PROSE = PROSE - {"table"}
 ITEMS = frozenset("li dt dd tr td th thead tbody tfoot caption".split())
-#: Words in a class, id or role that mark an element as no part of the article.
-CHROME = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header menu modal nav navbar navigation "
-    "newsletter notice pagination paywall popup promo promotion related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget complementary contentinfo".split()
-)
+#: Share of an article's words beyond which a box in it is no template, unless it is mostly links.
+PART = 0.25
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_PART = re.compile(r"[A-Za-z]+")
+_DIGITS = re.compile(r"\d+")
+#: Elements that are the page itself and so never a part of it.
+WHOLE = frozenset(("#root", "html", "body", "head"))
 
 
 class Node:
-    __slots__ = ("tag", "chrome", "parent", "children", "hash", "main")
+    """An element. Its marks are class, id and role without digits, which only number what recurs."""
+
+    __slots__ = ("tag", "marks", "gone", "main", "parent", "children", "hash", "words", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, chrome: bool = False, main: bool = False) -> None:
-        self.tag, self.parent, self.chrome, self.main = tag, parent, chrome, main
+    def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
+        self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.hash = 0
-
-
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is chrome by its attributes, and whether it is the main element."""
-    chrome, main = False, tag == "main"
-    if attributes:
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                chrome = True
-            elif name == "style":
-                chrome = chrome or "display:none" in value.replace(" ", "").lower()
-            elif name == "role" and value.lower() == "main":
-                main = True
+        self.marks, self.gone, self.main = "", tag in DROPPED, tag == "main"
+        self.hash = self.words = self.linked = 0
+        marks, hidden = [], False
+        for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                hidden = True
             elif name in ("class", "id", "role"):
-                chrome = chrome or not CHROME.isdisjoint(x.lower() for x in _PART.findall(value))
-    return chrome and tag not in ("html", "body", "article", "main"), main
+                marks.append(f"{name}={_DIGITS.sub('', value)}")
+                self.main = self.main or name == "role" and value == "main"
+        self.marks = " ".join(marks)
+        self.gone = self.gone or hidden and tag not in ("html", "body", "article", "main")
 
 
 def parse(source: str) -> Node:
+    """The tree of a page, in time linear in its length but for end tags that close many elements at once, each closed once."""
     root = Node("#root", None)
     top, at = root, 0
     lower = None
+    opened: Counter[str] = Counter()  # open elements by tag: a stray end tag costs no walk
     search = _TOKEN.search
     while True:
         m = search(source, at)
@@ -104,154 +107,160 @@ def parse(source: str) -> Node:
         tag, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if not m[0].endswith(">"):
             return root  # the page ends inside a tag
-        if ending:
+        closing = (tag,) if ending else ("p",) if tag in CLOSES_P else CLOSES.get(tag, ())
+        if any(opened[x] for x in closing):
             node = top
-            while node is not root and node.tag != tag:
-                node = node.parent  # type: ignore[assignment]
-            if node is not root:
-                top = node.parent  # type: ignore[assignment]
-            continue
-        closing = ("p",) if tag in CLOSES_P else CLOSES.get(tag)
-        if closing:
-            node = top
-            while node is not root and node.tag not in closing and node.tag not in SCOPE:
+            while node.tag not in closing and (ending or node.tag not in SCOPE):
                 node = node.parent  # type: ignore[assignment]
             if node.tag in closing:
-                top = node.parent  # type: ignore[assignment]
-        chrome, main = _marks(tag, attributes)
-        node = Node(tag, top, chrome, main)
+                while top is not node.parent:
+                    opened[top.tag] -= 1
+                    top = top.parent  # type: ignore[assignment]
+        if ending:
+            continue
+        node = Node(tag, top, attributes)
         top.children.append(node)
         if tag in RAW:
             lower = lower if lower is not None else source.lower()
             end = lower.find(f"</{tag}", at)
             if end < 0:
                 return root
-            close = source.find(">", end)
-            at = len(source) if close < 0 else close + 1
+            shut = source.find(">", end)
+            at = len(source) if shut < 0 else shut + 1
         elif tag not in VOID and not attributes.endswith("/"):
             top = node
+            opened[tag] += 1
 
 
-def _walk(root: Node) -> list[Node]:
-    """Elements, parents first."""
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        out.append(node)
-        stack += [x for x in node.children if not isinstance(x, str)]
-    return out
-
-
-def _roots(nodes: list[Node]) -> list[Node]:
-    """The elements whose content is the page's text, in page order."""
-
-    def outermost(chosen: list[Node]) -> list[Node]:
-        ids = {id(x) for x in chosen}
-        return [x for x in chosen if not _inside(x, lambda y: id(y) in ids or y.tag in DROPPED or y.chrome)]
-
-    for kind in (lambda x: x.tag == "article", lambda x: x.main):
-        found = outermost([x for x in nodes if kind(x) and not x.chrome])
-        if found:
-            order = {id(x): i for i, x in enumerate(_in_order(nodes[0]))}
-            return sorted(found, key=lambda x: order[id(x)])
-    return [nodes[0]]
-
-
-def _in_order(root: Node) -> Iterator[Node]:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack += [x for x in reversed(node.children) if not isinstance(x, str)]
+class Page:
+    """A parsed page: its elements in page order, those that are no text, its articles, and the elements around these."""
 
-
-def _inside(node: Node, test) -> bool:  # noqa: ANN001
-    above = node.parent
-    while above is not None:
-        if test(above):
-            return True
-        above = above.parent
-    return False
-
-
-def _text(roots: list[Node], deleted: frozenset[int] | set[int] = frozenset()) -> str:
-    pieces: list[str] = []
-    for root in roots:
-        pieces.append(" ")
-        stack: list[Node | str] = [root]
+    def __init__(self, source: str) -> None:
+        self.root = parse(source)
+        self.nodes: list[Node] = []
+        stack = [self.root]
+        while stack:
+            x = stack.pop()
+            self.nodes.append(x)
+            stack += [y for y in reversed(x.children) if not isinstance(y, str)]
+        self.lost: set[Node] = set()
+        for x in self.nodes:
+            if x.gone or x.parent in self.lost:
+                self.lost.add(x)
+        self.inside: dict[Node, Node] = {}  # the article that an element is in
+        self._outermost(lambda x: x.tag == "article")
+        if not self.inside:
+            self._outermost(lambda x: x.main)
+        self.articles = [x for x, y in self.inside.items() if x is y]
+        self.around: set[Node] = set()
+        for x in self.articles:
+            above = x.parent
+            while above is not None and above not in self.around:
+                self.around.add(above)
+                above = above.parent
+
+    def _outermost(self, test: Callable[[Node], bool]) -> None:
+        for x in self.nodes:
+            if x.parent in self.inside:
+                self.inside[x] = self.inside[x.parent]
+                if x.tag == "article" and self.inside[x].tag == "article":
+                    x.gone = True  # HTML: an article in an article is a comment on it
+                if x.gone or x.parent in self.lost:
+                    self.lost.add(x)
+            elif x not in self.lost and test(x):
+                self.inside[x] = x
+
+    def _measure(self) -> None:
+        """Words of every element that are text, and those of them in links."""
+        for x in reversed(self.nodes):
+            if x in self.lost:
+                continue
+            for y in x.children:
+                if isinstance(y, str):
+                    x.words += len(y.split())
+                elif y not in self.lost:
+                    x.words += y.words
+                    x.linked += y.linked
+            if x.tag == "a":
+                x.linked = x.words
+
+    def _hash(self) -> None:
+        """Exact hashes within articles and on pages without one, else those of frames; children first."""
+        for x in reversed(self.nodes):
+            if x in self.lost or x in self.around:
+                continue
+            parts = [x.tag, x.marks]
+            if self.articles and x not in self.inside:
+                parts.append("frame")
+                for y in x.children:
+                    part = "#" if isinstance(y, str) or y.tag in INLINE and y.tag != "a" else f"<{y.hash}>"
+                    if part != parts[-1] and not (isinstance(y, str) and not y.strip()):
+                        parts.append(part)
+            else:
+                parts += [" ".join(y.split()) if isinstance(y, str) else f"<{y.hash}>" for y in x.children]
+            x.hash = xxh64_intdigest("\x00".join(p for p in parts if p)) >> 1 or 1
+
+    def candidates(self) -> dict[Node, int]:
+        """The elements that may be template, with their hashes: those whose deletion would change the text and that nothing protects."""
+        self._measure()
+        self._hash()
+        prose: set[Node] = set()
+        found: dict[Node, int] = {}
+        exempt = PROSE if self.articles else BODY_PROSE
+        for x in self.nodes:
+            if x in self.lost or x in self.around:
+                continue
+            if x.parent in prose or x.tag in exempt:
+                prose.add(x)
+            if not x.words or x.tag in WHOLE or x.tag in VOID:
+                continue
+            if x.parent in self.around or x not in prose and x.tag not in INLINE:
+                links = 2 * x.linked >= x.words
+                article = self.inside.get(x)
+                if article is not None:
+                    free = x is not article and (links or x.words <= PART * article.words)
+                else:
+                    free = bool(self.articles) or links or x.tag not in ITEMS
+                if free:
+                    found[x] = x.hash
+        return found
+
+    def text(self, whole: bool = False, deleted: Container[Node] = ()) -> str:
+        """The text of the articles, else of the page; or, ``whole``, that of the page in any case, without deleted elements."""
+        pieces: list[str] = []
+        stack: list[Node | str] = [self.root] if whole or not self.articles else [z for y in reversed(self.articles) for z in (y, " ")]
         while stack:
             x = stack.pop()
             if isinstance(x, str):
                 pieces.append(html.unescape(x) if "&" in x else x)
-                continue
-            if x.tag in DROPPED or x.chrome or x.hash and x.hash in deleted:
+            elif x in self.lost or x in deleted:
                 pieces.append(" ")
-                continue
-            if x.tag in INLINE:
+            elif x in self.around:  # text that lies loose between boxes belongs to none
+                stack += [y for y in reversed(x.children) if not isinstance(y, str)]
+            elif x.tag in INLINE:
                 stack += x.children[::-1]
             else:
                 stack += [" ", *x.children[::-1], " "]
-    return " ".join("".join(pieces).split())
-
-
-def _candidates(nodes: list[Node], roots: list[Node]) -> list[tuple[Node, bool]]:
-    """Elements that may be template, with their hashes set, and whether deleting them could change the text."""
-    content = {id(x) for x in roots if x.tag != "#root"}
-    state: dict[int, tuple[bool, bool, bool]] = {}  # in content, in prose of the content, dropped already
-    out = []
-    for x in nodes:
-        up = state.get(id(x.parent), (False, False, False))
-        inside = up[0] or id(x) in content
-        prose = inside and (up[1] or x.tag in PROSE) or not content and (up[1] or x.tag in BODY_PROSE)
-        dropped = up[2] or x.tag in DROPPED or x.chrome
-        state[id(x)] = (inside, prose, dropped)
-        if not prose and x.tag not in INLINE and x.tag not in ("#root", "html", "body", "article", "main", "head") and x.tag not in VOID and x.tag not in RAW and not (up[2] and x.tag in ("meta", "link")):
-            out.append((x, (inside or not content) and not dropped))
-    for x in reversed(nodes):  # children first
-        parts = [x.tag]
-        for y in x.children:
-            parts.append(" ".join(y.split()) if isinstance(y, str) else f"<{y.hash}>")
-        x.hash = xxh64_intdigest("\x00".join(p for p in parts if p)) >> 1 or 1
-    return [(x, matters and (id(x) not in content and _removable(x, bool(content)))) for x, matters in out]
-
-
-def _removable(node: Node, in_article: bool) -> bool:
-    """In an article only link lists are template: a repeated passage or an article shown twice is not. Elsewhere this holds for single items of lists and tables."""
-    if not in_article and node.tag not in ITEMS:
-        return True
-    linked = whole = 0
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
-    while stack:
-        x, link = stack.pop()
-        if isinstance(x, str):
-            n = len(x.split())
-            whole += n
-            linked += n * link
-        else:
-            stack += [(y, link or x.tag == "a") for y in x.children]
-    return whole > 0 and 2 * linked > whole
-
-
-def subtrees(source: str | None) -> tuple[list[int], list[int], int]:
-    """Hashes of a page's possible template subtrees: all, and those whose deletion could change its text; and the hash of its text with them."""
+        return " ".join("".join(pieces).split())
+
+
+def subtrees(source: str | None) -> tuple[list[int], int]:
+    """Hashes of a page's possible template subtrees, and the hash of its text with them."""
     if not source:
-        return [], [], 0
-    nodes = _walk(parse(source))
-    roots = _roots(nodes)
-    found = _candidates(nodes, roots)
-    return sorted({x.hash for x, _ in found}), sorted({x.hash for x, m in found if m}), xxh64_intdigest(_text(roots)) >> 1
+        return [], 0
+    page = Page(source)
+    return sorted(set(page.candidates().values())), xxh64_intdigest(page.text()) >> 1
 
 
-def extract(source: str | None, deleted: set[int] | None = None) -> str:
-    """The main text of a page, without the subtrees whose hashes are given."""
+def extract(source: str | None, template: Iterable[int] | None = None) -> str:
+    """The main text of a page: on a host with known template subtrees (perhaps none) without these, else by its article alone."""
     if not source:
         return ""
-    nodes = _walk(parse(source))
-    roots = _roots(nodes)
-    if deleted:
-        allowed = {x.hash for x, m in _candidates(nodes, roots) if m}
-        return _text(roots, deleted & allowed)
-    return _text(roots)
+    page = Page(source)
+    if template is None:
+        return page.text()
+    known = set(template)
+    return page.text(True, {x for x, h in page.candidates().items() if h in known})
 
 
 def host_of(url):  # noqa: ANN001, ANN201
@@ -259,36 +268,31 @@ def host_of(url):  # noqa: ANN001, ANN201
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(key, hashes)``: for every page whose text would change, its subtrees that are template of its host."""
+    """``(host, template)`` from ``(host, html)``: for every host of ``min_pages`` contents or more, the hashes of its template's subtrees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [subtrees(x) for x in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *(pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)), pa.array([x[2] for x in found], pa.int64())],
-                names=["key", "host", "seen", "matter", "content"],
-            )
+            found = [subtrees(x) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.int64())], names=["host", "seen", "content"])
 
-    rows = map_batches(pages.select("key", host_of(F.col("url")).alias("host"), "html"), run, "key long, host string, seen array<long>, matter array<long>, content long")
-    rows = materialize(rows, "html-subtrees")
-    counts = rows.select("host", "content", F.explode("seen").alias("hash")).groupBy("host", "hash").agg(F.countDistinct("content").alias("n"))
-    sites = rows.groupBy("host").agg(F.countDistinct("content").alias("pages"))
-    common = counts.where(F.col("n") >= min_pages).join(sites, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
-    mine = rows.select("key", "host", F.explode("matter").alias("hash"))
-    return mine.join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
+    rows = materialize(map_batches(pages.select("host", "html"), run, "host string, seen array<long>, content long"), "html-subtrees", narrow=True)
+    sites = rows.groupBy("host").agg(F.countDistinct("content").alias("contents")).where(F.col("contents") >= min_pages)
+    counts = rows.select("host", "content", F.explode("seen").alias("hash")).groupBy("host", "hash").agg(F.countDistinct("content").alias("n")).where(F.col("n") >= min_pages)
+    common = counts.join(sites, "host").where(F.col("n") >= F.col("contents") * min_share).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+    return sites.select("host").join(common, "host", "left").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row."""
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
-    rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    hits = materialize(templates(rows, min_pages, min_share), "html-templates")
+    rows = rows.withColumn("host", host_of(F.col("url")))
+    known = materialize(templates(rows, min_pages, min_share), "html-templates", narrow=True)
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = [extract(x, set(d) if d else None) for x, d in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            texts = [extract(x, d) for x, d in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(hits, "key", "left").select("page_id", "url", "html", "hashes")
+    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "template")
     return map_batches(joined, run, f"page_id {kind}, url string, text string, n_chars long")
