@@ -14,7 +14,8 @@ chance, in ``2 ** -STORED`` of the bins, which ``likeness`` takes out again.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``; a text of fewer than five words is one shingle. Null, empty
 and blank texts have the empty fingerprint, whose likeness is 1 to itself and 0 to others. Equal
-texts have equal fingerprints. Repeated ids are ordered by their text, null ids come last. No rows: no rows.
+texts have equal fingerprints, and very long texts are hashed whole. Repeated ids are ordered by their text's hash, null ids come last; ids may be any 64-bit numbers. Other
+columns are not read, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.plans.durable import materialize
+
 SHINGLE, BINS, STORED, TRIES = 5, 256, 4, 16
 _VALUE_BITS = 64 - (BINS.bit_length() - 1)
 _TOP = (1 << _VALUE_BITS) - 1
-#: Rows of one ordered chunk, most chunks, and most buckets of the id histogram that the driver sees.
-CHUNK_ROWS, MOST_CHUNKS, MOST_BUCKETS = 2000, 20_000, 65_536
+#: Rows of one ordered chunk; most chunks, whose bounds of 24 bytes each are broadcast; and those that a row is compared with at a time.
+CHUNK_ROWS, GROUP = 500, 400
+MOST_CHUNKS = GROUP * GROUP
 
 
 def _sentinels() -> Column:
@@ -80,52 +84,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(true)
 
 
-def _chunks(rows: DataFrame, chunk_rows: int) -> tuple[Column, list]:
-    """The chunk of an id, and every chunk's greatest id: consecutive ids share a chunk of about ``chunk_rows`` rows.
+def _order(id_: Column, text: Column) -> Column:
+    """A key whose ascending order is descending id, null ids last, then the text's hash. The complement of an id reverses its order without overflow."""
+    return F.struct(id_.isNull().alias("none"), F.coalesce(F.bitwise_not(id_), F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"))
+
+
+def _bounds(rows: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """The least key of every chunk in two levels, and their number: one row ``coarse`` with every ``GROUP``-th, and a row ``group, base, fine`` for those between.
 
-    The driver sees a histogram of ids of at most ``MOST_BUCKETS`` rows.
+    Chunks are ranged parts of the keys alone, so dense, sparse and repeated ids make chunks of like size.
     """
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None or n == 0:
-        return F.lit(0), [None]
-    chunks = max(1, min(MOST_CHUNKS, n // chunk_rows))
-    width = max(1, -(-(high - low + 1) // min(MOST_BUCKETS, 16 * chunks)))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
-    seen = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).orderBy("bucket").collect()
-    place, lasts, held = {}, [], 0
-    for r in seen:
-        if not lasts or held >= n / chunks and r["last"] is not None:
-            lasts.append(None)
-            held = 0
-        place[r["bucket"]] = len(lasts) - 1
-        lasts[-1] = r["last"] if r["last"] is not None else lasts[-1]
-        held += r["n"]
-    table = [0] * (max(place) + 1)
-    for k, v in place.items():
-        table[k] = v
-    return F.get(F.array(*(F.lit(x) for x in table)), bucket), lasts
+    keys = rows.select("key.*")
+    ranged = keys.repartitionByRange(max(1, min(MOST_CHUNKS, rows.count() // chunk_rows)), *keys.columns)
+    least = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*keys.columns)).alias("least"))
+    numbered = least.select("least", (F.row_number().over(Window.orderBy("part")) - 1).alias("number"))  # a row a chunk
+    grouped = numbered.groupBy(F.floor(F.col("number") / GROUP).cast("int").alias("group")).agg(F.min("number").alias("base"), F.array_sort(F.collect_list("least")).alias("fine"))
+    groups = materialize(grouped, "fingerprint-bounds")
+    coarse = groups.agg(F.array_sort(F.collect_list(F.get("fine", F.lit(0)))).alias("coarse"))
+    return coarse, groups, groups.agg(F.coalesce(F.sum(F.size("fine")), F.lit(0))).first()[0]
+
+
+def _last_upto(bounds: Column, key: Column) -> Column:
+    """The position of the last bound that is not above a key, 0 if all are, by binary search."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(GROUP.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step) <= key, at + step).otherwise(at))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``doc_id, text, next_text, extra, chunk, place``: texts beside those of the next row in descending id, the last's being the first's.
 
-    Each chunk also gets the first row of the chunk that follows it (``extra``), so that
+    A row's chunk is found by binary search among the chunks' bounds. The first row of a chunk also goes to the chunk before it (``extra``), so that
     one window per chunk sees every neighbour and texts are shuffled once.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    chunk, lasts = _chunks(rows.select("doc_id"), chunk_rows)
-    own = rows.select("doc_id", "text", chunk.alias("chunk"), F.lit(0).alias("extra"))
-    n = len(lasts)
-    if lasts == [None]:
-        after = own.select("doc_id", "text", "chunk", F.lit(1).alias("extra"))
-        after = after.orderBy("text").limit(1)
-    else:
-        first = F.array_position(F.array(*(F.lit(x) for x in lasts)), F.col("doc_id"))  # from 1
-        follows = F.pmod(first.cast("int"), F.lit(n))  # the chunk before which it comes
-        after = rows.where(F.col("doc_id").isin(lasts)).select("doc_id", "text", follows.alias("chunk"), F.lit(1).alias("extra"))
-    order = Window.partitionBy("chunk").orderBy("extra", F.desc_nulls_last("doc_id"), "text")
-    both = own.unionByName(after)
-    return both.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("key", _order(F.col("doc_id"), F.col("text")))
+    coarse, groups, n = _bounds(rows, chunk_rows)
+    rows = rows.withColumn("coarse", coarse.scalar()).withColumn("group", _last_upto(F.col("coarse"), F.col("key"))).drop("coarse")
+    rows = rows.join(F.broadcast(groups), "group").withColumn("at", _last_upto(F.col("fine"), F.col("key")))  # MOST_CHUNKS keys at most
+    rows = rows.withColumns({"chunk": F.col("base") + F.col("at"), "first": F.get("fine", F.col("at")) == F.col("key")}).drop("fine")
+    own = F.struct(F.col("chunk"), F.lit(0).alias("extra"))
+    before = F.struct(F.pmod(F.col("chunk") - 1, F.lit(max(1, n))).alias("chunk"), F.lit(1).alias("extra"))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("first"), F.array(own, before)).otherwise(F.array(own))))
+    rows = rows.select("doc_id", "text", "to.chunk", "to.extra", "key")
+    order = Window.partitionBy("chunk").orderBy("extra", "key", "text")
+    return rows.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order)).drop("key")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

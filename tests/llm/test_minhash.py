@@ -6,6 +6,7 @@ import hashlib
 import random
 
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from matchloom.llm import minhash
 
@@ -85,6 +86,80 @@ def test_densified_bins_borrow_alike(spark):
     assert like.count() == 1
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chained(*parts):
+    """Spark's xxhash64 of strings and ints: each seeds the next."""
+    h = 42
+    for p in parts:
+        h = xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(4, "little"), h)
+    return signed(h)
+
+
+def plain_fingerprint(text):
+    """One-permutation MinHash with optimal densification, bin by bin."""
+    words = [w for w in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
+    if not words:
+        return ""
+    filled = [None] * 256
+    for i in range(max(1, len(words) - 4)):
+        h = chained(*words[i : i + 5])
+        at, value = (h >> 56) + 128, h & (1 << 56) - 1
+        if value != (1 << 56) - 1 and (filled[at] is None or value < filled[at]):
+            filled[at] = value
+    bins = list(filled)
+    for i in range(256):
+        for attempt in range(1, 17):
+            if bins[i] is None:
+                bins[i] = filled[chained(i, attempt) % 256]
+        if bins[i] is None:
+            bins[i] = min((chained(i, j, 17), v) for j, v in enumerate(filled) if v is not None)[1]
+    return "".join(f"{v & 15:x}" for v in bins)
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    same = sum(x == y for x, y in zip(a, b)) / 256
+    return min(1.0, max(0.0, (same - 1 / 16) / (1 - 1 / 16)))
+
+
+def test_digits_and_bias_correction_against_plain_python(spark):
+    rng = random.Random(6)
+    texts = texts_of(rng, 6, 3) + texts_of(rng, 6, 40) + texts_of(rng, 4, 700) + ["one", None, " ", "é日本 ñ x\ty\nz"]
+    texts += [texts[7] + " tail", texts[13][: len(texts[13]) // 2]]
+    rows = [(i, t, "", "") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in run(spark, rows).collect()}
+    for i, t in enumerate(texts):
+        after = texts[i - 1] or ""
+        n = len(t or "") // 3
+        edited = (t or "")[: len(t or "") - n] + after[:n]
+        want = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(after)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == want[:2]
+        assert abs(got[i]["near_edited"] - plain_likeness(want[0], want[1])) < 1e-12 and abs(got[i]["near_next"] - plain_likeness(want[0], want[2])) < 1e-12
+
+
+def test_sparse_wide_repeated_and_null_ids(spark):
+    """Chunks stay even, and neighbours right, whatever 64-bit numbers the ids are."""
+    ids = [*range(60), 2**60, 2**63 - 1, -(2**63), 9 * 10**18, -9 * 10**18, *[7] * 20, *[None] * 20]
+    rng = random.Random(8)
+    rows = [(d, f"text {i} " + " ".join(f"w{rng.randrange(99)}" for _ in range(9)), "", "") for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, chunk string")
+    placed = minhash.with_next(df, chunk_rows=8).collect()
+    sizes = {}
+    for r in placed:
+        sizes[r["chunk"]] = sizes.get(r["chunk"], 0) + 1
+    assert len(sizes) > 6 and max(sizes.values()) <= 24
+    own = [r for r in placed if r["extra"] == 0]
+    assert len(own) == len(rows)
+    of = {r["text"]: r for r in own}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), chained(r[1])))
+    for i, r in enumerate(order):
+        assert of[r[1]]["next_text"] == order[(i + 1) % len(order)][1]
+
+
 def test_main_path_is_native(spark):
     plan = run(spark, [(1, "a b", "", ""), (2, "c", "", "")])._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval"))
