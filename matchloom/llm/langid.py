@@ -4,23 +4,26 @@ A text's letters are lower-cased and split into words. A word the model knows ad
 frequency in every language; an unseen word backs off to its character 5-grams, and, where
 none of these is known, to 4-grams, 3-grams, 2-grams and single letters, the mean log
 frequency of the known ones counting as the word's. A word of which nothing is known adds
-nothing.
+nothing. The score is the probability of the best language, all being equally likely beforehand.
 
 Training reads at most ``per_language`` labelled texts of each language (those with the least
-hash of their id), and keeps the most frequent ``words`` words and ``grams`` n-grams of each
-length and language; these documented bounds make the model small enough to broadcast at
-any corpus size. Prediction reads every text, whole, in parallel, without a shuffle.
+hash of id and text, repeated rows counting once), and keeps the most frequent ``words`` words and ``grams`` n-grams of each
+length and language; these documented bounds on the labelled sample make the model small enough to broadcast at
+any corpus size. All languages are learned. The model stores, for each word and n-gram, the languages that have it only, so it grows with their number
+and not with its square. Prediction reads every text, whole, in parallel, without a shuffle.
 
 Edge cases: null text or a text without a letter gives ``und`` with score 0; a model without
 languages gives ``und`` for all; ties go to the language first in order; repeated rows are
-predicted alike. No rows: no rows.
+predicted alike; null ids are ids like others; rows without a language or text teach nothing; a very long text costs a number a word. Extra columns are ignored by ``identify`` and
+kept by ``keep_identified``. No rows: no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,45 +38,53 @@ from matchloom.plans.durable import materialize
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 PER_LANGUAGE, WORDS, GRAMS = 600, 30_000, 8_000
-#: Languages learned at most, the most frequent ones.
-LANGUAGES = 1000
-#: Words that a worker's cache holds before it starts anew.
-CACHED = 200_000
-#: Words whose evidence counts in full in the score; beyond, evidence is averaged down to as many.
-EVIDENCE = 12
+#: Words, and bytes of their frequencies, that a worker's cache holds before it starts anew.
+CACHED, CACHED_BYTES = 200_000, 32 << 20
+#: Words of a text that are looked up at a time.
+PART = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 _JAVA_WORD = r"[\p{L}]+"
 
 
 @dataclass
 class Model:
-    """Log frequencies by language: a row of ``table`` for every known word and n-gram."""
+    """Log frequencies by language. A word or n-gram with number ``k`` lies above the ``floor`` of its kind by ``above[k]`` in the languages ``where[k]`` that have it."""
 
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
+    starts: np.ndarray
+    where: np.ndarray
+    above: np.ndarray
+    floor: np.ndarray
 
     def __post_init__(self) -> None:
         self._numbers: dict[str, int] = {}
         self._cached = np.zeros((1024, len(self.languages)), dtype=np.float32)
+        self._most = max(1, min(CACHED, CACHED_BYTES // (4 * max(1, len(self.languages)))))
+
+    def _row(self, k: int, kind: int) -> np.ndarray:
+        out = self.floor[kind].copy()
+        part = slice(self.starts[k], self.starts[k + 1])
+        out[self.where[part]] += self.above[part]
+        return out
 
     def vector(self, word: str) -> np.ndarray:
         """Log frequency by language: of the word, else of its longest known n-grams."""
         known = self.words.get(word)
         if known is not None:
-            return self.table[known]
+            return self._row(known, 0)
         for n in ORDERS:
             padded = f" {word} " if n > 1 else word
             found = [v for i in range(len(padded) - n + 1) if (v := self.grams.get(padded[i : i + n])) is not None]
             if found:
-                return self.table[found].mean(axis=0) if len(found) > 1 else self.table[found[0]]
+                return sum(self._row(k, n) for k in found) / np.float32(len(found))
         return np.zeros(len(self.languages), dtype=np.float32)
 
     def _learn(self, words: list[str]) -> None:
         """Number the words that the cache does not know; a full cache starts anew."""
         new = {w for w in words if w not in self._numbers}
-        if len(self._numbers) + len(new) > CACHED:
+        if len(self._numbers) + len(new) > self._most:
             self._numbers.clear()
             new = set(words)
         need = len(self._numbers) + len(new)
@@ -94,26 +105,25 @@ class Model:
         except KeyError:
             self._learn(words)
             at = [self._numbers[w] for w in words]
-        total = self._cached[at].sum(axis=0, dtype=np.float64)
-        total *= min(1.0, EVIDENCE / len(words))
+        total = sum(self._cached[at[i : i + PART]].sum(axis=0, dtype=np.float64) for i in range(0, len(at), PART))
         best = int(np.argmax(total))
         share = float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum())
         return self.languages[best], min(1.0, max(0.0, share))
 
 
 def training_rows(docs: DataFrame, trainable: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """At most ``per_language`` labelled texts of each language, by the least hash of their id."""
+    """At most ``per_language`` labelled texts of each language, by the least hash of id and text; equal rows are one."""
     rows = docs.where(trainable & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    rows = rows.select(rows[id_col].alias("id"), rows[lang_col].alias("lang"), rows[text_col].alias("text"))
-    many = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    # The hash below which about eight times as many ids lie as are wanted: so few reach a language's one task, at any size.
+    rows = rows.select(rows[lang_col].alias("lang"), rows[text_col].alias("text"), F.xxhash64(rows[id_col], rows[text_col]).alias("h"))
+    many = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")  # a row a language; its measured size lets Catalyst decide on the join
+    # The hash below which about eight times as many rows lie as are wanted: so few reach a language's one task, at any size.
+    place = F.shiftrightunsigned("h", 1)
     share = F.least(F.lit(1.0), F.lit(8.0 * per_language) / F.col("n"))
-    low = F.shiftrightunsigned(F.xxhash64("id"), 1).cast("double") <= share * float(2**63)
-    few = rows.select("id", "lang").join(F.broadcast(many), "lang").where(low)
-    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id")
-    chosen = few.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    chosen = materialize(chosen.select("id", "lang").distinct(), "language-sample")  # its measured size lets Catalyst decide on the join
-    return rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
+    few = rows.select("lang", "h").join(many, "lang").where(place.cast("double") <= share * float(2**63)).select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "h")
+    chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    chosen = materialize(chosen.select("lang", "h"), "language-sample", narrow=True)
+    return rows.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def train(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -132,7 +142,7 @@ def fit(counts: list[tuple[str, str, int]], grams: int = GRAMS) -> Model:
     """A model from word counts by language."""
     languages = sorted({x for x, _, _ in counts})
     place = {x: i for i, x in enumerate(languages)}
-    tables: list[dict[str, list[int]]] = [defaultdict(lambda: [0] * len(languages)) for _ in range(max(ORDERS) + 1)]
+    tables: list[dict[str, Counter[int]]] = [defaultdict(Counter) for _ in range(max(ORDERS) + 1)]
     for lang, word, n in counts:
         at = place[lang]
         tables[0][word][at] += n
@@ -140,25 +150,34 @@ def fit(counts: list[tuple[str, str, int]], grams: int = GRAMS) -> Model:
             padded = f" {word} " if size > 1 else word
             for i in range(len(padded) - size + 1):
                 tables[size][padded[i : i + size]][at] += n
-    rows: list[list[float]] = []
     known: list[dict[str, int]] = []
+    floor = np.zeros((len(tables), len(languages)), dtype=np.float32)
+    starts, where, above = [0], [], []
     for size, items in enumerate(tables):
-        whole = [sum(v[i] for v in items.values()) for i in range(len(languages))]
-        kept = sorted(items)
-        if size:
-            best = [sorted(items, key=lambda k, i=i: (-items[k][i], k))[:grams] for i in range(len(languages))]
-            kept = sorted(set().union(*best))
-        known.append({k: len(rows) + i for i, k in enumerate(kept)})
-        rows += [[math.log((n + 0.5) / (t + 0.5 * len(items))) for n, t in zip(items[k], whole)] for k in kept]
-    table = np.array(rows, dtype=np.float32).reshape(len(rows), len(languages))
-    return Model(languages, known[0], {k: v for n in ORDERS for k, v in known[n].items()}, table)
+        whole: Counter[int] = Counter()
+        by: list[list[tuple[int, str]]] = [[] for _ in languages]
+        for key, found in items.items():
+            whole.update(found)
+            for at, n in found.items():
+                by[at].append((-n, key))
+        kept = items.keys() if not size else {key for mine in by for _, key in heapq.nsmallest(grams, mine)}
+        floor[size] = [math.log(0.5 / (whole[i] + 0.5 * len(items))) if items else 0.0 for i in range(len(languages))]
+        numbered = {}
+        for key in sorted(kept):
+            numbered[key] = len(starts) - 1
+            for at, n in sorted(items[key].items()):
+                where.append(at)
+                above.append(math.log((n + 0.5) / 0.5))
+            starts.append(len(where))
+        known.append(numbered)
+    return Model(languages, known[0], {k: v for n in ORDERS for k, v in known[n].items()}, np.array(starts, np.int64), np.array(where, np.int32), np.array(above, np.float32), floor)
 
 
 def _predictor(model: Model):  # noqa: ANN202
     """A function of Arrow batches ``(id, text)``; the model travels as a broadcast."""
     from pyspark.sql import SparkSession
 
-    held = SparkSession.active().sparkContext.broadcast((model.languages, model.words, model.grams, model.table))
+    held = SparkSession.active().sparkContext.broadcast((model.languages, model.words, model.grams, model.starts, model.where, model.above, model.floor))
     local: dict = {}
 
     def own() -> Model:
