@@ -6,7 +6,8 @@ a policy would keep without one of its rules, is bitwise arithmetic on the ledge
 never reads a text again.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``. Null and empty texts have no words and fail the
-word-count rule. Repeated rows are judged alike. No rows: no rows.
+word-count rule. Repeated rows are judged alike. A very long text is measured whole; beyond ``LONG`` words its windows are numbered in
+arrays instead of being kept as words. Extra columns, whatever their names, are ignored by ``ledger`` and kept by ``keep_good``. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SLICE, bound_batches, map_batches, slices, word_bytes
+from matchloom.llm.common import SLICE, bound_batches, fresh, map_batches, slices, word_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_letters", "n_stutters")
 #: Rule name, and the SQL condition on the measurements under which a text fails. Order is bit order; append only.
@@ -44,6 +46,8 @@ POLICIES = {
 }
 CURRENT = "v2"
 WINDOW = 8
+#: Words of a text beyond which repeated windows are found in arrays: the same result in less memory, and slower for short texts.
+LONG = 4096
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -55,6 +59,8 @@ def repeated_words(words: list, window: int = WINDOW) -> int:
     """Words inside windows that occur twice or more, the first occurrence included."""
     if len(words) <= window:
         return 0
+    if len(words) > LONG:
+        return _repeated_in_arrays(words, window)
     grams = list(zip(*(words[i:] for i in range(window))))
     counts = Counter(grams)
     if len(counts) == len(grams):
@@ -67,6 +73,22 @@ def repeated_words(words: list, window: int = WINDOW) -> int:
     return total
 
 
+def _repeated_in_arrays(words: list, window: int) -> int:
+    """As ``repeated_words``: windows of 1, 2, 4, ... words are numbered by pairs of the numbers of their halves, which may overlap."""
+    known: dict = {}
+    number = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        number = np.unique(number[:-step] * len(words) + number[step:], return_inverse=True)[1]
+        size += step
+    again = np.flatnonzero(np.bincount(number)[number] > 1)
+    covered = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(covered, again, 1)
+    np.add.at(covered, again + window, -1)
+    return int((np.cumsum(covered) > 0).sum())
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     words = word_bytes(text)
     if not words:
@@ -112,10 +134,12 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(ids, _measured, "doc_id long, " + ", ".join(f"{x} long" for x in MEASURES))
 
 
-def failure_bits() -> Column:
+def failure_bits(measured: str = "") -> Column:
+    """One bit for each failed rule; ``measured`` names a struct that holds the measurements."""
     bits = F.lit(0).cast("long")
     for name, condition in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long"))
+        own = re.sub(r"\b(n_\w+|word_chars)\b", rf"`{measured}`.\1", condition) if measured else condition
+        bits = bits.bitwiseOR(F.when(F.expr(own), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
@@ -124,10 +148,15 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measurements(docs, id_col, text_col).withColumn("failed_bits", failure_bits())
 
 
+def fails(bits: Column, version: str) -> Column:
+    """Whether a policy version rejects a text with these failure bits."""
+    return bits.bitwiseAND(F.lit(mask_of(version)).cast("long")) != 0
+
+
 def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """The ledger with ``base_failed`` and the verdict ``kept`` of a policy version."""
-    fails = lambda v: F.col("failed_bits").bitwiseAND(F.lit(mask_of(v)).cast("long")) != 0
-    return rows.withColumn("base_failed", fails("base")).withColumn("kept", ~fails("base") & ~fails(version))
+    bits = F.col("failed_bits")
+    return rows.withColumn("base_failed", fails(bits, "base")).withColumn("kept", ~fails(bits, "base") & ~fails(bits, version))
 
 
 def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -160,12 +189,9 @@ def verdict(text: str | None, version: str = CURRENT) -> bool:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", version: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with all their columns."""
+    """The rows of ``docs`` that a policy keeps, with all their columns: the ledger's bits beside each row, and the policy's mask over them."""
     bound_batches(docs.sparkSession)
+    values, bits = fresh(docs, "measured", "failed_bits")
     measured = F.arrow_udf(_measured_array, ", ".join(f"{x} long" for x in MEASURES))
-    values = docs.withColumn("__m", measured(docs[text_col].cast("string")))
-    failed = F.lit(False)
-    for name, condition in RULES:
-        if name in POLICIES["base"] or name in POLICIES[version]:
-            failed = failed | F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"__m.\1", condition))
-    return values.where(~failed).drop("__m")
+    rows = docs.withColumn(values, measured(docs[text_col].cast("string"))).withColumn(bits, failure_bits(values))
+    return rows.where(~fails(F.col(bits), "base") & ~fails(F.col(bits), version)).select(*(docs[c] for c in docs.columns))

@@ -40,9 +40,18 @@ def test_measurements_match_a_plain_count():
         assert quality.measure(t)[:5] == brute(t), t
 
 
+def test_windows_of_long_texts_are_counted_alike(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)).split() for n in (1, 8, 9, 40, 400)] + [list(range(30)) * 2, ["x"] * 50]
+    plain = [quality.repeated_words(t) for t in texts]
+    monkeypatch.setattr(quality, "LONG", 0)
+    assert [quality.repeated_words(t) for t in texts] == plain
+    assert [quality._repeated_in_arrays(list(t), 5) for t in texts if len(t) > 8] == [quality.repeated_words(t, 5) for t in texts if len(t) > 8]
+
+
 def test_ledger_policies_and_ablations(spark):
     texts = samples() + ["good words in a row " * 1 + " ".join(f"w{i}" for i in range(60))]
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, kept string")
+    df = spark.createDataFrame([(i, t, 1, "x", "m", 7) for i, t in enumerate(texts)], "doc_id long, text string, n_words int, kept string, measured string, failed_bits int")
     rows = quality.ledger(df)
     judged = {r["doc_id"]: r for r in quality.apply_policy(rows).collect()}
     for i, t in enumerate(texts):
