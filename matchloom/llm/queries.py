@@ -18,12 +18,11 @@ def vocabulary(name: str) -> str:
 
 
 def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k+1 (rejected) as the pair k."""
+    """Every conversation against itself with the last reply of its partner."""
     from matchloom.llm import chat_pairs
 
-    turns = table(spark, sf_dir, "conversations")
-    number = F.col("conv_id")
-    return chat_pairs.format_preferences(turns, F.floor(number / 2).cast("long"), F.pmod(number, F.lit(2)) == 0)
+    turns = chat_pairs.exchanged_replies(table(spark, sf_dir, "conversations"))
+    return chat_pairs.format_preferences(turns, F.col("pair_id"), F.col("is_chosen"))
 
 
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +93,16 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and with others: one bitwise aggregation over the ledger."""
+    from matchloom.llm import quality
+
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_preference_pairs, op2_minhash_fingerprints, op3_quality_ledger, op4_pair_index_bpe, op5_template_free_text, op6_language_backoff,
-        op7_longest_match_counts, op8_mixture_packing, op9_toxicity_chain, op10_simhash_blocks)}
+        op7_longest_match_counts, op8_mixture_packing, op9_toxicity_chain, op10_simhash_blocks, quality_ablations)}
 
 
 _TURN = "'<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)"
@@ -109,8 +115,13 @@ def _mask(turns: str) -> str:
     return f"array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant'), lambda i: {span}), ',')"
 
 
-OP1_SQL = f"""WITH s AS (SELECT conv_id // 2 AS pair_id, coalesce(list(DISTINCT {{'turn': turn, 'role': role, 'text': text}}) FILTER (conv_id % 2 = 0), []) AS c, coalesce(list(DISTINCT {{'turn': turn, 'role': role, 'text': text}}) FILTER (conv_id % 2 = 1), []) AS r
-  FROM conversations GROUP BY 1), o AS (SELECT pair_id, list_sort(c) AS c, list_sort(r) AS r, least(len(c), len(r)) AS m FROM s),
+OP1_SQL = f"""WITH t AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+  l AS (SELECT pair_id, turn AS last_turn, text AS reply FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1),
+  j AS (SELECT t.*, coalesce(l.pair_id IS NOT NULL AND turn IS NOT DISTINCT FROM l.last_turn AND role = 'assistant', false) AS final, o.pair_id IS NOT NULL AS partnered, coalesce(o.reply, '') AS other
+    FROM t LEFT JOIN l USING (pair_id) LEFT JOIN l o ON o.pair_id = xor(t.pair_id, 1) WHERE l.pair_id IS NULL OR coalesce(turn <= l.last_turn, true)),
+  b AS (SELECT pair_id, true AS chosen, turn, role, text FROM j UNION ALL SELECT pair_id, false, turn, role, CASE WHEN final THEN other ELSE text END FROM j WHERE NOT final OR partnered),
+  s AS (SELECT pair_id, coalesce(list(DISTINCT {{'turn': turn, 'role': role, 'text': text}}) FILTER (chosen), []) AS c, coalesce(list(DISTINCT {{'turn': turn, 'role': role, 'text': text}}) FILTER (NOT chosen), []) AS r
+    FROM b GROUP BY 1), o AS (SELECT pair_id, list_sort(c) AS c, list_sort(r) AS r, least(len(c), len(r)) AS m FROM s),
   p AS (SELECT *, list_filter(range(0, m + 1), lambda i: i = m OR c[i + 1].role IS DISTINCT FROM r[i + 1].role OR c[i + 1].text IS DISTINCT FROM r[i + 1].text)[1] AS n FROM o),
   x AS (SELECT pair_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM p)
   SELECT pair_id, n::INT AS n_prompt_turns, len(c)::INT AS n_chosen_turns, len(r)::INT AS n_rejected_turns, array_to_string(list_transform(p, lambda t: {_TURN}), '') AS prompt, array_to_string(list_transform(c, lambda t: {_TURN}), '') AS chosen,
@@ -129,6 +140,12 @@ OP3_SQL = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extr
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 > 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b"""
 
 
+_RULES = "few_words repeated_windows symbols duplicate_lines short_words long_words few_letters exclamations stuttered_words".split()
+ABLATIONS_SQL = f"""WITH ledger AS ({OP3_SQL}), rules AS (SELECT unnest({_RULES}) AS rule, unnest({[1 << i for i in range(len(_RULES))]}) AS bit), whole AS (SELECT count(*) FILTER (failed_bits = 0) AS n FROM ledger)
+  SELECT 'v2' AS version, rule, count(*) FILTER (failed_bits & bit > 0) AS failed, count(*) FILTER (failed_bits = bit) AS failed_only, any_value(n) AS kept, any_value(n) + count(*) FILTER (failed_bits = bit) AS kept_without
+  FROM ledger, rules, whole GROUP BY rule"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; tests hold the others against brute force, a round trip or held-out accuracy."""
-    return {"op1_preference_pairs": OP1_SQL, "op3_quality_ledger": OP3_SQL}
+    return {"op1_preference_pairs": OP1_SQL, "op3_quality_ledger": OP3_SQL, "quality_ablations": ABLATIONS_SQL}

@@ -16,7 +16,12 @@ def render(turn):
 def brute(rows):
     sides = {}
     for conv, turn, role, text in rows:
-        sides.setdefault(None if conv is None else conv // 2, ({}, {}))[0 if conv is not None and conv % 2 == 0 else 1][(turn, role, text)] = 1
+        if conv is not None:
+            sides.setdefault(conv // 2, ({}, {}))[conv % 2][(turn, role, text)] = 1
+    return paired(sides)
+
+
+def paired(sides):
     key = lambda t: tuple((x is not None, x) for x in t)
     out = {}
     for pair, (c, r) in sides.items():
@@ -40,7 +45,7 @@ def brute(rows):
 
 def run(spark, rows):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
-    return chat_pairs.format_preferences(df, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod("conv_id", F.lit(2)) == 0)
+    return chat_pairs.format_preferences(df, F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)) == 0)
 
 
 def test_pairs_match_a_plain_rendering(spark):
@@ -64,6 +69,37 @@ def test_pairs_match_a_plain_rendering(spark):
             assert chosen[a:b].endswith("<|end|>") and chosen[:a].endswith("|>\n")
 
 
+def exchanged(rows):
+    """Every conversation up to its last reply, and with its partner's last reply instead."""
+    talks = {}
+    for conv, *turn in rows:
+        if conv is not None:
+            talks.setdefault(conv, set()).add(tuple(turn))
+    key = lambda x: (x is not None, x)
+    last = {c: max((t for t in turns if t[1] == "assistant"), key=lambda t: (key(t[0]), key(t[2])), default=None) for c, turns in talks.items()}
+    sides = {}
+    for c, turns in talks.items():
+        end, other = last[c], last.get(c ^ 1)
+        kept = [t for t in turns if end is None or t[0] is None or end[0] is None or t[0] <= end[0]]
+        final = [t for t in kept if end is not None and t[0] == end[0] and t[1] == "assistant"]
+        rejected = [t for t in kept if t not in final] + ([(end[0], "assistant", other[2] or "")] if final and other is not None else [])
+        sides[c] = dict.fromkeys(kept), dict.fromkeys(rejected)
+    return paired(sides)
+
+
+def test_exchanged_replies_share_their_prompts(spark):
+    rng = random.Random(7)
+    ids = [*range(40), 2**54, 2**54 + 1, 2**54 + 2, 2**63 - 1, -(2**63), -(2**63) + 1, -7]
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", "system", None]), rng.choice(["hi", "", None, f"text {c} {t}"])) for c in ids for t in range(rng.randint(1, 7))]
+    rows += rows[:5] + [(None, 0, "user", "lost"), (None, 1, "assistant", "lost"), (3, None, "assistant", "no number"), (100, None, "assistant", "only"), (101, 0, "assistant", "x" * 100_000)]
+    df = spark.createDataFrame([(*r, "clash", True) for r in rows], "conv_id long, turn long, role string, text string, last string, is_chosen boolean")
+    made = chat_pairs.format_preferences(chat_pairs.exchanged_replies(df), F.col("pair_id"), F.col("is_chosen"))
+    got = {r["pair_id"]: (r["n_prompt_turns"], r["prompt"], r["chosen"], r["chosen_mask"], r["rejected"], r["rejected_mask"]) for r in made.collect()}
+    assert got == exchanged(rows)
+    assert sum(bool(x[1]) for x in got.values()) > len(got) / 2
+    assert chat_pairs.exchanged_replies(df.limit(0)).count() == 0
+
+
 def test_empty_and_native(spark):
     df = run(spark, [(0, 0, "user", "a")])
     assert run(spark, []).collect() == []
