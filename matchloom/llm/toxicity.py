@@ -5,13 +5,14 @@ and the probabilities of the categories before it. While training, those earlier
 probabilities are out-of-fold: every training text is scored by models that have not seen it, so
 that later models learn from probabilities as unreliable as those they will be given.
 
-Training reads at most ``TRAIN_ROWS`` labelled texts, those with the least hash of their id, as sets of
+Training reads at most ``TRAIN_ROWS`` labelled texts of at most ``TRAIN_CHARS`` characters in all, those with the least hash of their id, as sets of
 word hashes; each model keeps the ``FEATURES`` words that separate its category best. Scoring
 reads every text, whole, in parallel, without a shuffle.
 
 Edge cases: a null or wordless text gets each model's intercept; a category that has only one
-label in training is predicted as that label's rate; no labels: probability 0. Null labels are
-left out. A label row repeated counts once. No rows: no rows.
+label in training is predicted as that label's rate; no labels: probability 0. Label rows with a null are
+left out; of several for one id each category takes its greatest label, and of several texts for one id the one with the least hash teaches. Ids that are null
+teach nothing. Repeated rows are scored alike, and a very long text whole. Extra columns are not read, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import map_batches, slices
+from matchloom.plans.durable import materialize
 
-TRAIN_ROWS, FEATURES, FOLDS, RIDGE, LEAST_TEXTS = 12_000, 256, 3, 1.0, 4
+TRAIN_ROWS, TRAIN_CHARS, FEATURES, FOLDS, RIDGE, LEAST_TEXTS = 20_000, 100_000_000, 256, 3, 1.0, 4
+#: Rows whose products are formed at a time while a model is fitted.
+BLOCK = 2048
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -79,7 +83,7 @@ class Texts:
         place = np.full(len(self.vocabulary), -1)
         place[features] = np.arange(len(features))
         column = place[self.at]
-        out = np.zeros((self.n, len(features)))
+        out = np.zeros((self.n, len(features)), dtype=np.float32)
         out[self.rows[column >= 0], column[column >= 0]] = self.values[column >= 0]
         return out
 
@@ -105,14 +109,18 @@ def fit_link(texts: Texts, label: np.ndarray, earlier: np.ndarray, rows: np.ndar
     if rate in (0.0, 1.0):
         return Link((), (), none, 30.0 if rate else -30.0)
     chosen = texts.best(label, rows, features)
-    x = np.hstack([texts.dense(chosen)[rows], earlier[rows], np.ones((len(rows), 1))])
+    x = np.hstack([texts.dense(chosen)[rows], earlier[rows].astype(np.float32), np.ones((len(rows), 1), np.float32)])
     y, w = label[rows].astype(float), np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-6
-    for _ in range(25):  # Newton steps with a ridge
-        p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), gradient)
+    for _ in range(25):  # Newton steps with a ridge, summed over blocks of rows
+        gradient, curve = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), BLOCK):
+            part = x[at : at + BLOCK].astype(float)
+            p = _sigmoid(part @ w)
+            gradient = gradient + part.T @ (p - y[at : at + BLOCK])
+            curve = curve + (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+        step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -160,12 +168,22 @@ def best_threshold(label: np.ndarray, unseen: np.ndarray) -> float:
     return best[2]
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str, text_col: str, rows: int, chars: int) -> DataFrame:
+    """``h, text`` and the categories of the labelled texts to learn from: ``rows`` rows and ``chars`` characters at most, by the least hash of their id."""
+    said = labels.select(labels[id_col].alias("id"), *(c.cast("int").alias(name) for name, c in categories.items())).dropna()
+    known = said.groupBy("id").agg(*(F.max(name).alias(name) for name in categories)).withColumn("h", F.xxhash64("id"))
+    known = known.orderBy("h", "id").limit(rows)
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    least = texts.select("id", "t", F.length("text").alias("n")).join(F.broadcast(known), "id").groupBy("id", "h", *categories).agg(F.min(F.struct("t", "n")).alias("least"))
+    upto = F.sum("least.n").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))  # ``rows`` rows at most
+    chosen = materialize(least.withColumn("upto", upto).where(F.col("upto") <= chars).select("id", "h", "least.t", *categories), "toxicity-sample")
+    return texts.join(F.broadcast(chosen), ["id", "t"]).dropDuplicates(["id", "t"]).select("h", "text", *categories)
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
-          rows: int = TRAIN_ROWS, features: int = FEATURES, n_folds: int = FOLDS) -> list[Link]:
-    """Train on the ``rows`` labelled texts with the least hash of their id; at most so many sets of word hashes reach the driver."""
-    known = labels.select(labels[id_col].alias("__id"), *(c.cast("int").alias(name) for name, c in categories.items())).dropna().dropDuplicates(["__id"])
-    sample = known.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(rows)
-    texts = docs.select(docs[id_col].alias("__id"), docs[text_col].cast("string").alias("__text")).join(F.broadcast(sample), "__id")
+          rows: int = TRAIN_ROWS, features: int = FEATURES, n_folds: int = FOLDS, chars: int = TRAIN_CHARS) -> list[Link]:
+    """Train on the sample of ``training_rows``; only its sets of word hashes reach the driver."""
+    texts = training_rows(docs, labels, categories, id_col, text_col, rows, chars)
     names = list(categories)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
             values = [np.array([strength(n) for _, n in x], dtype="<f4").tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary()), pa.array(values, pa.binary()), *part.columns[2:]], names=["h", "words", "strengths", *names])
 
-    found = map_batches(texts.select("__h", "__text", *names), run, "h long, words binary, strengths binary, " + ", ".join(f"{x} int" for x in names))
-    held = sorted(found.collect(), key=lambda r: (r["h"], r["words"]))
+    found = map_batches(texts, run, "h long, words binary, strengths binary, " + ", ".join(f"{x} int" for x in names))
+    held = sorted(found.toArrow().to_pylist(), key=lambda r: (r["h"], r["words"]))
     sets = [(np.frombuffer(r["words"], dtype="<u4"), np.frombuffer(r["strengths"], dtype="<f4")) for r in held]
     values = np.array([[r[x] for x in names] for r in held], dtype=float).reshape(len(held), len(names))
     return fit_chain(sets, values, np.array([r["h"] % n_folds for r in held], dtype=int), features, n_folds) if held else []

@@ -87,3 +87,17 @@ def test_training_rows_are_bounded(spark):
     few = toxicity.train(d, l, categories(), rows=10)
     again = toxicity.train(d.orderBy(F.desc("doc_id")), l, categories(), rows=10)
     assert few == again
+
+
+def test_sample_with_repeated_ids_contradicting_labels_and_long_texts(spark):
+    docs = [(1, "a text", "", 0.0)] * 400 + [(1, f"other {i}", "", 0.0) for i in range(100)] + [(2, "x" * 900, "", 0.0), (3, None, "", 0.0), (4, "fourth", "", 0.0), (None, "lost", "", 0.0)]
+    labels = [(1, 1, 0), (1, 0, 0), (1, 1, 1), (2, 1, 0), (2, 1, 0), (3, 0, 1), (4, None, 1), (4, 1, 0), (None, 1, 1), (9, 1, 1)]
+    d, l = frames(spark, docs, labels)
+    take = lambda rows, chars: toxicity.training_rows(d, l, categories(), "doc_id", "text", rows, chars).collect()
+    whole = take(100, 10_000)
+    by = {r["text"]: (r["low_quality"], r["toxic"]) for r in whole if r["text"][:1] not in ("a", "o")}
+    first = [r for r in whole if r["text"][:1] in ("a", "o")]
+    assert len(whole) == 4 and len(first) == 1 and (first[0]["low_quality"], first[0]["toxic"]) == (1, 1)
+    assert by == {"x" * 900: (0, 0), "": (1, 1), "fourth": (0, 0)}
+    assert len(take(2, 10_000)) <= 2 and sum(len(r["text"]) for r in take(100, 100)) <= 100
+    assert toxicity.train(d, l, categories(), rows=3) == toxicity.train(d.orderBy("text"), l.orderBy(F.desc("quality")), categories(), rows=3)
