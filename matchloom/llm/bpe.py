@@ -8,9 +8,12 @@ enters the new neighbouring pairs into the index. As a merge's own token must ex
 a pair can contain it, new pairs always rank higher, and one pass over the ranks settles
 all pieces at once.
 
+The index spans the new pieces of ``ROWS`` rows of a partition at a time, which bounds a worker's memory; as no pair reaches across pieces, the result is the same.
+
 Edge cases: null and empty texts have no tokens; the added tokens' strings in a text are their ids, as in
 the tokenizers library; lone surrogates cannot occur in Parquet strings. Ids outside the
-vocabulary raise. Repeated rows are encoded alike. No rows: no rows.
+vocabulary raise. Repeated rows are encoded alike. A very long text is encoded whole, and a very long piece (no white space for megabytes) in packed arrays of about
+30 bytes a byte. Extra columns are not read, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,8 @@ from pyspark.sql import DataFrame
 
 from matchloom.llm.common import Numbers, map_batches, slices
 
-#: Pieces after which a worker's cache is emptied.
-PIECES = 400_000
+#: Pieces after which a worker's cache is emptied; rows whose new pieces are indexed together; symbols beyond which they are held in packed arrays.
+PIECES, ROWS, MANY = 400_000, 512, 1 << 20
 
 #: How byte-level vocabularies split text. White space is Unicode White_Space.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -81,18 +86,18 @@ class ByteBPE:
     def merge_all(self, pieces: list[str]) -> list[bytes]:
         """The ids of every piece, little-endian unsigned 32-bit, by the pair occurrence index."""
         first, rank = self.first, self.rank
-        symbol: list[int] = []
-        starts: list[int] = []
+        many = sum(map(len, pieces)) > MANY
+        numbers = (lambda *x: array("i", *x)) if many else list
+        symbol = numbers()
         for piece in pieces:
-            starts.append(len(symbol))
             symbol.extend(map(first.__getitem__, piece.encode()))
             symbol.append(-1)  # ends a piece: no pair contains it
         n = len(symbol)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        index: dict[int, list[int]] = defaultdict(list)
+        after = numbers(range(1, n + 1))
+        before = numbers(range(-1, n - 1))
+        index: dict[int, list[int] | array] = defaultdict(numbers)
         get = rank.get
-        for at, pair in enumerate(zip(symbol, symbol[1:])):
+        for at, pair in enumerate(pairwise(symbol)):
             if (r := get(pair)) is not None:
                 index[r].append(at)
         active = list(index)
@@ -101,7 +106,7 @@ class ByteBPE:
             r = heapq.heappop(active)
             left, right = self.pair_at[r]
             token = self.made[r]
-            for at in sorted(index.pop(r)):
+            for at in np.sort(index.pop(r)).tolist() if many else sorted(index.pop(r)):
                 if symbol[at] != left:
                     continue
                 other = after[at]
@@ -121,7 +126,7 @@ class ByteBPE:
                     if x not in index:
                         heapq.heappush(active, x)
                     index[x].append(prior)
-        kept = np.array(symbol, dtype=np.int64)
+        kept = np.array(symbol, dtype=np.int32)
         ends = np.flatnonzero(kept == -1)
         lasting = kept >= 0
         upto = np.cumsum(lasting)
@@ -178,7 +183,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for part in slices(batches, 512):
+        for part in slices(batches, ROWS):
             found = own.encode_batch(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -203,7 +208,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for part in slices(batches, 512):
+        for part in slices(batches, ROWS):
             found = own.encode_batch(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([sha(x) for x in found], pa.string()),
