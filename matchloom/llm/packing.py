@@ -1,14 +1,15 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Documents wait in one queue per source. Window after window each queue is credited its
-share of the window (its quantum: the source's share of all tokens), is served the whole tokens
+share of the window (its quantum: the source's target share of tokens), is served the whole tokens
 of its credit, cutting a document where the credit ends, and carries the rest as its
 deficit into the next window. Queues are visited in a fixed order. Every window so holds every
-source within one token of its target share, and all queues run empty together, which
-is why the targets are the corpus's own shares: no others place each token exactly once
-in windows of one mixture.
+source within one token of its target share. Where the targets are the corpus's own shares (the default), all
+queues run empty together. With other ``targets`` one queue runs dry first: from there on its share goes to the others in proportion to theirs, deficits
+carried, and so on until all are packed, so that every token is placed once. Sources without a target share what the targets leave, by their
+tokens; where that is nothing, they follow when the others are packed.
 
-The deficits need no sequential loop. With ``A_j`` the tokens of the first ``j`` queues, ``T``
+The deficits need no sequential loop. Between two queues running dry, with ``A_j`` the tokens served of the first ``j`` queues, ``T``
 of all, and ``x`` the tokens packed up to the end of a window, the cumulative service of
 queue ``j`` is ``floor(A_j x / T) - floor(A_{j-1} x / T)``, and its deficit is what this lacks of
 ``T_j x / T``. So any partition can continue from the deficits its predecessors leave, knowing
@@ -28,7 +29,8 @@ quanta ahead of or behind its share after any window. There are at most ``size /
 for each power of two, whatever the number of sources; bounds of small sources are columns, never on the driver.
 
 Edge cases: a null text is empty and a document of one token, the end token; a null source is a
-queue of its own; repeated rows are packed as often as they occur. No rows: no rows.
+queue of its own; repeated rows are packed as often as they occur, and ids may be null or repeat over unlike texts, since rows are dealt by a hash of id and tokens;
+a very long text is encoded whole and cut where credits end. Extra columns are not read, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -37,9 +39,12 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
-from itertools import islice
+from fractions import Fraction
+from itertools import accumulate, islice
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +58,8 @@ from matchloom.plans.durable import materialize
 SIZE, LEAST_SHARE, END = 4096, 64, 2
 #: Words after which a worker's cache is emptied.
 WORDS = 400_000
-#: Chunks at most; their prefix sums are taken in one task a queue.
-MOST_CHUNKS = 1 << 17
+#: Chunks of a queue at most; their prefix sums are taken in one task a queue. Rows of the largest queue's chunks, as long as there are no more.
+MOST_CHUNKS, CHUNK_ROWS = 1 << 17, 256
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -333,6 +338,59 @@ class Schedule:
                 yield done + start, n, sequence, at
 
 
+@dataclass(frozen=True)
+class Phased(Schedule):
+    """A schedule of several phases, one after another: a queue runs dry at the end of each. ``bounds`` are those of all phases together."""
+
+    phases: tuple[tuple[int, ...], ...] = ()
+
+    def __post_init__(self) -> None:
+        starts, bases = [0], [(0,) * len(self.bounds)]
+        for p in self.phases:
+            starts.append(starts[-1] + p[-1])
+            bases.append(tuple(map(add, bases[-1], p)))
+        object.__setattr__(self, "starts", starts[:-1])
+        object.__setattr__(self, "bases", bases[:-1])
+
+    def below(self, queue: int, x: int) -> int:
+        """Tokens of the queues before this one among the first ``x`` packed."""
+        p = bisect_right(self.starts, x) - 1
+        own = self.phases[p]
+        return self.bases[p][queue] + own[queue] * (x - self.starts[p]) // own[-1]
+
+    def served(self, queue: int, window: int) -> int:
+        x = self.upto(window)
+        return self.below(queue + 1, x) - self.below(queue, x)
+
+    def before(self, queue: int, window: int) -> int:
+        return self.below(queue, self.upto(window + 1)) - self.below(queue, self.upto(window))
+
+    def window_of(self, queue: int, position: int) -> int:
+        p = bisect_right(self.bases, position, key=lambda b: b[queue + 1] - b[queue]) - 1
+        own = self.phases[p]
+        done = position - self.bases[p][queue + 1] + self.bases[p][queue]
+        w = min(self.windows - 1, (self.starts[p] + done * own[-1] // (own[queue + 1] - own[queue])) // self.size)
+        while self.served(queue, w) > position:
+            w -= 1
+        while self.served(queue, w + 1) <= position:
+            w += 1
+        return w
+
+
+def phases_of(sizes: list[int], weights: list[int]) -> tuple[tuple[int, ...], ...]:
+    """The bounds of every phase, from the queues' tokens and weights: each phase serves by weight until a queue is dry. Queues without weight come last, by their tokens."""
+    left, found = list(sizes), []
+    while any(left):
+        active = [j for j, n in enumerate(left) if n and weights[j]]
+        pull = weights if active else left
+        active = active or [j for j, n in enumerate(left) if n]
+        dry = min(active, key=lambda j: Fraction(left[j], pull[j]))
+        give = [left[dry] * pull[j] // pull[dry] if j in active else 0 for j in range(len(left))]
+        left = [n - g for n, g in zip(left, give)]
+        found.append((0, *accumulate(give)))
+    return tuple(found)
+
+
 Places = list[tuple[int, tuple[Schedule, ...]]]
 
 
@@ -391,28 +449,54 @@ def schedule(totals: DataFrame, size: int, least_share: int) -> tuple[Schedule |
     return plan, places, queues, small
 
 
+Targets = Mapping[str | None, float]
+
+
+def targeted(totals: DataFrame, targets: Targets, size: int, least_share: int) -> tuple[Schedule | None, Places, dict[str | None, int], DataFrame | None]:
+    """As ``schedule``, with a queue for every source that has a target, and one for all others together, which deals its tokens to them by theirs."""
+    if min(targets.values(), default=1) * size < 1 or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("a target is a token of a window at least, and all together are 1 at most")
+    named = F.lit(False)
+    for name in targets:
+        named = named | F.col("source").eqNullSafe(F.lit(name))
+    own = {r["source"]: int(r["n"]) for r in totals.where(named).collect()}
+    plan, places, queues, small = schedule(totals.where(~named), size, least_share)
+    names = sorted(own, key=lambda x: (x is not None, x or ""))
+    rest = 1 - sum(targets.values())
+    weights = [round(targets[x] * 2**40) for x in names] + [round(rest * 2**40) if rest * size >= 1 or not names else 0]
+    sizes = [own[x] for x in names] + [plan.total if plan else 0]
+    if not sum(sizes):
+        return None, [], {}, None
+    if plan:
+        turn = max(-(-size // least_share), size * weights[-1] // max(1, sum(weights)))  # about what they get of a window, and a token of each queue at least
+        places = [(len(names), (*levels, Schedule((plan.bounds[q], plan.bounds[q + 1], plan.total), turn))) for q, levels in places]
+    queues = queues | {x: len(places) + i for i, x in enumerate(names)}
+    places = places + [(i, ()) for i in range(len(names))]
+    return Phased((0, *accumulate(sizes)), size, phases_of(sizes, weights)), places, queues, small
+
+
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_share: int = LEAST_SHARE, chunk_tokens: int = 1 << 20, with_ids: bool = True,
-         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: Targets | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source`` and, ``with_ids``, its ``ids``.
 
-    Texts are encoded once. A queue's documents are spread over chunks of about
-    ``chunk_tokens`` tokens by hash, so that a source of any size is many tasks; a chunk's place
+    ``targets`` gives sources their shares of every window; without it these are the shares of the corpus. Texts are encoded once. A queue's documents are spread over chunks of about
+    ``chunk_tokens`` tokens or ``chunk_rows`` rows by hash of id and tokens, so that a source of any size is many tasks; a chunk's place
     in its queue is a prefix sum over chunk totals, and a document's place in its chunk a
     running sum within one task.
     """
     spark = docs.sparkSession
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
-    rows = materialize(encoded(docs, path, end, id_col, text_col, source_col), "packing-ids")
-    totals = materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("n")), "packing-sources")
-    plan, places, queues, small = schedule(totals, size, least_share)
+    rows = materialize(encoded(docs, path, end, id_col, text_col, source_col).withColumn("hash", F.xxhash64("doc_id", "ids")), "packing-ids")
+    totals = materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")), "packing-sources")
+    plan, places, queues, small = schedule(totals, size, least_share) if targets is None else targeted(totals, targets, size, least_share)
     if plan is None:
         return spark.createDataFrame([], columns)
-    chunks = max(1, min(MOST_CHUNKS, plan.total // chunk_tokens))
+    chunks = max(1, min(MOST_CHUNKS, max(plan.total // chunk_tokens, totals.agg(F.max("rows")).first()[0] // chunk_rows)))
     queue = F.lit(-1)
     for name, i in queues.items():
         queue = F.when(F.col("source").eqNullSafe(F.lit(name)), i).otherwise(queue)
     own = F.when(F.col("queue") >= 0, "").otherwise(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    rows = rows.withColumn("queue", queue).withColumns({"own": own, "chunk": F.pmod(F.xxhash64("doc_id"), F.lit(chunks))})
+    rows = rows.withColumn("queue", queue).withColumns({"own": own, "chunk": F.pmod("hash", F.lit(chunks))})
     key = ["queue", "own", "chunk"]
     sums = rows.groupBy(*key).agg(F.sum("n_tokens").alias("n"))
     prefix = sums.select(*key, (F.sum("n").over(Window.partitionBy("queue", "own").orderBy("chunk")) - F.col("n")).alias("base"))
@@ -422,7 +506,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_sha
     else:
         mine = small.select(F.lit(-1).alias("queue"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("own"), *bounds)
         prefix = prefix.join(mine, ["queue", "own"], "left").withColumn("place", F.coalesce("place", "queue"))
-    order = Window.partitionBy(*key).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "n_tokens", "ids", "source")
+    order = Window.partitionBy(*key).orderBy("hash", "doc_id", "n_tokens", "ids", "source")
     placed = rows.withColumn("upto", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(prefix, key)
     placed = placed.select("doc_id", "source", "n_tokens", "ids", (F.col("base") + F.col("upto") - F.col("n_tokens")).alias("position"), *bounds)

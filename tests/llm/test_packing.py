@@ -33,6 +33,38 @@ def test_schedule_is_the_deficit_loop(seed):
             assert plan.served(j, w) <= p < plan.served(j, w + 1)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_phases_are_deficit_loops_one_after_another(seed):
+    """Unequal targets: within a token of each window until a queue is dry, its share then to the others; every token once."""
+    rng = random.Random(seed)
+    k, size = rng.randint(1, 7), rng.choice([64, 256])
+    sizes = [rng.randint(1, 20_000) for _ in range(k)]
+    weights = [rng.choice([0, 1, 2, 5, 9]) for _ in range(k)]
+    if any(w * size < sum(weights) for w in weights if w):
+        return
+    phases = packing.phases_of(sizes, weights)
+    assert [sum(p[j + 1] - p[j] for p in phases) for j in range(k)] == sizes and len(phases) <= k
+    plan = packing.Phased(tuple(np.cumsum([0, *sizes]).tolist()), size, phases)
+    assert plan.total == sum(sizes)
+    for w in range(plan.windows):
+        mine = [plan.served(j, w + 1) - plan.served(j, w) for j in range(k)]
+        assert min(mine) >= 0 and sum(mine) == plan.upto(w + 1) - plan.upto(w)
+        assert [plan.before(j, w) for j in range(k)] == [sum(mine[:j]) for j in range(k)]
+        if sum(weights) and w < plan.windows - 1 and plan.upto(w + 1) <= phases[0][-1]:
+            assert all(abs(n - size * x / sum(weights)) <= 2 for n, x in zip(mine, weights)), (mine, weights)
+    for j, n in enumerate(sizes):
+        for _ in range(20):
+            p = rng.randrange(n)
+            w = plan.window_of(j, p)
+            assert plan.served(j, w) <= p < plan.served(j, w + 1)
+    start = 0
+    for p in phases:
+        if start % size == 0 and p[-1] % size == 0:
+            served = packing.roundrobin([b - a for a, b in zip(p, p[1:])], size)
+            assert [[plan.served(j, w + 1) - plan.served(j, w) for j in range(k)] for w in range(start // size, (start + p[-1]) // size)] == served
+        start += p[-1]
+
+
 def pieces_of(spark, rows, **settings):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, start string, sequence_id int")
     return packing.pack(df, PATH, **settings)
@@ -115,6 +147,42 @@ def test_every_small_source_keeps_its_share(spark, hot):
     assert len(got) < 2 * len(rows) + total / least + 20 * total / size
 
 
+def test_unequal_targets(spark):
+    """Half of every window from a tenth of the corpus until that is packed; sources without a target share the rest."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "Gamma.", "x1"]) for _ in range(rng.randint(0, 40))), rng.choice(["big"] * 6 + ["good", "other", None] + [f"rare{i}"]), "", 0) for i in range(700)]
+    size, targets = 256, {"good": 0.5, None: 0.1, "absent": 0.05}
+    got = pieces_of(spark, rows, size=size, chunk_tokens=2048, least_share=4, targets=targets, chunk_rows=16).collect()
+    check(rows, got, size)
+    by, tokens = {}, {}
+    for r in got:
+        by[r["source"], r["sequence_id"]] = by.get((r["source"], r["sequence_id"]), 0) + r["length"]
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["length"]
+    weight = 0.5 + 0.1 + 0.35  # what is absent takes part in nothing
+    full = int(min(tokens["good"] / (0.5 / weight), tokens[None] / (0.1 / weight)) // size) - 1
+    assert full > 5
+    for w in range(full):
+        assert abs(by["good", w] - size * 0.5 / weight) <= 2 and abs(by[None, w] - size * 0.1 / weight) <= 2
+    rest = sum(n for x, n in tokens.items() if x not in targets)
+    served = [sum(n for (x, v), n in by.items() if x == "big" and v <= w) for w in range(full)]
+    assert all(abs(n - tokens["big"] / rest * size * (w + 1) * 0.35 / weight) <= 100 for w, n in enumerate(served))
+    for bad in ({"good": 0.7, "big": 0.4}, {"good": 0.001}):
+        with pytest.raises(ValueError):
+            pieces_of(spark, rows, size=size, targets=bad)
+    last = pieces_of(spark, rows, size=size, targets={"good": 1.0}).collect()
+    check(rows, last, size)
+    assert {r["source"] for r in last if r["sequence_id"] < tokens["good"] // size} == {"good"}
+
+
+def test_null_and_repeated_ids_are_many_tasks(spark):
+    rows = [(None, f"text number {i}", "a", "", 0) for i in range(900)] + [(7, f"other text {i}", "a", "", 0) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, hash string, chunk int")
+    got = packing.pack(df, PATH, size=256, chunk_rows=64)
+    assert got.agg({"length": "sum"}).first()[0] == sum(r["n_tokens"] for r in packing.encoded(df, PATH).collect())
+    hashes = packing.encoded(df, PATH).selectExpr("pmod(xxhash64(doc_id, ids), 28) AS c").groupBy("c").count().collect()
+    assert len(hashes) == 28 and max(r["count"] for r in hashes) < 130
+
+
 def test_chunks_keep_all_rows(spark):
     rows = [(i, f"text number {i} " * (i % 9), f"s{i % 3}", "", 0) for i in range(200)]
     for chunk in (64, 1 << 20):
