@@ -19,16 +19,14 @@ CYRILLIC_SILENT = "ъь"
 CONFUSABLE = "авсенкмортху"
 LOOKS_LIKE = "abcehkmoptxy"
 
-# Measurement units by kind, with the factor to the kind's base unit.
-UNIT_FACTORS = {
-    "mass_g": {0.001: ("мг", "mg"), 1.0: ("г", "гр", "g"), 1000.0: ("кг", "kg")},
-    "volume_ml": {1.0: ("мл", "ml"), 1000.0: ("л", "l")},
-    "length_mm": {1.0: ("мм", "mm"), 10.0: ("см", "cm"), 1000.0: ("м", "m")},
-    "storage_mb": {1 / 1024: ("кб", "kb"), 1.0: ("мб", "mb"), 1024.0: ("гб", "gb"), 1024.0**2: ("тб", "tb")},
-    "count": {1.0: ("шт", "pc", "pcs")},
-    "pack_count": {1.0: ("уп", "pack")},
-    "pair_count": {1.0: ("пар", "пара", "пары")},
-    "set_count": {1.0: ("компл", "комплект", "комплекта")},
+# Measurement units, their kind and the factor to the kind's base unit.
+UNITS = {
+    "мг": ("mass_g", 0.001), "mg": ("mass_g", 0.001), "г": ("mass_g", 1.0), "гр": ("mass_g", 1.0), "g": ("mass_g", 1.0), "кг": ("mass_g", 1000.0), "kg": ("mass_g", 1000.0),
+    "мл": ("volume_ml", 1.0), "ml": ("volume_ml", 1.0), "л": ("volume_ml", 1000.0), "l": ("volume_ml", 1000.0),
+    "мм": ("length_mm", 1.0), "mm": ("length_mm", 1.0), "см": ("length_mm", 10.0), "cm": ("length_mm", 10.0), "м": ("length_mm", 1000.0), "m": ("length_mm", 1000.0),
+    "кб": ("storage_mb", 1 / 1024), "kb": ("storage_mb", 1 / 1024), "мб": ("storage_mb", 1.0), "mb": ("storage_mb", 1.0), "гб": ("storage_mb", 1024.0), "gb": ("storage_mb", 1024.0),
+    "тб": ("storage_mb", 1024.0**2), "tb": ("storage_mb", 1024.0**2), "шт": ("count", 1.0), "pc": ("count", 1.0), "pcs": ("count", 1.0), "уп": ("pack_count", 1.0), "pack": ("pack_count", 1.0),
+    "пар": ("pair_count", 1.0), "пара": ("pair_count", 1.0), "пары": ("pair_count", 1.0), "компл": ("set_count", 1.0), "комплект": ("set_count", 1.0), "комплекта": ("set_count", 1.0),
 }
 
 # Colour words and stems.
@@ -45,6 +43,7 @@ COLOR_STEMS = {
     "transparent": ("прозрачн",), "multicolor": ("разноцвет",),
 }
 
+# What a token and an identifier are.
 TOKEN = "[0-9a-zа-я]+"
 IDENTIFIER = r"(?iu)(?=[0-9a-zа-я-]*\d)[0-9a-zа-я]+(?:[-_/][0-9a-zа-я]+)*"
 
@@ -110,10 +109,6 @@ def identifier_tokens(raw: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(forms, lambda t: (F.length(t) >= 2) & t.rlike(r"\p{Nd}"))))
 
 
-def _unit_table() -> dict[str, tuple[str, float]]:
-    return {unit: (kind, factor) for kind, by in UNIT_FACTORS.items() for factor, units in by.items() for unit in units}
-
-
 def clean_float(x: Column) -> Column:
     """An integer within 1e-9 as such, else six decimals, halves to even."""
     return F.when(F.abs(x - F.rint(x)) <= 1e-9, F.rint(x)).otherwise(F.bround(x, 6))
@@ -121,11 +116,10 @@ def clean_float(x: Column) -> Column:
 
 def measurements(folded_texts: Column) -> Column:
     """``MAP kind -> sorted distinct values`` of all measurements in an array of folded texts."""
-    table = _unit_table()
-    units = "|".join(sorted(table, key=len, reverse=True))
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
     pattern = rf"(?U)(?<![\w])(\d+(?:[.,]\d+)?)\s*({units})\b"
-    kind_of = F.create_map(*(F.lit(x) for u, (k, _) in table.items() for x in (u, k)))
-    factor_of = F.create_map(*(F.lit(x) for u, (_, f) in table.items() for x in (u, f)))
+    kind_of = F.create_map(*(F.lit(x) for u, (k, _) in UNITS.items() for x in (u, k)))
+    factor_of = F.create_map(*(F.lit(x) for u, (_, f) in UNITS.items() for x in (u, f)))
 
     def found(text: Column) -> Column:
         text = F.translate(F.coalesce(text, F.lit("")), "ё", "е")
