@@ -50,6 +50,13 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     return back
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """``df``, read in no more tasks than eight a core or one for 64 MB of input, whichever are more: splits of many tiny files are read, and later written, together."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(8 * spark.sparkContext.defaultParallelism, size >> 26))
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     path = getattr(df, "_durable_path", None)
