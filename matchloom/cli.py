@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators import augmentation as A
+from matchloom.operators import corpus as K
 from matchloom.operators import fusion as X
 from matchloom.operators import gates as G
 from matchloom.operators import metrics as M
@@ -111,7 +112,7 @@ def label_diagnostics(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"rows": io.write_table(out, a.output)}
 
 
-@command("prepare-pairs", "--items", "--pairs", "--output", ("--text-only", {"action": "store_true"}))
+@command("prepare-pairs", "--items", "--pairs", "--output", ("--text-only", {"action": "store_true"}), ("--profile", {"choices": tuple(K.PROFILES), "default": None}))
 def prepare_pairs(spark: SparkSession, a: argparse.Namespace) -> dict:
     items, pairs = spark.read.parquet(a.items), io.read_table(spark, a.pairs, ("id1", "id2"))
     if "name_norm" not in items.columns:
@@ -121,7 +122,7 @@ def prepare_pairs(spark: SparkSession, a: argparse.Namespace) -> dict:
         raise ValueError(f"{missing} ids of pairs are missing")
     if "row_id" not in pairs.columns:
         pairs = B.with_row_id(pairs, "id1", "id2")
-    rows, wanted = io.write_table(P.prepare_pairs(pairs, items, a.text_only), a.output), pairs.count()
+    rows, wanted = io.write_table(P.prepare_pairs(pairs, items, a.text_only, a.profile), a.output), pairs.count()
     if rows != wanted:
         raise ValueError(f"{rows} rows for {wanted} pairs: item ids repeat")
     return {"rows": rows}

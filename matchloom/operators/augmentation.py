@@ -10,7 +10,9 @@ from matchloom.functions import text as T
 from matchloom.operators.canonical import item_lines, serialize_pair
 from matchloom.operators.graph import connected_components
 from matchloom.operators.metrics import hash_int, hash_key
+from matchloom.operators.ordering import place_within
 from matchloom.operators.pairs import join_items
+from matchloom.plans.durable import materialize
 
 PREFIX_A, PREFIX_B = "attributes_a: ", "attributes_b: "
 
@@ -45,8 +47,9 @@ def attribute_dropout(rows: DataFrame, seed: int) -> DataFrame:
     """
     real = rows.withColumns({"is_synthetic": F.lit(False), "source_row_id": F.lit(None).cast("long")})
     positives = rows.where(F.col("target") > 0.5)
-    own = positives.withColumn("__place", F.row_number().over(Window.partitionBy("category").orderBy("row_id")) - 1)
-    own = own.withColumns({"__n": F.count("*").over(Window.partitionBy("category")), "__ratio": attribute_ratio(F.col("text_a"), F.col("text_b"))})
+    own = place_within(positives, ["category"], [F.asc("row_id")], "__place")
+    counts = positives.groupBy(F.col("category").alias("__c")).agg(F.count("*").alias("__n"))
+    own = materialize(own.join(counts, F.col("category").eqNullSafe(F.col("__c"))).drop("__c").withColumn("__ratio", attribute_ratio(F.col("text_a"), F.col("text_b"))), "dropout-donors")
     step = F.pmod(hash_int(F.lit(seed), F.col("row_id"), F.lit("donor")), F.greatest(F.col("__n") - 1, F.lit(1))) + F.when(F.col("__n") > 1, 1).otherwise(0)
     asking = own.withColumn("__donor", F.pmod(F.col("__place") + step, F.col("__n")))
     donors = own.select("category", F.col("__place").alias("__donor"), F.col("__ratio").alias("__target"))
@@ -68,9 +71,8 @@ def attribute_dropout(rows: DataFrame, seed: int) -> DataFrame:
         "__tb": F.when(~fuller_a & (F.col("__drop") > 0), _with_fragments(F.col("text_b"), PREFIX_B, kept("b"))).otherwise(F.col("text_b")),
     })
     top = rows.agg(F.max("row_id").alias("__top"))  # one row
-    order = Window.partitionBy("category").orderBy("row_id")
     before = positives.groupBy("category").agg(F.count("*").alias("__m")).withColumn("__base", F.sum("__m").over(Window.orderBy("category")) - F.col("__m")).drop("__m")  # a row a category
-    numbered = synthetic.withColumn("__k", F.row_number().over(order)).join(before, "category").crossJoin(F.broadcast(top))
+    numbered = synthetic.withColumn("__k", F.col("__place") + 1).join(before, "category").crossJoin(F.broadcast(top))
     values = {"row_id": F.col("__top") + F.col("__base") + F.col("__k"), "text_a": F.col("__ta"), "text_b": F.col("__tb"), "is_synthetic": F.lit(True), "source_row_id": F.col("row_id")}
     out = numbered.select(*(values.get(c, F.col(c)).alias(c) for c in [*rows.columns, "is_synthetic", "source_row_id"]))
     return real.unionByName(out)
@@ -99,12 +101,18 @@ def attribute_permutation(rows: DataFrame, probability: float, seed: int) -> Dat
     return made.withColumns({"text_a": F.col("__a"), "text_b": F.col("__b")}).drop("__a", "__b")
 
 
+def permutation_summary(permuted: DataFrame) -> DataFrame:
+    """One row: rows, rows selected, changed, and left clean by ``attribute_permutation``."""
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    return permuted.agg(F.count("*").alias("rows"), count(F.col("selected")).alias("selected"), count(F.col("changed")).alias("changed"), count(~F.col("selected")).alias("clean"))
+
+
 def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: float) -> DataFrame:
     """``(anchor, donor)``: items outside all positive components whose rare identifier shares a prefix with a positive item's.
 
     A prefix of at least ``share`` of the longer identifier must agree, and the identifiers must differ. Anchors are
-    indexed by the first ``ceil(length * share)`` characters; donors probe with each of their own
-    prefixes, so the theta join is an equi-join on prefixes with a residual filter.
+    indexed by the first ``ceil(length * share)`` characters; donors probe with those of their own prefixes that an anchor of fitting length
+    can have, none shorter than about ``share`` squared of their length, so the theta join is an equi-join on prefixes with a residual filter, and short prefixes do not gather all.
     """
     positives = pairs.where(F.col("target") > 0.5)
     members = positives.select(F.col("id1").alias("id")).union(positives.select(F.col("id2"))).distinct()
@@ -112,8 +120,9 @@ def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: flo
     df = spread.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))
     rare = spread.join(df.where(S.normalized_idf(F.col("n"), F.col("df")) >= least_idf).select("token"), "token", "left_semi")
     length = F.ceil(F.length("token") * F.lit(share)).cast("int")
+    shortest = F.greatest(F.lit(1), F.floor(F.floor(F.length("token") * F.lit(share)) * F.lit(share)).cast("int"))
     anchors = rare.join(members, "id", "left_semi").select(F.col("id").alias("anchor"), F.col("token").alias("anchor_token"), F.substring(F.col("token"), F.lit(1), length).alias("prefix"))
-    probes = rare.join(members, "id", "left_anti").select(F.col("id").alias("donor"), F.col("token").alias("donor_token"), F.explode(F.sequence(F.lit(1), F.length("token"))).alias("k"))
+    probes = rare.join(members, "id", "left_anti").select(F.col("id").alias("donor"), F.col("token").alias("donor_token"), F.explode(F.sequence(shortest, F.length("token"))).alias("k"))
     probes = probes.select("donor", "donor_token", F.substring(F.col("donor_token"), F.lit(1), F.col("k")).alias("prefix"))
     met = anchors.join(probes, "prefix").where(F.col("anchor_token") != F.col("donor_token"))
     return met.where(T.prefix_share(F.col("anchor_token"), F.col("donor_token")) >= share).select("anchor", "donor").distinct()
@@ -121,14 +130,14 @@ def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: flo
 
 def hard_identifier_negatives(pairs: DataFrame, items: DataFrame, least_idf: float, share: float, most: int) -> DataFrame:
     """Synthetic negatives of ``near_misses``; each inherits the anchor's first positive row. More than ``most`` is an error, never a sample."""
-    found = near_misses(pairs, items, least_idf, share)
+    found = materialize(near_misses(pairs, items, least_idf, share), "near-misses")
     if found.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} eligible pairs")
     positives = pairs.where(F.col("target") > 0.5)
     first = positives.select(F.explode(F.array("id1", "id2")).alias("anchor"), F.struct("row_id", "fold").alias("s")).groupBy("anchor").agg(F.min("s").alias("s"))
     made = found.join(first, "anchor").select(F.col("anchor").alias("id1"), F.col("donor").alias("id2"), F.lit(0.0).alias("target"), "s.fold", F.col("s.row_id").alias("source_row_id"))
     top = pairs.agg(F.max("row_id")).first()[0]
-    made = made.withColumn("row_id", F.row_number().over(Window.orderBy("source_row_id", "id1", "id2")) + F.lit(top))  # at most ``most`` rows
+    made = made.withColumn("row_id", F.row_number().over(Window.orderBy("source_row_id", "id1", "id2")) + F.lit(top).cast("long"))  # at most ``most`` rows
     keyed = made.select("id1", "id2", "target", "fold", "row_id")
     joined = join_items(keyed, items.withColumns(item_lines()))
     a, b = serialize_pair()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity as S
 from matchloom.functions import text as T
+from matchloom.plans.durable import materialize
 
 BASE = tuple(f"transductive_{x}" for x in ("rarest_shared_token_idf", "mean_shared_token_idf", "max_unshared_token_idf", "brand_frequency_percentile_min", "brand_frequency_percentile_max", "identifier_df"))
 CATEGORY = tuple(f"transductive_category_{x}" for x in ("rarest_shared_token_idf", "mean_shared_token_idf", "max_unshared_token_idf"))
@@ -26,6 +27,11 @@ def schema_digest(names: list[str]) -> str:
     return hashlib.sha256(json.dumps(sorted(names), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
+def fingerprint(spec: dict) -> str:
+    """SHA-256 of a specification or recipe, whatever the order of its keys: equal settings have equal fingerprints."""
+    return hashlib.sha256(json.dumps(spec, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
 def resolve_profile(columns: list[str], profile: str | None = None) -> str | None:
     """The profile whose features are among the columns; an explicit one must match exactly, and families beyond the base need one."""
     known = {c for names in PROFILES.values() for c in names}
@@ -55,52 +61,54 @@ def brand_percentiles(brand_df: DataFrame) -> DataFrame:
     return brand_df.join(ranked, "df").select("item", "df", "percentile")
 
 
-def statistics(items: DataFrame, profile: str = "h12-v1-c1-c2") -> dict[str, DataFrame]:
-    """The counters a profile needs, over all canonical items."""
+def spread(items: DataFrame, profile: str) -> DataFrame:
+    """``(id, kind, scope, item)``: everything of an item that a profile counts, from one pass: its tokens, identifiers and brand, its tokens in its category, its attribute keys."""
+    given = F.col("category") != ""
     tokens = T.tokens(F.col("name_norm"))
-    out = {
-        "total": items.agg(F.count("*").alias("n")), "token": document_frequency(items, tokens),
-        "brand": document_frequency(items.where("brand_norm <> ''"), F.array("brand_norm")), "identifier": document_frequency(items, F.col("identifier_tokens")),
-    }
+    facts = lambda kind, scope, keys: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), scope.alias("scope"), k.alias("item")))
+    none = F.lit("")
+    parts = [facts("token", none, tokens), facts("identifier", none, F.col("identifier_tokens")), facts("brand", none, F.filter(F.array("brand_norm"), lambda x: x != ""))]
     if CATEGORY[0] in PROFILES[profile]:
-        named = items.where("category <> ''")
-        out |= {"category": named.groupBy("category").agg(F.count("*").alias("n")), "category_token": document_frequency(named, T.tokens(F.col("name_norm")), "category")}
+        parts.append(F.when(given, facts("category", F.col("category"), tokens)).otherwise(F.array().cast("array<struct<kind:string,scope:string,item:string>>")))
     if ATTRIBUTE[0] in PROFILES[profile]:
-        out["key"] = document_frequency(items, F.map_keys(T.attribute_map(F.col("remaining_attributes"))))
-    return out
+        parts.append(facts("key", none, F.map_keys(T.attribute_map(F.col("remaining_attributes")))))
+    return items.select("id", F.explode(F.concat(*parts)).alias("x")).select("id", "x.kind", "x.scope", "x.item")
 
 
-def _annotation(items: DataFrame, keys: Column, values: DataFrame, name: str, *by: str) -> DataFrame:
-    """``(id, name)``: a map of each item's keys to looked-up values."""
-    spread = items.select("id", *by, F.explode(keys).alias("item"))
-    joined = spread.join(values, [*by, "item"], "left")
-    return joined.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("item", F.coalesce("value", F.lit(0.0))))).alias(name))
+def statistics(items: DataFrame, profile: str = "h12-v1-c1-c2") -> dict[str, DataFrame]:
+    """The counters a profile needs, over all canonical items: one aggregation of everything counted, kept as a table."""
+    counts = materialize(spread(items, profile).groupBy("kind", "scope", "item").agg(F.count("*").alias("df")), "item-counts", narrow=True)
+    of = lambda kind, *by: counts.where(F.col("kind") == kind).select(*by, "item", "df")
+    out = {"total": materialize(items.agg(F.count("*").alias("n")), "item-total"), "counts": counts, "token": of("token"), "brand": of("brand"), "identifier": of("identifier")}
+    if CATEGORY[0] in PROFILES[profile]:
+        sizes = items.where("category <> ''").groupBy("category").agg(F.count("*").alias("n"))
+        out |= {"category": materialize(sizes, "category-sizes"), "category_token": of("category", F.col("scope").alias("category"))}
+    if ATTRIBUTE[0] in PROFILES[profile]:
+        out["key"] = of("key")
+    return out
 
 
 def annotate(items: DataFrame, stats: dict[str, DataFrame]) -> DataFrame:
-    """Items with maps of token IDF and identifier frequency, the brand's percentile and, where counted, category and key IDFs. Ids must be unique."""
-    total = F.broadcast(stats["total"])  # one row
-    idf = stats["token"].crossJoin(total).select("item", S.normalized_idf(F.col("n"), F.col("df")).alias("value"))
-    share = stats["identifier"].crossJoin(total).select("item", S.normalized_df(F.col("n"), F.col("df")).alias("value"))
-    empty = F.create_map().cast("map<string,double>")
-    maps = [_annotation(items, T.tokens(F.col("name_norm")), idf, "name_idf"), _annotation(items, F.col("identifier_tokens"), share, "identifier_share")]
-    names = ["name_idf", "identifier_share"]
-    if "category_token" in stats:
-        local = stats["category_token"].join(stats["category"], "category").select("category", "item", S.normalized_idf(F.col("n"), F.col("df")).alias("value"))
-        maps.append(_annotation(items, T.tokens(F.col("name_norm")), local, "category_idf", "category"))
-        names.append("category_idf")
-    if "key" in stats:
-        keyed = stats["key"].crossJoin(total).select("item", S.normalized_idf(F.col("n"), F.col("df")).alias("value"))
-        maps.append(_annotation(items, F.map_keys(T.attribute_map(F.col("remaining_attributes"))), keyed, "key_idf"))
-        names.append("key_idf")
-    out = items
-    for m in maps:
-        out = out.join(m, "id", "left")
-    out = out.withColumns({n: F.coalesce(n, empty) for n in names})
-    if "category_idf" in names:
-        out = out.withColumn("category_idf", F.when(F.col("category") != "", F.col("category_idf")).otherwise(empty))
-    brand = brand_percentiles(stats["brand"]).select(F.col("item").alias("brand_norm"), F.col("percentile").alias("brand_percentile"))
-    return out.join(brand, "brand_norm", "left").withColumn("brand_percentile", F.coalesce("brand_percentile", F.lit(0.0)))
+    """Items with maps of token IDF and identifier frequency, the brand's percentile and, where counted, category and key IDFs. Ids must be unique.
+
+    One explode of what items hold, one join with all values, one regroup by id.
+    """
+    profile = "h12-v1" + "-c1" * ("category_token" in stats) + "-c2" * ("key" in stats)
+    counts = stats["counts"].crossJoin(F.broadcast(stats["total"]))  # one row
+    if "category" in stats:
+        local = stats["category"].select(F.lit("category").alias("kind"), F.col("category").alias("scope"), F.col("n").alias("__local"))
+        counts = counts.join(local, ["kind", "scope"], "left").withColumn("n", F.coalesce("__local", "n"))
+    value = F.when(F.col("kind") == "identifier", S.normalized_df(F.col("n"), F.col("df"))).otherwise(S.normalized_idf(F.col("n"), F.col("df")))
+    values = counts.where("kind <> 'brand'").select("kind", "scope", "item", value.alias("value"))
+    brand = brand_percentiles(stats["brand"]).select(F.lit("brand").alias("kind"), F.lit("").alias("scope"), "item", F.col("percentile").alias("value"))
+    values = materialize(values.unionByName(brand), "item-values", narrow=True)
+    held = spread(items, profile).join(values, ["kind", "scope", "item"], "left").groupBy("id").agg(F.collect_list(F.struct("kind", "item", F.coalesce("value", F.lit(0.0)).alias("value"))).alias("__held"))
+    held = held.select(F.col("id").alias("__id"), "__held")
+    out = items.join(held, F.col("id") == F.col("__id"), "left").withColumn("__held", F.coalesce("__held", F.array().cast("array<struct<kind:string,item:string,value:double>>")))
+    of = lambda kind: F.map_from_entries(F.transform(F.filter("__held", lambda x: x["kind"] == kind), lambda x: F.struct(x["item"], x["value"])))
+    names = {"name_idf": "token", "identifier_share": "identifier"} | ({"category_idf": "category"} if "category_token" in stats else {}) | ({"key_idf": "key"} if "key" in stats else {})
+    percentile = F.coalesce(F.get(F.filter("__held", lambda x: x["kind"] == "brand"), F.lit(0))["value"], F.lit(0.0))
+    return out.select(*items.columns, *(of(kind).alias(name) for name, kind in names.items()), percentile.alias("brand_percentile"))
 
 
 def transductive_features(joined: DataFrame) -> dict[str, Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import metrics as M
 from matchloom.operators.corpus import schema_digest
+from matchloom.plans.durable import materialize
 
 #: Columns that are never features.
 EXCLUDED = ("id1", "id2", "target", "fold", "row_id", "category", "text_a", "text_b", "is_synthetic", "source_row_id")
@@ -35,7 +36,7 @@ def train_oof(df: DataFrame, depths: tuple[int, ...] = (4,), rates: tuple[float,
     Returns ``({depth, rate, macro_ap, features, digest}, rows with "score", model)``.
     """
     names = feature_names(df)
-    rows = assembled(df, names).cache()
+    rows = assembled(materialize(df, "fusion-rows"), names)
     folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
     best = None
     for depth in depths:
@@ -53,6 +54,13 @@ def train_oof(df: DataFrame, depths: tuple[int, ...] = (4,), rates: tuple[float,
     return facts, out.drop("__x"), model
 
 
+def ablations(df: DataFrame, score: str = "text_score", depth: int = 4, rate: float = 0.1, trees: int = 20, seed: int = 7) -> dict[str, float]:
+    """Macro average precision by category of the score alone, of trees over the other features alone, and of trees over both, all out of fold."""
+    settings = {"depths": (depth,), "rates": (rate,), "trees": trees, "seed": seed}
+    alone = M.macro_average_precision(df, score=score).first()["macro_ap"]
+    return {"score_only": alone, "features_only": train_oof(df.drop(score), **settings)[0]["macro_ap"], "fusion": train_oof(df, **settings)[0]["macro_ap"]}
+
+
 def predict(model: PipelineModel, df: DataFrame, names: list[str], strict: bool = False) -> DataFrame:
     """Scores of the locked features; ``strict`` refuses rows of a table that lacks one, else it counts as 0."""
     missing = [n for n in names if n not in df.columns]
@@ -72,11 +80,11 @@ def round_trip_gap(model: PipelineModel, df: DataFrame, path: str) -> float:
 
 def two_sample_auc(df: DataFrame, names: list[str], source: str, positive: str, folds: int = 5, seed: int = 7) -> float | None:
     """Out-of-fold AUC of a standardised logistic classifier that tells two sources apart; none if one has fewer than two rows."""
-    rows = assembled(df.withColumn("__y", (F.col(source) == positive).cast("double")), names)
+    rows = assembled(materialize(df.select(*names, (F.col(source) == positive).cast("double").alias("__y")), "two-samples"), names)
     n = {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
     if min(n.get(0.0, 0), n.get(1.0, 0)) < 2:
         return None
-    rows = rows.withColumn("__k", F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(folds))).cache()
+    rows = rows.withColumn("__k", F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(folds)))
     flow = Pipeline(stages=[StandardScaler(inputCol="__x", outputCol="__z", withMean=True), LogisticRegression(featuresCol="__z", labelCol="__y", probabilityCol="__p", maxIter=50)])
     parts = [flow.fit(rows.where(F.col("__k") != k)).transform(rows.where(F.col("__k") == k)).select("__y", vector_to_array("__p")[1].alias("__s")) for k in range(folds)]
     out = parts[0]

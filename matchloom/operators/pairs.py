@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity as S
 from matchloom.functions import text as T
+from matchloom.operators import corpus as K
 from matchloom.operators.canonical import item_lines, serialize_pair
 from matchloom.schemas import PAIR_FIELDS
 
@@ -77,8 +78,8 @@ def _field_features() -> dict[str, Column]:
     return out
 
 
-def features(joined: DataFrame, tolerance: float = 0.015) -> DataFrame:
-    """The 67 pair features, with ``category``, beside the pair's keys, from ``join_items`` over ``prepared_items``."""
+def features(joined: DataFrame, tolerance: float = 0.015, extra: dict[str, Column] | None = None) -> DataFrame:
+    """The 67 pair features, with ``category`` and what is ``extra``, beside the pair's keys, from ``join_items`` over ``prepared_items``."""
     keys = [c for c in KEYS if c in joined.columns]
     lo, hi = (f("left.attribute_count", "right.attribute_count").cast("double") for f in (F.least, F.greatest))
     counts = {"attribute_count_min": lo, "attribute_count_max": hi, "attribute_count_difference": hi - lo, "attribute_count_ratio": lo / F.greatest(hi, F.lit(1.0))}
@@ -89,21 +90,33 @@ def features(joined: DataFrame, tolerance: float = 0.015) -> DataFrame:
     measured = {"measurement_common_types": "common", "measurement_compatible_types": "compatible", "measurement_conflict_types": "conflict", "measurement_min_relative_diff": "difference"}
     aligned = S.aligned_attributes(*sides, F.col("__n"), F.col("__s"))
     return one.select(*keys, S.pair_category(F.col("left.category"), F.col("right.category")).alias("category"), *(v.alias(k) for k, v in plain.items()),
-                      *(F.col(f"__m.{v}").alias(k) for k, v in measured.items()), *(v.alias(k) for k, v in aligned.items()))
+                      *(F.col(f"__m.{v}").alias(k) for k, v in measured.items()), *(v.alias(k) for k, v in {**aligned, **(extra or {})}.items()))
 
 
-def prepare_pairs(pairs: DataFrame, items: DataFrame, text_only: bool = False) -> DataFrame:
-    """Pairs with their texts and, unless ``text_only``, their features; pairs of unknown items are left out (see ``missing_ids``)."""
+def prepare_pairs(pairs: DataFrame, items: DataFrame, text_only: bool = False, profile: str | None = None) -> DataFrame:
+    """Pairs with their texts and, unless ``text_only``, their features, with those of a corpus ``profile`` where one is named; pairs of unknown items are left out (see ``missing_ids``).
+
+    The statistics of a profile cover all ``items``, not the pairs' only.
+    """
     if text_only:
         joined = join_items(pairs, items.select("id", "category", *(v.alias(k) for k, v in item_lines().items())))
         a, b = serialize_pair()
         keys = [c for c in KEYS if c in joined.columns]
         return joined.select(*keys, S.pair_category(F.col("left.category"), F.col("right.category")).alias("category"), a.alias("text_a"), b.alias("text_b"))
+    if profile:
+        items = K.annotate(items, K.statistics(items, profile))
     joined = join_items(pairs, prepared_items(items).withColumns(item_lines()))
     a, b = serialize_pair()
     wide = joined.withColumns({"text_a": a, "text_b": b})
-    made = features(wide)
-    return made if "row_id" not in pairs.columns else made.join(wide.select("row_id", "text_a", "text_b"), "row_id")
+    made = features(wide, extra=(K.transductive_features(wide) if profile else {}) | ({"text_a": F.col("text_a"), "text_b": F.col("text_b")} if "row_id" in pairs.columns else {}))
+    return made
+
+
+def same_category_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(id1, id2, category)``: the pairs whose items have one category, which is not empty. The second join is on id and category."""
+    named = items.where(F.coalesce("category", F.lit("")) != "").select("id", F.col("category").cast("string").alias("category"))
+    one = pairs.select("id1", "id2").join(named.withColumnRenamed("id", "id1"), "id1")
+    return one.join(named.withColumnRenamed("id", "id2"), ["id2", "category"]).select("id1", "id2", "category")
 
 
 def one_hot(df: DataFrame, categories: list[str], column: str = "category") -> DataFrame:

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 def score_pairs(pairs: DataFrame, load: Callable[[], Callable[[list[str], list[str]], list[float]]], fold: int | None = None) -> DataFrame:
     """``row_index, id1, id2, target, fold, text_score`` by a scorer that ``load`` makes once per worker task.
 
-    With a fold, only its real rows are scored; a null ``is_synthetic`` counts as an error upstream and as real here.
+    With a fold, only its real rows are scored; a row of it whose ``is_synthetic`` is null is an error.
     """
     rows = pairs
     if fold is not None:
         rows = rows.where(F.col("fold") == fold)
         if "is_synthetic" in pairs.columns:
-            rows = rows.where(~F.coalesce(F.col("is_synthetic"), F.lit(False)))
+            if not rows.where("is_synthetic is null").isEmpty():
+                raise ValueError("is_synthetic is null in the fold")
+            rows = rows.where(~F.col("is_synthetic"))
 
     def run(frames: Iterator) -> Iterator:  # noqa: ANN401
         scorer = None

@@ -58,10 +58,8 @@ def predict_pairs(items: DataFrame, pairs: DataFrame, scorers: list[Load], fusio
     if fusion is None:
         out = base.withColumn("predict", F.col("text_score"))
     else:
-        made = P.features(joined)
-        if any(n in K.BASE + K.CATEGORY + K.ATTRIBUTE for n in names):
-            extra = K.transductive_features(joined)
-            made = made.join(joined.select("row_id", *(v.alias(k) for k, v in extra.items())), "row_id")
+        known = any(n in K.BASE + K.CATEGORY + K.ATTRIBUTE for n in names)
+        made = P.features(joined, extra=K.transductive_features(joined) if known else None)
         full = made.join(base.drop("id1", "id2", "category"), "row_id")
         if ranked:
             full = R.percentile_rank(full, "text_score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from matchloom.operators.ranking import not_finite
 from matchloom.schemas import RAW_ITEM
 
 
@@ -29,23 +31,31 @@ def read_table(spark: SparkSession, path: str, required: tuple[str, ...] = (), p
 
 
 def check_table(df: DataFrame, keys: list[str], finite: tuple[str, ...] = ()) -> DataFrame:
-    """One row: rows, rows whose key repeats, and not-finite values by column."""
-    by_key = df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")).alias(c) for c in finite))
+    """One row: rows, rows whose key repeats, and values that are null, NaN or infinite by column."""
+    by_key = df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(not_finite(c).cast("int")).alias(c) for c in finite))
     return by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)), F.lit(0)).alias("repeated"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_not_finite") for c in finite))
 
 
 def write_table(df: DataFrame, path: str) -> int:
-    """Parquet with zstd; raises on no rows. Returns the rows written."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    rows = df.sparkSession.read.schema(df.schema).parquet(path).count()
+    """Parquet with zstd, written beside the old table, which it replaces once it is whole; raises on no rows and then leaves the old one. Returns the rows written."""
+    spark = df.sparkSession
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(beside)
+    rows = spark.read.schema(df.schema).parquet(beside).count()
+    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, beside))
+    store = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if rows == 0:
+        store.delete(new, True)
         raise ValueError(f"no rows for {path}")
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"{beside} could not be moved to {path}")
     return rows
 
 
 def write_predictions(df: DataFrame, path: str, row: str = "row_id") -> None:
     """CSV ``id1,id2,predict`` in the pairs' order, as one file; raises on a value that is not finite."""
-    bad = df.where(F.col("predict").isNull() | F.isnan("predict") | (F.abs("predict") == float("inf"))).limit(1).count()
+    bad = df.where(not_finite("predict")).limit(1).count()
     if bad:
         raise ValueError("predictions must be finite")
     df.orderBy(row).select("id1", "id2", "predict").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -59,14 +69,14 @@ def write_report(report: dict[str, Any], path: str) -> None:
 
 
 def health(spark: SparkSession, paths: dict[str, str]) -> list[dict[str, Any]]:
-    """For every input: whether it exists, its bytes and rows. Paths may be in any store that Spark reads."""
+    """For every input: whether it exists, its bytes and rows, and the bytes free in its store. Paths may be in any store that Spark reads."""
     out = []
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name, path in paths.items():
         where = jvm.org.apache.hadoop.fs.Path(path)
         store = where.getFileSystem(conf)
         there = store.exists(where)
-        out.append({"name": name, "exists": there, "bytes": store.getContentSummary(where).getLength() if there else 0, "rows": spark.read.parquet(path).count() if there else 0})
+        out.append({"name": name, "exists": there, "bytes": store.getContentSummary(where).getLength() if there else 0, "rows": spark.read.parquet(path).count() if there else 0, "free": store.getStatus().getRemaining()})
     return out
 
 

@@ -104,7 +104,7 @@ def test_corpus_statistics(spark):
     got = {(r["id1"], r["id2"]): r for r in joined.select("id1", "id2", *(v.alias(k) for k, v in made.items())).collect()}
     assert got[2, 1]["transductive_max_unshared_token_idf"] == 1.0 and got[2, 1]["transductive_rarest_shared_token_idf"] > 0
     assert got[1, 3]["transductive_category_rarest_shared_token_idf"] == 0.0
-    assert set(K.statistics(items, "h12-v1")) == {"total", "token", "brand", "identifier"}
+    assert set(K.statistics(items, "h12-v1")) == {"total", "counts", "token", "brand", "identifier"}
 
 
 def test_profiles():
