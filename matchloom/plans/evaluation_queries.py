@@ -198,14 +198,93 @@ def prevalence_matched_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.prevalence_matched(scored(spark, sf_dir), ["row_id"], prevalence=0.3, mode="uniform", repeats=8, seed=5), "ap")
 
 
-@query("prevalence_proportional_ap")
+@query("prevalence_proportional_ap", f"""WITH RECURSIVE {SCORED}, c AS (SELECT category, count(*) FILTER (target > 0.5)::DOUBLE AS p, count(*) FILTER (target <= 0.5)::DOUBLE AS n FROM scored GROUP BY category),
+  newton AS (SELECT 0::DOUBLE AS s, 0 AS i UNION ALL SELECT s + (0.3 - (SELECT avg(p * s / (p * s + n)) FROM c)) / (SELECT avg(p * n / ((p * s + n) * (p * s + n))) FROM c), i + 1 FROM newton WHERE i < 60),
+  keep AS (SELECT category, greatest(5, least(p, round_even(p * least(1, (SELECT max(s) FROM newton)), 0)))::BIGINT AS k FROM c),
+  d AS (SELECT s.*, draw, row_number() OVER (PARTITION BY s.category, draw, target > 0.5 ORDER BY md5(concat_ws('|', row_id, draw, 5)), row_id) AS r FROM scored s, (SELECT unnest(range(0, 8)) AS draw)),
+  kept AS (SELECT d.* FROM d JOIN keep USING (category) WHERE target <= 0.5 OR r <= k) SELECT category, max(positives)::BIGINT AS kept_positives, round(avg(ap), 6) AS ap FROM {ap_sql('kept', 'score', 'category, draw')} GROUP BY category""")
 def prevalence_proportional_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.prevalence_matched(scored(spark, sf_dir), ["row_id"], prevalence=0.3, repeats=8, seed=5)
+    return _round(M.prevalence_matched(scored(spark, sf_dir), ["row_id"], prevalence=0.3, repeats=8, seed=5), "ap")
+
+
+def _resampled(samples: int, seed: int) -> str:
+    return _DRAWS.replace(f"range(1, {_SAMPLES} + 1)", f"range(1, {samples} + 1)").replace(f"i, {_SEED})", f"i, {seed})")
 
 
-@query("oof_gate")
+_BY = f"per AS (SELECT a.category, a.ap AS a, b.ap AS b FROM {ap_sql('scored', 'score')} a JOIN {ap_sql('scored', 'other')} b USING (category))"
+
+
+@query("oof_gate", f"""WITH {SCORED}, {_resampled(20, 20260812)}, {_BY}, m AS (SELECT avg(a) AS control, avg(b) AS candidate FROM per), lost AS (SELECT category, b - a AS d FROM per ORDER BY d, category LIMIT 1),
+  x AS (SELECT sample, avg(ap) AS ap FROM {ap_sql('drawn', 'score', 'category, sample', 'weight')} GROUP BY sample), y AS (SELECT sample, avg(ap) AS ap FROM {ap_sql('drawn', 'other', 'category, sample', 'weight')} GROUP BY sample),
+  b AS (SELECT quantile_cont(y.ap - x.ap, 0.025) AS lo, quantile_cont(y.ap - x.ap, 0.975) AS hi, avg((y.ap > x.ap)::INT) AS rate FROM x JOIN y USING (sample)),
+  v AS (SELECT CASE WHEN d < -0.02 OR candidate - control < -0.005 THEN 'regression' WHEN candidate - control >= 0.002 THEN 'improvement' ELSE 'inconclusive' END AS verdict FROM m, lost)
+  SELECT verdict, verdict <> 'regression' AS passed, round(control, 6) AS control, round(candidate, 6) AS candidate, category AS worst_category, round(d, 6) AS worst_difference, round(lo, 6) AS ci95_low, round(hi, 6) AS ci95_high, round(rate, 6) AS positive_rate FROM v, m, lost, b""")
 def oof_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumnsRenamed({"score": "control", "other": "candidate"})
     g = G.compare(rows, samples=20)
-    values = (g.verdict, g.passed, g.control, g.candidate, g.worst_category, g.worst_difference, g.ci95_low, g.ci95_high, g.positive_rate)
+    values = (g.verdict, g.passed, *(round(x, 6) for x in (g.control, g.candidate)), g.worst_category, *(round(x, 6) for x in (g.worst_difference, g.ci95_low, g.ci95_high, g.positive_rate)))
     return spark.createDataFrame([values], "verdict string, passed boolean, control double, candidate double, worst_category string, worst_difference double, ci95_low double, ci95_high double, positive_rate double")
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gold rows and two score tables of them."""
+    rows = scored(spark, sf_dir).select("row_id", F.col("row_id").alias("id1"), (F.col("row_id") + 1).alias("id2"), "target", "category", "score", "other")
+    score = lambda c: rows.select(F.col("row_id").alias("row_index"), "id1", "id2", F.col(c).alias("text_score"))
+    return rows.drop("score", "other"), score("score"), score("other")
+
+
+@query("ordinary_gate", f"WITH {SCORED}, {_BY}, m AS (SELECT avg(a) AS a, avg(b) AS b, count(*) FILTER (b - a < -0.02) AS failing FROM per) SELECT b >= a AND failing = 0 AS passed, (SELECT count(*) FROM scored) AS rows, round(b - a, 6) AS gain, failing FROM m")
+def ordinary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = G.ordinary_gate(*_gold(spark, sf_dir))
+    return spark.createDataFrame([(g.passed, g.rows, round(g.gain, 6), len(g.failing))], "passed boolean, rows long, gain double, failing long")
+
+
+@query("stress_gate", f"WITH {SCORED}, {_BY}, m AS (SELECT avg(b) AS a, avg(a) AS b, count(*) FILTER (a - b < -0.5) AS failing FROM per) SELECT b > a AND failing = 0 AS passed, (SELECT count(*) FROM scored) AS rows, round(b - a, 6) AS gain, failing FROM m")
+def stress_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One score against the average precisions that the other was reported with."""
+    gold, one, two = _gold(spark, sf_dir)
+    before = {r["category"]: r["ap"] for r in M.average_precision(scored(spark, sf_dir), ["category"], score="other").collect()}  # a row a category
+    g = G.stress_gate(gold, before, one.unionByName(two.withColumn("row_index", -1 - F.col("row_index"))), 0.5)
+    return spark.createDataFrame([(g.passed, g.rows, round(g.gain, 6), len(g.failing))], "passed boolean, rows long, gain double, failing long")
+
+
+@query("three_way_scores", f"WITH {SCORED} SELECT row_id, row_id AS id1, row_id + 1 AS id2, target, category, score AS control, other AS candidate FROM scored")
+def three_way_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.three_way(*_gold(spark, sf_dir)).select("row_id", "id1", "id2", "target", "category", "control", "candidate")
+
+
+@query("profile_means", f"WITH {_TWO}, l AS (SELECT source, 'score' AS feature, score AS x FROM two UNION ALL SELECT source, 'other', other FROM two) SELECT source, feature, round(avg(x), 6) AS mean FROM l GROUP BY ALL")
+def profile_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(M.profile_means(_two(spark, sf_dir), ["score", "other"], "source"), "mean")
+
+
+_FRACTIONS = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
+
+
+@query("lowest_overlaps", f"""WITH {_TWO}, l AS (SELECT source, 'score' AS feature, score AS x FROM two UNION ALL SELECT source, 'other', other FROM two UNION ALL SELECT source, 'target', target FROM two), e AS (SELECT feature, list_distinct(quantile_cont(x, {_FRACTIONS})) AS edges FROM l GROUP BY feature),
+  p AS (SELECT source, feature, len(edges) AS edges, least(len(list_filter(edges, lambda y: y <= x)), len(edges) - 1) AS bin FROM l JOIN e USING (feature)), s AS (SELECT feature, edges, source, bin, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY feature, source) AS share FROM p GROUP BY feature, edges, source, bin),
+  m AS (SELECT feature, edges, bin, CASE WHEN count(*) = 2 THEN min(share) ELSE 0 END AS share FROM s GROUP BY feature, edges, bin) SELECT feature, round(sum(share), 6) AS overlap FROM m GROUP BY feature ORDER BY sum(share), feature LIMIT 2""")
+def lowest_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two of three features whose histograms overlap least between the sources."""
+    return _round(M.lowest_overlaps(_two(spark, sf_dir), ["score", "other", "target"], "source", "a", "b", 2), "overlap").select("feature", "overlap")
+
+
+_REDRAWN = 6
+
+
+@query("redrawn_bootstrap", f"""WITH {SCORED}, few AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY category, target > 0.5 ORDER BY row_id) <= CASE WHEN target > 0.5 THEN 2 ELSE 20 END), sizes AS (SELECT category, count(*) AS n, count(*) OVER () AS cats FROM few GROUP BY category),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) - 1 AS place FROM few),
+  draws AS (SELECT category, cats, sample, attempt, ('0x' || substr(md5(concat_ws('|', category, sample, i, CASE WHEN attempt = 0 THEN '{_REDRAWN}' ELSE '{_REDRAWN}-' || attempt END)), 1, 8))::BIGINT % n AS place
+    FROM sizes, (SELECT unnest(range(1, 21)) AS sample), (SELECT unnest(range(0, 101)) AS attempt), LATERAL (SELECT unnest(range(0, n)) AS i)),
+  whole AS (SELECT sample, attempt FROM draws JOIN placed USING (category, place) WHERE target > 0.5 GROUP BY sample, attempt, cats HAVING count(DISTINCT category) = cats), chosen AS (SELECT sample, min(attempt) AS attempt FROM whole GROUP BY sample),
+  w AS (SELECT category, sample, place, count(*) AS weight FROM draws JOIN chosen USING (sample, attempt) GROUP BY ALL), drawn AS (SELECT * FROM placed JOIN w USING (category, place)),
+  a AS (SELECT sample, avg(ap) AS ap FROM {ap_sql('drawn', 'score', 'category, sample', 'weight')} GROUP BY sample), b AS (SELECT sample, avg(ap) AS ap FROM {ap_sql('drawn', 'other', 'category, sample', 'weight')} GROUP BY sample)
+  SELECT sample, round(b.ap - a.ap, 6) AS difference FROM a JOIN b USING (sample)""", integer="sample")
+def redrawn_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap differences over rows of few positives: a sample in which a category lost them all is drawn anew."""
+    from pyspark.sql import Window
+
+    rows = scored(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("category", F.col("target") > 0.5).orderBy("row_id"))
+    few = rows.withColumn("r", place).where(F.col("r") <= F.when(F.col("target") > 0.5, 2).otherwise(20)).drop("r")
+    return _round(M.paired_bootstrap(few, "score", "other", samples=20, seed=_REDRAWN, redraws=100), "difference")

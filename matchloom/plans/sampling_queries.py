@@ -14,7 +14,9 @@ from matchloom.operators import pairs as P
 from matchloom.operators import sampling as B
 from matchloom.operators import scoring
 from matchloom.plans.catalogue import BRAND_EDGES, LABELLED, SCORED, SEEN, VOTES, brand_edges, labelled, raw_items, scored, seen_ids, table, votes
+from matchloom.plans.durable import materialize
 from matchloom.plans.registry import query
+from matchloom.plans.text_queries import FEATURE_ITEM, all_features_sql, item_sql
 
 _UNSEEN = "id1 NOT IN (SELECT id FROM seen) AND id2 NOT IN (SELECT id FROM seen)"
 
@@ -29,10 +31,9 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id1, id2, target, category, row_number() OVER (ORDER BY category, target, id1, id2) - 1 AS row_id FROM r WHERE rk <= (SELECT least(20, min(n)) FROM s)""")
 def novel_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many rows as give every stratum as many as the smallest has, twenty at most: the quotas are then equal, which SQL can say."""
-    eligible = B.unseen_pairs(labelled(spark, sf_dir), seen_ids(spark, sf_dir))
-    both = eligible.distinct().groupBy("category").agg(*(F.sum((F.col("target") == t).cast("int")).alias(n) for t, n in ((0.0, "m"), (1.0, "p")))).where("m > 0 and p > 0")
-    size, least = both.agg(F.count("*"), F.min(F.least("m", "p"))).first()
-    return B.novel_holdout(labelled(spark, sf_dir), seen_ids(spark, sf_dir), max(1, 2 * size * min(20, least or 0)), 3).select("id1", "id2", "target", "category", "row_id")
+    eligible = B.eligible_pairs(labelled(spark, sf_dir), seen_ids(spark, sf_dir))
+    size, least = eligible.groupBy("category", "target").count().agg(F.count("*"), F.min("count")).first()
+    return B.balanced_sample(eligible, max(1, size * min(20, least or 0)), 3).select("id1", "id2", "target", "category", "row_id")
 
 
 @query("natural_rate_proxy", f"""WITH {VOTES}, {SEEN}, e AS (SELECT DISTINCT id1, id2, (round(target * 9)::INT = 9)::INT::DOUBLE AS target, category FROM votes WHERE {_UNSEEN}), c AS (SELECT category FROM e GROUP BY 1 HAVING count(DISTINCT target) = 2)
@@ -66,7 +67,11 @@ def repeated_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.repeated(rows, B.hard_negatives(rows, 0.5), 2).groupBy("row_id").agg(F.count("*").alias("times"))
 
 
-@query("silver_sample")
+@query("silver_sample", f"""WITH {VOTES}, c AS (SELECT target, count(*) AS n FROM votes GROUP BY target), b AS (SELECT *, least(n, 20000, 5000 // (SELECT count(*) FROM c)) AS base FROM c),
+  r AS (SELECT *, n - base AS spare, least(5000 - sum(base) OVER (), sum(n - base) OVER ()) AS rest, sum(n - base) OVER () AS room FROM b), p AS (SELECT *, (rest * spare // greatest(1, room))::BIGINT AS share FROM r),
+  q AS (SELECT target, base + share + (share < spare AND count(*) FILTER (share < spare) OVER (ORDER BY target ROWS UNBOUNDED PRECEDING) <= rest - sum(share) OVER ())::INT AS take FROM p),
+  x AS (SELECT v.*, row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws('|', id1, id2, 9)), id1, id2) AS rk FROM votes v)
+  SELECT id1, id2, target, category, row_number() OVER (ORDER BY md5(concat_ws('|', id1, id2, '9-order')), id1, id2) - 1 AS row_id FROM x JOIN q USING (target) WHERE rk <= take""")
 def silver_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.silver_sample(votes(spark, sf_dir), 5000, 9)
 
@@ -110,11 +115,35 @@ def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(spark, sf_dir).groupBy("fold").agg(F.count("*").alias("rows"), F.avg("target").alias("rate"), F.countDistinct("component").alias("components"))
 
 
-@query("micro_batches")
+_MICRO = f"""{SCORED}, pools AS (SELECT category, sum((target > 0.5)::INT) AS p, sum((target <= 0.5)::INT) AS m FROM scored GROUP BY category HAVING sum((target > 0.5)::INT) > 0 AND sum((target <= 0.5)::INT) > 0),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', category, 17)), category) - 1 AS c, count(*) OVER () AS cats FROM pools),
+  sched AS (SELECT r.*, batch, (floor((batch + 1) * 4.8::DOUBLE) - floor(batch * 4.8::DOUBLE))::BIGINT AS want, slot, batch // cats AS turn FROM ranked r, (SELECT unnest(range(0, 40)) AS batch), (SELECT unnest(range(0, 16)) AS slot) WHERE batch % cats = c),
+  asked AS (SELECT batch, slot, category, slot < want AS pos, CASE WHEN slot < want THEN (turn * 16 + slot) % p ELSE (turn * 16 + slot - want) % m END AS place FROM sched),
+  placed AS (SELECT category, target > 0.5 AS pos, row_id, row_number() OVER (PARTITION BY category, target > 0.5 ORDER BY md5(concat_ws('|', row_id, 17)), row_id) - 1 AS place FROM scored),
+  micro AS (SELECT batch, slot, category, row_id, pos FROM asked JOIN placed USING (category, pos, place))"""
+
+
+@query("micro_batches", f"WITH {_MICRO} SELECT * FROM micro", integer="batch slot")
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.micro_batches(scored(spark, sf_dir), 0.3, 40, 17)
 
 
+@query("replayed_batches", f"WITH {_MICRO} SELECT batch // 4 AS batch, batch % 4 * 16 + slot AS slot, category, row_id, pos FROM micro", bigint="batch", integer="slot")
+def replayed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The micro-batches again, four as one."""
+    fixed = materialize(B.micro_batches(scored(spark, sf_dir), 0.3, 40, 17), "micro-batches")
+    return B.replayed(fixed, 4)
+
+
+@query("category_uniform_batches", f"""WITH {SCORED}, sizes AS (SELECT category, count(*) AS n FROM scored GROUP BY category), ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', category, 19)), category) - 1 AS c, count(*) OVER () AS cats, sum(n) OVER () AS whole FROM sizes),
+  asked AS (SELECT category, n, cats, ask, k, ((ask // cats) * 16 + k) % n AS place FROM (SELECT unnest(range(0, ((max(whole) + 31) // 32 * 2)::BIGINT)) AS ask FROM ranked) a, ranked, (SELECT unnest(range(0, 16)) AS k) WHERE ask % cats = c),
+  placed AS (SELECT category, row_id, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', row_id, 19)), row_id) - 1 AS place FROM scored)
+  SELECT ask // 2 AS batch, ask % 2 * 16 + k AS slot, category, row_id FROM asked JOIN placed USING (category, place)""", bigint="batch slot")
+def category_uniform_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 32 rows, half from each of two categories in turn."""
+    return B.category_uniform_batches(scored(spark, sf_dir), 32, 19, 2)
+
+
 _TOKEN = "CASE WHEN p_partkey % 9 = 0 THEN 'ab' || (p_partkey % 97) || 'c' ELSE 'ab' || (p_partkey % 97) || 'cst' || (p_partkey % 7) END"
 
 
@@ -131,10 +160,20 @@ def prefix_near_miss_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.near_misses(brand_edges(spark, sf_dir), _token_items(spark, sf_dir), 0.3, 0.6)
 
 
-@query("hard_identifier_negatives")
+_HARD = f"""{FEATURE_ITEM}, {BRAND_EDGES}, edge AS (SELECT id1, id2, row_number() OVER (ORDER BY id1, id2) - 1 AS row_id FROM brand_edges), members AS (SELECT id1 AS id, row_id FROM edge UNION ALL SELECT id2, row_id FROM edge),
+  first AS (SELECT id, min(row_id) AS source_row_id FROM members GROUP BY id), i AS (SELECT id, unnest(idt) AS token FROM feat), df AS (SELECT token, count(*) AS df FROM i GROUP BY token), n AS (SELECT count(*)::DOUBLE AS n FROM part),
+  rare AS (SELECT id, token FROM i JOIN df USING (token), n WHERE ln(n / df) / ln(n) >= 0.5),
+  x AS (SELECT a.id AS id1, a.token AS s, b.id AS id2, b.token AS t FROM rare a JOIN rare b ON left(a.token, ceil(length(a.token) * 0.8::DOUBLE)::INT) = left(b.token, ceil(length(a.token) * 0.8::DOUBLE)::INT) AND a.token <> b.token
+    WHERE a.id IN (SELECT id FROM first) AND b.id NOT IN (SELECT id FROM first)),
+  near AS (SELECT DISTINCT id1, id2 FROM x WHERE len(list_filter(range(1, least(length(s), length(t)) + 1), lambda k: left(s, k) = left(t, k)))::DOUBLE / greatest(length(s), length(t)) >= 0.8),
+  made AS (SELECT id1, id2, 0.0::DOUBLE AS target, 0 AS fold, source_row_id, (SELECT max(row_id) FROM edge) + row_number() OVER (ORDER BY source_row_id, id1, id2) AS row_id FROM near JOIN first ON id = id1)"""
+
+
+@query("hard_identifier_negatives", f"""WITH {_HARD} SELECT row_id, id1, id2, target, fold, source_row_id, CASE WHEN a.category = b.category THEN a.category ELSE least(a.category, b.category) || ' | ' || greatest(a.category, b.category) END AS category,
+  'category: ' || a.category || chr(10) || {item_sql('a', 'a')} AS text_a, {item_sql('b', 'b')} AS text_b, true AS is_synthetic FROM made JOIN feat a ON a.id = least(id1, id2) JOIN feat b ON b.id = greatest(id1, id2)""")
 def hard_identifier_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic negatives of near misses of article numbers that differ in their last digits, for all brand pairs."""
-    items = C.canonicalize(raw_items(spark, sf_dir))
+    items = materialize(C.canonicalize(raw_items(spark, sf_dir)), "canonical-items")
     positives = B.with_row_id(brand_edges(spark, sf_dir), "id1", "id2").withColumn("fold", F.lit(0))
     return A.hard_identifier_negatives(positives, items, 0.5, 0.8, 1_000_000)
 
@@ -169,7 +208,15 @@ def attribute_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row_id", "selected", F.array_join(F.array_sort(A.fragments(F.col("text_a"), A.PREFIX_A)), ";").alias("sorted_a"), "changed")
 
 
-@query("stub_scorer")
+@query("permutation_summary", f"""WITH {SCORED}, {_SERIAL}, x AS (SELECT *, ('0x' || substr(md5(concat_ws('|', 22, row_id, 'pair')), 1, 8))::BIGINT < (0.5 * 4294967296)::BIGINT AS selected FROM serial)
+  SELECT count(*) AS rows, sum(selected::INT) AS selected, sum((selected AND (len(list_distinct(fa)) > 1 OR len(list_distinct(fb)) > 1))::INT) AS changed, sum((NOT selected)::INT) AS clean FROM x""", bigint="selected changed clean")
+def permutation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.permutation_summary(A.attribute_permutation(_serialized(spark, sf_dir), 0.5, 22))
+
+
+@query("stub_scorer", f"""WITH {SCORED}, {_SERIAL}, w AS (SELECT row_id, target, list_distinct(list_concat(['category:', category, 'attributes_a:'], list_transform(fa, lambda x, i: x || CASE WHEN i < len(fa) THEN ';' ELSE '' END))) AS a,
+  list_distinct(list_concat(['name_b:', 'x', 'attributes_b:'], list_transform(fb, lambda x, i: x || CASE WHEN i < len(fb) THEN ';' ELSE '' END))) AS b FROM serial)
+  SELECT row_id AS row_index, row_id AS id1, row_id + 1 AS id2, target, 0 AS fold, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS text_score FROM w""")
 def stub_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pluggable scorer with its stand-in model."""
     return scoring.score_pairs(_serialized(spark, sf_dir), scoring.token_overlap_scorer, fold=0)
@@ -196,15 +243,17 @@ def text_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).groupBy("category").agg(F.count("*").alias("pairs"), F.sum("target").alias("positives"))
 
 
-@query("length_sorted")
+@query("length_sorted", "SELECT doc_id, length(text) AS length FROM documents", integer="length")
 def length_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.operators.ranking import length_sorted as sort
 
     return sort(table(spark, sf_dir, "documents").select("doc_id", "text"), 8, "text").select("doc_id", F.length("text").alias("length"))
 
 
-@query("prepared_pairs")
+@query("prepared_pairs", f"""WITH {FEATURE_ITEM}, {BRAND_EDGES}, edge AS (SELECT id1, id2, target, row_number() OVER (ORDER BY id1, id2) - 1 AS row_id FROM brand_edges)
+  {all_features_sql('edge', f", target, row_id, 'category: ' || a.category || chr(10) || {item_sql('a', 'a')} AS text_a, {item_sql('b', 'b')} AS text_b")}""")
 def prepared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand pairs with all features and both texts."""
     pairs = B.with_row_id(brand_edges(spark, sf_dir), "id1", "id2")
-    return P.prepare_pairs(pairs, C.canonicalize(raw_items(spark, sf_dir)))
+    made = P.prepare_pairs(pairs, C.canonicalize(raw_items(spark, sf_dir)))
+    return made.select(*(F.round(c, 6).alias(c) if kind == "double" and c != "target" else c for c, kind in made.dtypes))
