@@ -221,11 +221,16 @@ def all_features_sql(pairs: str, more: str = "") -> str:
     return f"SELECT id1, id2, {category}, {', '.join(f'round(({v})::DOUBLE, 6) AS {k}' for k, v in values.items())}{more} FROM {pairs} JOIN feat a ON a.id = id1 JOIN feat b ON b.id = id2"
 
 
+def _six(name: str) -> F.Column:
+    """A value of 0 or more to six decimals, in plain arithmetic: ``round`` goes through decimals."""
+    return (F.floor(F.col(name) * 1e6 + 0.5) / 1e6).alias(name)
+
+
 @query("pair_features_all", f"WITH {FEATURE_ITEM}, {_COORD} {all_features_sql('co_ordered')}")
 def pair_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 67 features and the pair's category."""
-    made = P.features(P.join_items(co_ordered(spark, sf_dir), P.prepared_items(_plain_items(spark, sf_dir))))
-    return made.select("id1", "id2", "category", *(F.round(c, 6).alias(c) for c in made.columns if c not in ("id1", "id2", "category")))
+    made = P.features(P.join_items(co_ordered(spark, sf_dir), P.prepared_items(C.canonicalize(raw_items(spark, sf_dir)))))
+    return made.select("id1", "id2", "category", *(_six(c) for c in made.columns if c not in ("id1", "id2", "category")))
 
 
 @query("aligned_attributes", f"WITH {FEATURE_ITEM}, pairs AS (SELECT p_partkey AS id1, p_partkey + 1 AS id2 FROM part) SELECT id1, id2, COLUMNS('aligned_attribute_.*') FROM ({all_features_sql('pairs')})")
@@ -299,7 +304,7 @@ def _plain_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_df", f"WITH {_NAME} SELECT token, count(*) AS df FROM name GROUP BY token")
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.document_frequency(_plain_items(spark, sf_dir), T.tokens(F.col("name_norm"))).withColumnRenamed("item", "token")
+    return K.document_frequency(C.canonicalize(raw_items(spark, sf_dir)), T.tokens(F.col("name_norm"))).withColumnRenamed("item", "token")
 
 
 @query("token_idf", f"WITH {_NAME}, df AS (SELECT token, count(*) AS df FROM name GROUP BY token) SELECT id, token, round(ln(n::DOUBLE / df) / ln(n::DOUBLE), 6) AS idf FROM name JOIN df USING (token), total")
@@ -319,7 +324,7 @@ def category_token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("brand_percentile", "SELECT brand, df, round(cume_dist() OVER (ORDER BY df), 6) AS percentile FROM (SELECT lower(replace(p_brand, '#', ' ')) AS brand, count(*) AS df FROM part GROUP BY ALL)")
 def brand_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _plain_items(spark, sf_dir)
+    items = C.canonicalize(raw_items(spark, sf_dir))
     ranked = K.brand_percentiles(K.document_frequency(items.where("brand_norm <> ''"), F.array("brand_norm")))
     return ranked.select(F.col("item").alias("brand"), "df", F.round("percentile", 6).alias("percentile"))
 
@@ -355,7 +360,7 @@ def transductive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All twelve corpus features of the widest profile."""
     items = _plain_items(spark, sf_dir)
     joined = P.join_items(co_ordered(spark, sf_dir), K.annotate(items, K.statistics(items)))
-    return joined.select("id1", "id2", *(F.round(v, 6).alias(k) for k, v in K.transductive_features(joined).items()))
+    return joined.select("id1", "id2", *(v.alias(k) for k, v in K.transductive_features(joined).items())).select("id1", "id2", *map(_six, K.PROFILES["h12-v1-c1-c2"]))
 
 
 @query("same_category_pairs", f"WITH {_COORD} SELECT id1, id2, a.p_type AS category FROM co_ordered JOIN part a ON a.p_partkey = id1 JOIN part b ON b.p_partkey = id2 AND b.p_type = a.p_type")
