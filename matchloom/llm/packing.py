@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.bpe import byte_symbols
 from matchloom.llm.common import Numbers, map_batches, slices
-from matchloom.plans.durable import materialize
+from matchloom.plans.durable import compact, materialize
 
 SIZE, LEAST_SHARE, END = 4096, 64, 2
 #: Words after which a worker's cache is emptied.
@@ -252,7 +252,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, source string, n_tokens long, ids binary")
+    return map_batches(compact(rows), run, "doc_id long, source string, n_tokens long, ids binary")
 
 
 @dataclass(frozen=True)
