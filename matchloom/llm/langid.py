@@ -23,7 +23,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,24 +60,28 @@ class Model:
     def __post_init__(self) -> None:
         self._numbers: dict[str, int] = {}
         self._cached = np.zeros((1024, len(self.languages)), dtype=np.float32)
+        self._views = tuple(map(memoryview, (self.starts, self.where, self.above)))  # plain numbers by place, faster than from arrays
         self._most = max(1, min(CACHED, CACHED_BYTES // (4 * max(1, len(self.languages)))))
 
-    def _row(self, k: int, kind: int) -> np.ndarray:
-        out = self.floor[kind].copy()
-        part = slice(self.starts[k], self.starts[k + 1])
-        out[self.where[part]] += self.above[part]
-        return out
+    def _mean(self, found: list[int], kind: int) -> np.ndarray:
+        """Mean log frequency by language of known words or n-grams of one kind."""
+        starts, where, above = self._views
+        total = [0.0] * len(self.languages)
+        for k in found:
+            for j in range(starts[k], starts[k + 1]):
+                total[where[j]] += above[j]
+        return self.floor[kind] + np.array(total, dtype=np.float32) / np.float32(len(found))
 
     def vector(self, word: str) -> np.ndarray:
         """Log frequency by language: of the word, else of its longest known n-grams."""
         known = self.words.get(word)
         if known is not None:
-            return self._row(known, 0)
+            return self._mean([known], 0)
         for n in ORDERS:
             padded = f" {word} " if n > 1 else word
             found = [v for i in range(len(padded) - n + 1) if (v := self.grams.get(padded[i : i + n])) is not None]
             if found:
-                return sum(self._row(k, n) for k in found) / np.float32(len(found))
+                return self._mean(found, n)
         return np.zeros(len(self.languages), dtype=np.float32)
 
     def _learn(self, words: list[str]) -> None:
@@ -142,26 +145,34 @@ def fit(counts: list[tuple[str, str, int]], grams: int = GRAMS) -> Model:
     """A model from word counts by language."""
     languages = sorted({x for x, _, _ in counts})
     place = {x: i for i, x in enumerate(languages)}
-    tables: list[dict[str, Counter[int]]] = [defaultdict(Counter) for _ in range(max(ORDERS) + 1)]
+    tables: list[dict[str, dict[int, int]]] = [{} for _ in range(max(ORDERS) + 1)]
+
+    def count(items: dict[str, dict[int, int]], key: str, at: int, n: int) -> None:
+        found = items.get(key)
+        if found is None:
+            items[key] = {at: n}
+        else:
+            found[at] = found.get(at, 0) + n
+
     for lang, word, n in counts:
         at = place[lang]
-        tables[0][word][at] += n
+        count(tables[0], word, at, n)
         for size in ORDERS:
             padded = f" {word} " if size > 1 else word
             for i in range(len(padded) - size + 1):
-                tables[size][padded[i : i + size]][at] += n
+                count(tables[size], padded[i : i + size], at, n)
     known: list[dict[str, int]] = []
     floor = np.zeros((len(tables), len(languages)), dtype=np.float32)
     starts, where, above = [0], [], []
     for size, items in enumerate(tables):
-        whole: Counter[int] = Counter()
+        whole = [0] * len(languages)
         by: list[list[tuple[int, str]]] = [[] for _ in languages]
         for key, found in items.items():
-            whole.update(found)
             for at, n in found.items():
+                whole[at] += n
                 by[at].append((-n, key))
         kept = items.keys() if not size else {key for mine in by for _, key in heapq.nsmallest(grams, mine)}
-        floor[size] = [math.log(0.5 / (whole[i] + 0.5 * len(items))) if items else 0.0 for i in range(len(languages))]
+        floor[size] = [math.log(0.5 / (n + 0.5 * len(items))) if items else 0.0 for n in whole]
         numbered = {}
         for key in sorted(kept):
             numbered[key] = len(starts) - 1
