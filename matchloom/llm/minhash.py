@@ -29,7 +29,7 @@ SHINGLE, BINS, STORED, TRIES = 5, 256, 4, 16
 _VALUE_BITS = 64 - (BINS.bit_length() - 1)
 _TOP = (1 << _VALUE_BITS) - 1
 #: Rows of one ordered chunk; most chunks, whose bounds of 24 bytes each are broadcast; and those that a row is compared with at a time.
-CHUNK_ROWS, GROUP = 500, 400
+CHUNK_ROWS, GROUP = 1000, 400
 MOST_CHUNKS = GROUP * GROUP
 
 
