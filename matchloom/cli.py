@@ -7,6 +7,7 @@ import json
 import sys
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from matchloom.operators import ranking as R
 from matchloom.operators import sampling as B
 from matchloom.operators import scoring
 from matchloom.operators.canonical import canonicalize
+from matchloom.plans.durable import materialize
 from matchloom.plans.session import SETTINGS, ship
 from matchloom.sources import io
 
@@ -128,6 +130,17 @@ def prepare_pairs(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"rows": rows}
 
 
+@command("prepare-novel-holdout", "--items", "--holdout", "--output", ("--profile", {"choices": tuple(K.PROFILES), "default": None}))
+def prepare_holdout(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """A holdout's own items made canonical and its pairs prepared; with a profile all items are, as its statistics cover them."""
+    pairs, items = io.read_table(spark, a.holdout, ("id1", "id2", "row_id")), io.read_items(spark, a.items)
+    canonical = materialize(canonicalize(items if a.profile else P.only_ids(items, P.endpoint_ids(pairs))), "holdout-items")
+    missing = P.missing_ids(pairs, canonical).count()
+    if missing:
+        raise ValueError(f"{missing} ids of pairs are missing")
+    return {"rows": io.write_table(P.prepare_pairs(pairs, canonical, profile=a.profile), a.output)}
+
+
 @command("score-pairs", "--pairs", "--output", _opt("--fold", None, int))
 def score(spark: SparkSession, a: argparse.Namespace) -> dict:
     """The stand-in scorer; a trained one is passed to ``operators.scoring.score_pairs``."""
@@ -220,6 +233,14 @@ def train_fusion(spark: SparkSession, a: argparse.Namespace) -> dict:
     return facts
 
 
+@command("research-diagnose-fusion-shift", "--pairs", "--oof", "--final", "--model", _opt("--top-fraction", 0.01))
+def diagnose_fusion(spark: SparkSession, a: argparse.Namespace) -> dict:
+    rows = _with_scores(spark, a.pairs, oof=a.oof, final=a.final)
+    model = PipelineModel.load(a.model)
+    names = model.stages[0].getInputCols()
+    return {"shift": [r.asDict() for r in X.fusion_shift(model, rows, names, "oof", "final", fraction=a.top_fraction).orderBy("what", "slice").collect()]}
+
+
 @command("evaluate-holdout", "--pairs", "--text", "--hybrid", _opt("--public-macro-ap", 0.3664957802653864))
 def evaluate_holdout(spark: SparkSession, a: argparse.Namespace) -> dict:
     rows = _with_scores(spark, a.pairs, text=a.text, hybrid=a.hybrid)

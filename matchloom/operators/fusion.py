@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators import metrics as M
+from matchloom.operators import ranking as R
 from matchloom.operators.corpus import schema_digest
 from matchloom.plans.durable import materialize
 
@@ -70,6 +73,24 @@ def predict(model: PipelineModel, df: DataFrame, names: list[str], strict: bool
     return model.transform(filled).drop("__x")
 
 
+def fusion_shift(model: PipelineModel, rows: DataFrame, names: list[str], before: str, after: str, score: str = "text_score", key: str = "row_id", fraction: float = 0.01, strict: bool = True) -> DataFrame:
+    """How a fixed fusion reacts to another score as its input: ``score_shift`` with ``what``: its input, its output, and input against output before and after.
+
+    Only ranks are described; nothing here validates a model. Raises where a prediction is not finite or, if ``strict``, a rank correlation is undefined.
+    """
+    out = rows.select(key, "category", before, after)
+    for name, column in (("fused_before", before), ("fused_after", after)):
+        out = out.join(predict(model, rows.withColumn(score, F.col(column)).select(key, *names), names, strict=True).select(key, F.col("score").alias(name)), key)
+    out = materialize(out, "fused")
+    R.require_finite(out, "fused_before", "fused_after")
+    pairs = {"input": (before, after), "output": ("fused_before", "fused_after"), "before": (before, "fused_before"), "after": (after, "fused_after")}
+    parts = [M.score_shift(out, a, b, key, fraction=fraction).select(F.lit(what).alias("what"), "*") for what, (a, b) in pairs.items()]
+    found = materialize(reduce(DataFrame.unionByName, parts), "fusion-shift")
+    if strict and not found.where("spearman is null or isnan(spearman)").isEmpty():
+        raise ValueError("a rank correlation is undefined")
+    return found
+
+
 def round_trip_gap(model: PipelineModel, df: DataFrame, path: str) -> float:
     """Greatest difference of predictions after saving and loading the model."""
     model.write().overwrite().save(path)

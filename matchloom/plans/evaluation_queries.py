@@ -82,6 +82,14 @@ def top_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.top_overlap(scored(spark, sf_dir), "score", "other", "row_id", ["category"], 0.1), "overlap")
 
 
+@query("score_shift", f"""WITH {SCORED}, l AS (SELECT category AS slice, row_id, score, other FROM scored UNION ALL SELECT '*', row_id, score, other FROM scored),
+  r AS (SELECT slice, rank() OVER (PARTITION BY slice ORDER BY score) + (count(*) OVER (PARTITION BY slice, score) - 1) / 2.0 AS x, rank() OVER (PARTITION BY slice ORDER BY other) + (count(*) OVER (PARTITION BY slice, other) - 1) / 2.0 AS y,
+  row_number() OVER (PARTITION BY slice ORDER BY score DESC, row_id) AS a, row_number() OVER (PARTITION BY slice ORDER BY other DESC, row_id) AS b, ceil(count(*) OVER (PARTITION BY slice) * 0.1::DOUBLE)::BIGINT AS take FROM l)
+  SELECT slice, count(*) AS n, round(corr(x, y), 6) AS spearman, max(take) AS take, round(sum((a <= take AND b <= take)::INT)::DOUBLE / sum((a <= take OR b <= take)::INT), 6) AS overlap FROM r GROUP BY slice""")
+def score_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(M.score_shift(scored(spark, sf_dir), "score", "other", fraction=0.1), "spearman", "overlap")
+
+
 _TWO = f"{SCORED}, two AS (SELECT *, CASE WHEN row_id % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM scored)"
 
 
@@ -199,7 +207,7 @@ def prevalence_matched_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("prevalence_proportional_ap", f"""WITH RECURSIVE {SCORED}, c AS (SELECT category, count(*) FILTER (target > 0.5)::DOUBLE AS p, count(*) FILTER (target <= 0.5)::DOUBLE AS n FROM scored GROUP BY category),
-  newton AS (SELECT 0::DOUBLE AS s, 0 AS i UNION ALL SELECT s + (0.3 - (SELECT avg(p * s / (p * s + n)) FROM c)) / (SELECT avg(p * n / ((p * s + n) * (p * s + n))) FROM c), i + 1 FROM newton WHERE i < 60),
+  newton AS (SELECT 0::DOUBLE AS s, 0 AS i UNION ALL SELECT s + greatest(0, 0.3 - (SELECT avg(CASE WHEN n > 0 THEN p * s / (p * s + n) ELSE 1 END) FROM c)) / (SELECT avg(CASE WHEN n > 0 THEN p * n / ((p * s + n) * (p * s + n)) ELSE 0 END) FROM c), i + 1 FROM newton WHERE i < 60),
   keep AS (SELECT category, greatest(5, least(p, round_even(p * least(1, (SELECT max(s) FROM newton)), 0)))::BIGINT AS k FROM c),
   d AS (SELECT s.*, draw, row_number() OVER (PARTITION BY s.category, draw, target > 0.5 ORDER BY md5(concat_ws('|', row_id, draw, 5)), row_id) AS r FROM scored s, (SELECT unnest(range(0, 8)) AS draw)),
   kept AS (SELECT d.* FROM d JOIN keep USING (category) WHERE target <= 0.5 OR r <= k) SELECT category, max(positives)::BIGINT AS kept_positives, round(avg(ap), 6) AS ap FROM {ap_sql('kept', 'score', 'category, draw')} GROUP BY category""")

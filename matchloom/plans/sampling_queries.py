@@ -230,6 +230,14 @@ def fusion_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "fold", "category", "target", "score")
 
 
+@query("fusion_shift")
+def fusion_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a fusion's ranks when its text score is replaced."""
+    rows = scored(spark, sf_dir).withColumns({"fold": F.pmod(F.xxhash64("row_id"), F.lit(3)).cast("int"), "size": F.pmod(F.col("row_id"), F.lit(13)).cast("double")})
+    facts, _, model = X.train_oof(rows.withColumnRenamed("score", "text_score").drop("other"), depths=(3,), rates=(0.2,), trees=5)
+    return X.fusion_shift(model, rows, facts["features"], "score", "other", fraction=0.1, strict=False)
+
+
 @query("covariate_shift")
 def covariate_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Support, overlap and two-sample AUC of the scores of even and odd rows."""

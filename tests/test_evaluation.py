@@ -116,6 +116,16 @@ def test_prevalence(spark):
     kept = M.proportional_positives(counts, 0.2)
     assert np.mean([kept[c] / (kept[c] + n) for c, (_, n) in counts.items()]) == pytest.approx(0.2, abs=0.01)
     assert M.proportional_positives(counts, 0.9) == {"A": 80, "B": 10}
+    rng = random.Random(9)
+    for _ in range(50):
+        some = {k: (rng.randint(1, 500), rng.choice([0, 1, 7, 900])) for k in range(rng.randint(1, 6))}
+        want = rng.uniform(0.01, 0.99)
+        mean = lambda s: np.mean([p * s / (p * s + n) if n else 1.0 for p, n in some.values()])
+        low, high = 0.0, 1.0
+        for _ in range(80):  # by halving
+            low, high = ((low + high) / 2, high) if mean((low + high) / 2) < want else (low, (low + high) / 2)
+        got = M.proportional_positives(some, want)
+        assert all(abs(got[k] - some[k][0] * low) <= 0.500001 for k in some), (some, want)
     rng = random.Random(3)
     df = rows_of(spark, [rng.random() < 0.6 for _ in range(300)], [rng.random() for _ in range(300)], ["A"] * 300)
     r = M.prevalence_matched(df, ["row_id"], prevalence=0.2, mode="uniform", repeats=4).first()
@@ -164,3 +174,76 @@ def test_bootstrap_draws_as_many_rows_as_there_are(spark):
         assert r["n"] == sizes[r["category"]] and r["top"] < r["n"]
     a, b = (M.paired_bootstrap(d, "control", "candidate", samples=5, seed=3).orderBy("sample").collect() for d in (df, df.repartition(5)))
     assert [r["difference"] for r in a] == pytest.approx([r["difference"] for r in b])
+
+
+def test_places_sums_and_quantiles_over_ranged_parts(spark):
+    from matchloom.operators import ordering as O
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["A", "A", "B", None]), rng.randrange(12) / 4, rng.randrange(5)) for i in range(300)] + [(900, "C", 1.5, 1)]
+    df = spark.createDataFrame(rows, "i long, g string, x double, w long").repartition(5)
+    placed = O.place_within(df, ["g"], [F.desc("x"), F.asc("i")], "p").collect()
+    for name in ("A", "B", None, "C"):
+        mine = sorted((r for r in placed if r["g"] == name), key=lambda r: r["p"])
+        assert [r["p"] for r in mine] == list(range(len(mine))) and [(-r["x"], r["i"]) for r in mine] == sorted((-r["x"], r["i"]) for r in mine)
+    levels = df.groupBy("g", "x").agg(F.sum("w").alias("w"))
+    for r in O.running_sum(levels, ["g"], "x", "w", "upto").collect():
+        assert r["upto"] == sum(w for _, g, x, w in rows if g == r["g"] and x <= r["x"])
+    fractions = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    for r in M.exact_quantiles(df, "x", fractions, ["g"]).collect():
+        assert r["q"] == pytest.approx(np.quantile([x for _, g, x, _ in rows if g == r["g"]], fractions).tolist())
+    assert M.exact_quantiles(df, "x", (0.5,)).first()["q"] == pytest.approx([np.quantile([r[2] for r in rows], 0.5)])
+    assert M.exact_quantiles(df.limit(0), "x", (0.5,), ["g"]).collect() == []
+
+
+def test_finite_scores_folds_and_three_ways(spark):
+    df = rows_of(spark, [0, 1], [0.1, 0.2], "AB")
+    for bad in (float("inf"), float("-inf"), float("nan"), None):
+        with pytest.raises(ValueError):
+            R.percentile_rank(df.withColumn("score", F.when(F.col("row_id") == 0, F.lit(bad)).otherwise(F.col("score"))), "score")
+    pairs = spark.createDataFrame([(0, 1, 2, 0), (1, 3, 4, 1)], "row_id long, id1 long, id2 long, fold int")
+    score = lambda rows: spark.createDataFrame(rows, "row_index long, id1 long, id2 long, text_score double, fold int")
+    good = [(1, 3, 4, 0.25, 1), (0, 1, 2, 0.5, 0)]
+    assert [r["row_id"] for r in R.strict_score_join(pairs, score(good), ordered=True).collect()] == [0, 1]
+    for bad in ([(0, 1, 2, 0.5, 1), good[0]], [(0, 1, 2, float("inf"), 0), good[0]]):
+        with pytest.raises(ValueError):
+            R.strict_score_join(pairs, score(bad))
+    assert R.three_way(pairs, score(good), score(good)).count() == 2
+    for bad in (good[:1], good + good[:1]):
+        with pytest.raises(ValueError):
+            R.three_way(pairs, score(good), score(bad))
+
+
+def test_release_gates(spark):
+    rows = gate_rows(spark, 0.6).withColumns({"id1": F.col("row_id"), "id2": F.col("row_id") + 1})
+    gold = rows.select("row_id", "id1", "id2", "target", "category")
+    table = lambda c: rows.select(F.col("row_id").alias("row_index"), "id1", "id2", F.col(c).alias("text_score"))
+    better, worse = G.ordinary_gate(gold, table("control"), table("candidate")), G.ordinary_gate(gold, table("candidate"), table("control"))
+    assert better.passed and not worse.passed and set(worse.failing) == {"A", "B"} and better.gain == pytest.approx(-worse.gain)
+    fused = G.fusion_gate(gold, table("control"), table("candidate"), samples=10)
+    assert fused.passed and fused.interval[0] > 0 and fused.positive_rate == 1.0
+    before = {r["category"]: r["ap"] for r in M.average_precision(rows, ["category"], score="control").collect()}
+    assert G.stress_gate(gold, before, table("candidate")).passed and not G.stress_gate(gold, before, table("control")).passed
+    assert G.combined_gate(better, better) and not G.combined_gate(better, worse)
+    for wrong in (lambda: G.stress_gate(gold, {"A": 0.1}, table("candidate")), lambda: G.ordinary_gate(gold, table("control"), table("candidate").limit(3)), lambda: G.fusion_gate(gold, table("control"), table("candidate"), samples=3)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_samples_without_positives_are_drawn_anew(spark):
+    rows = [(i, "A" if i < 12 else "B", float(i in (3, 15)), i / 30, (i * 7 % 30) / 30) for i in range(24)]
+    df = spark.createDataFrame(rows, "row_id long, category string, target double, score double, other double")
+    got = M.paired_bootstrap(df, "score", "other", samples=12, seed=2, redraws=100).collect()
+    assert len(got) == 12 and all(r["difference"] is not None for r in got)
+    with pytest.raises(ValueError):
+        M.paired_bootstrap(df, "score", "other", samples=12, seed=2, redraws=1)
+
+
+def test_score_shift_and_means(spark):
+    df = rows_of(spark, [0] * 40, [i / 40 for i in range(40)], "AB" * 20, [(i * 7 % 40) / 40 for i in range(40)])
+    shift = {r["slice"]: r for r in M.score_shift(df, "score", "score", fraction=0.1).collect()}
+    assert set(shift) == {"*", "A", "B"} and all(r["spearman"] == pytest.approx(1) and r["overlap"] == 1 for r in shift.values()) and shift["*"]["take"] == 4
+    with pytest.raises(ValueError):
+        M.score_shift(df, "score", "other", fraction=0)
+    means = {(r["category"], r["feature"]): r["mean"] for r in M.profile_means(df, ["score", "other"], "category").collect()}
+    assert means["A", "score"] == pytest.approx(np.mean([i / 40 for i in range(0, 40, 2)]))

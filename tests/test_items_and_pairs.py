@@ -121,3 +121,15 @@ def test_features_do_not_depend_on_partitioning(spark, canon):
     pairs = spark.createDataFrame([(i % 6 + 1, j % 6 + 1) for i in range(6) for j in range(i)], "id1 long, id2 long")
     one = sorted(map(str, P.features(P.join_items(pairs, P.prepared_items(canon))).collect()))
     assert sorted(map(str, P.features(P.join_items(pairs.repartition(7), P.prepared_items(canon.repartition(3)))).collect())) == one
+
+
+def test_prepared_pairs_with_a_profile_and_same_category(spark):
+    rows = [(1, "Rare 123 common", '{"Бренд":"B"}', "drives"), (2, "Rare 123 common", '{"Бренд":"B"}', "drives"), (3, "common", '{"Бренд":"C"}', ""), (4, "common", None, "other"), (5, "x", None, "")]
+    items = C.canonicalize(spark.createDataFrame(rows, RAW_ITEM))
+    pairs = spark.createDataFrame([(2, 1, 0), (1, 3, 1), (4, 1, 2), (3, 5, 3)], "id1 long, id2 long, row_id long")
+    plain, wide = P.prepare_pairs(pairs, items), P.prepare_pairs(pairs, items, profile="h12-v1-c1")
+    assert set(wide.columns) - set(plain.columns) == set(K.PROFILES["h12-v1-c1"]) and {"text_a", "text_b", "row_id"} <= set(plain.columns)
+    got = {r["row_id"]: r for r in wide.collect()}
+    assert len(got) == 4 and got[0]["transductive_rarest_shared_token_idf"] > 0 and got[1]["transductive_category_rarest_shared_token_idf"] == 0
+    assert [tuple(r) for r in P.same_category_pairs(pairs, items).collect()] == [(2, 1, "drives")]
+    assert K.fingerprint({"a": 1, "b": [2]}) == K.fingerprint({"b": [2], "a": 1}) != K.fingerprint({"a": 1, "b": [3]})

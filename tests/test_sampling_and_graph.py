@@ -53,6 +53,23 @@ def test_balanced_quotas():
             B.balanced_quotas(*bad)
 
 
+def test_quotas_are_even_and_whole():
+    rng = random.Random(3)
+    for _ in range(200):
+        caps = {k: rng.randint(0, 30) for k in "abcdefg"[: rng.randint(1, 7)]}
+        most = rng.randint(1, 120)
+        if not any(caps.values()):
+            continue
+        q = B.balanced_quotas(caps, most)
+        assert sum(q.values()) == min(most, sum(caps.values())) and all(0 < caps[k] >= n for k, n in q.items())
+        open_ = sorted(k for k in q if q[k] < caps[k])
+        assert not open_ or [q[k] for k in open_] == sorted((q[k] for k in open_), reverse=True) and max(q.values()) - min(q[k] for k in open_) <= 1
+        levels = {k / 9: rng.randint(1, 40) for k in range(rng.randint(1, 9))}
+        take = B.level_quotas(levels, most)
+        assert sum(take.values()) == min(most, sum(levels.values())) and all(take[k] <= levels[k] for k in levels)
+        assert all(take[k] >= min(levels[k], most // len(levels)) for k in levels)
+
+
 def test_level_quotas():
     counts = {0.0: 1000, 0.5: 30, 1.0: 5}
     take = B.level_quotas(counts, 100)
@@ -104,6 +121,37 @@ def test_folds_do_not_leak(spark):
     assert [(r["id"], r["folds"]) for r in B.fold_leaks(leaky).collect()] == [(2, 2)]
 
 
+def test_small_components_are_dealt_in_turn(spark):
+    """Beyond the largest, strata stay balanced whatever their number."""
+    rows = [(2 * i, 2 * i + 1, float(i % 4 == 0), "AB"[i % 2]) for i in range(400)] + [(5000, 5001 + k, 1.0, "A") for k in range(9)]
+    folded = B.component_folds(spark.createDataFrame(rows, "id1 long, id2 long, target double, category string"), 4, 1, largest=0).collect()
+    assert len(folded) == len(rows)
+    by = Counter((r["category"], r["target"], r["fold"]) for r in folded if r["id1"] < 5000)
+    for stratum in {k[:2] for k in by}:
+        sizes = [by[(*stratum, f)] for f in range(4)]
+        assert max(sizes) - min(sizes) <= 1
+    assert len({r["fold"] for r in folded if r["id1"] == 5000}) == 1
+
+
+def test_category_uniform_batches_and_replay(spark):
+    rows = spark.createDataFrame([(i, "A" if i < 50 else "B" if i < 57 else "C", 0.0) for i in range(70)], "row_id long, category string, target double")
+    got = B.category_uniform_batches(rows, 8, 3, 2).collect()
+    batches = {}
+    for r in got:
+        batches.setdefault(r["batch"], []).append(r)
+    assert sorted(batches) == list(range(9)) and all(sorted(r["slot"] for r in b) == list(range(8)) and sorted(Counter(r["category"] for r in b).values()) == [4, 4] for b in batches.values())
+    assert max(Counter(r["row_id"] for r in got if r["category"] == "A").values()) == 1
+    for bad in ((8, 3), (8, 4)):
+        with pytest.raises(ValueError):
+            B.category_uniform_batches(rows, bad[0], 3, bad[1])
+    fixed = spark.createDataFrame([(b, s, b * 10 + s) for b in range(6) for s in range(4)], "batch long, slot int, row_id long")
+    again = B.replayed(fixed, 3).collect()
+    assert sorted((r["batch"], r["slot"], r["row_id"]) for r in again) == [(b // 3, b % 3 * 4 + s, b * 10 + s) for b in range(6) for s in range(4)]
+    for bad in (B.replayed, lambda d, n: B.replayed(d.where("batch < 5 or slot < 3"), 3), lambda d, n: B.replayed(d.limit(0), n)):
+        with pytest.raises(ValueError):
+            bad(fixed, 4)
+
+
 def test_degrees(spark):
     df = spark.createDataFrame([(1, 2), (3, 4), (3, 5)], "id1 long, id2 long")
     assert [(r["degree1"], r["degree2"], r["isolated"]) for r in B.degree_stats(df).orderBy("id1", "id2").collect()] == [(1, 1, True), (2, 1, False), (2, 1, False)]
@@ -189,6 +237,8 @@ def test_scorer_takes_real_rows_of_a_fold(spark):
     got = scoring.score_pairs(df, scoring.token_overlap_scorer, fold=0).collect()
     assert [r["row_index"] for r in got] == [2] and 0 < got[0]["text_score"] < 1
     assert scoring.score_pairs(df, scoring.token_overlap_scorer).count() == 4
+    with pytest.raises(ValueError):
+        scoring.score_pairs(df.withColumn("is_synthetic", F.lit(None).cast("boolean")), scoring.token_overlap_scorer, fold=0)
 
 
 def test_fusion(spark, tmp_path):
@@ -204,3 +254,8 @@ def test_fusion(spark, tmp_path):
     assert X.two_sample_auc(df, ["text_score"], "category", "A") < 0.65 and X.two_sample_auc(df, ["text_score"], "category", "none") is None
     shifted = df.withColumn("text_score", F.col("text_score") + F.when(F.col("category") == "A", 9).otherwise(0))
     assert X.two_sample_auc(shifted, ["text_score"], "category", "A") > 0.95
+    moved = df.withColumns({"oof": F.col("text_score"), "final": F.col("text_score") * 2 + 1})
+    shift = {(r["what"], r["slice"]): r for r in X.fusion_shift(model, moved, facts["features"], "oof", "final", fraction=0.1).collect()}
+    assert len(shift) == 12 and shift["input", "*"]["spearman"] == pytest.approx(1) and shift["output", "A"]["n"] == 120
+    parts = X.ablations(df, depth=2, rate=0.3, trees=4)
+    assert parts["score_only"] > 0.8 > parts["features_only"] and parts["fusion"] > 0.8

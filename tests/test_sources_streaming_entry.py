@@ -28,9 +28,17 @@ def test_tables_and_checks(spark, tmp_path):
         io.read_table(spark, f"{tmp_path}/t", ("missing",))
     with pytest.raises(ValueError):
         io.write_table(df.limit(0), f"{tmp_path}/none")
+    assert io.read_table(spark, f"{tmp_path}/t").count() == 3
+    with pytest.raises(ValueError):
+        io.write_table(df.limit(0), f"{tmp_path}/t")
+    assert io.read_table(spark, f"{tmp_path}/t").count() == 3 and sorted(os.listdir(tmp_path)) == ["t"]  # the old table stays
+    assert io.write_table(df.limit(1), f"{tmp_path}/t") == 1 and io.read_table(spark, f"{tmp_path}/t").count() == 1
+    io.write_table(df, f"{tmp_path}/t")
+    whole = df.unionByName(spark.createDataFrame([(5, float("inf")), (6, None), (7, float("-inf"))], "k long, x double"))
+    assert io.check_table(whole, ["k"], ("x",)).first()["x_not_finite"] == 4
     assert io.check_table(df, ["k"], ("x",)).first().asDict() == {"rows": 3, "repeated": 1, "x_not_finite": 1}
     facts = io.health(spark, {"t": f"{tmp_path}/t", "no": f"{tmp_path}/no"})
-    assert (facts[0]["exists"], facts[0]["rows"], facts[1]["exists"], facts[1]["rows"]) == (True, 3, False, 0) and facts[0]["bytes"] > 0
+    assert (facts[0]["exists"], facts[0]["rows"], facts[1]["exists"], facts[1]["rows"]) == (True, 3, False, 0) and facts[0]["bytes"] > 0 and facts[0]["free"] > 0
 
 
 def test_predictions_and_reports(spark, tmp_path):
