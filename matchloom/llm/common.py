@@ -54,20 +54,28 @@ def word_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+#: Characters of all words that a cache holds at most, as a word may be a whole text without white space.
+CACHE_CHARS = 16 << 20
+
+
 class Bounded(dict):
-    """A cache that is emptied when full; its contents never change a result."""
+    """A cache that is emptied when full, in entries or in their characters; its contents never change a result."""
 
-    def room(self, more: int = 1, most: int = CACHE) -> None:
-        if len(self) + more > most:
-            self.clear()
+    chars = 0
+
+    def room(self, more: int, chars: int) -> bool:
+        """Whether so many new words fit beside the old ones, which are dropped if not."""
+        if len(self) + more <= CACHE and self.chars + chars <= CACHE_CHARS:
+            self.chars += chars
+            return True
+        self.clear()
+        self.chars = chars
+        return False
 
 
 class Numbers(dict):
     """Words to their numbers; an unknown word gets the next one and waits in ``new`` until its value joins ``ids``."""
 
-    #: Characters of all words that a cache holds at most, as a word may be a whole text without white space.
-    MOST_CHARS = 16 << 20
-
     def __init__(self) -> None:
         super().__init__()
         self.ids: list[bytes] = []
@@ -82,7 +90,7 @@ class Numbers(dict):
 
     def forget_beyond(self, most: int) -> None:
         """Empty a cache that has grown too large in words or characters; its contents never change a result."""
-        if len(self.ids) > most or self.chars > self.MOST_CHARS:
+        if len(self.ids) > most or self.chars > CACHE_CHARS:
             self.clear()
             self.ids.clear()
             self.chars = 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SLICE, bound_batches, map_batches, slices
+from matchloom.llm.common import CACHE_CHARS, SLICE, bound_batches, map_batches, slices
 from matchloom.plans.durable import materialize
 
 UNKNOWN = "und"
@@ -59,6 +59,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self._numbers: dict[str, int] = {}
+        self._chars = 0
         self._cached = np.zeros((1024, len(self.languages)), dtype=np.float32)
         self._views = tuple(map(memoryview, (self.starts, self.where, self.above)))  # plain numbers by place, faster than from arrays
         self._most = max(1, min(CACHED, CACHED_BYTES // (4 * max(1, len(self.languages)))))
@@ -87,9 +88,12 @@ class Model:
     def _learn(self, words: list[str]) -> None:
         """Number the words that the cache does not know; a full cache starts anew."""
         new = {w for w in words if w not in self._numbers}
-        if len(self._numbers) + len(new) > self._most:
+        chars = sum(map(len, new))
+        if len(self._numbers) + len(new) > self._most or self._chars + chars > CACHE_CHARS:
             self._numbers.clear()
-            new = set(words)
+            new, self._chars = set(words), 0
+            chars = sum(map(len, new))
+        self._chars += chars
         need = len(self._numbers) + len(new)
         if need > len(self._cached):
             grown = np.zeros((2 * need, len(self.languages)), dtype=np.float32)

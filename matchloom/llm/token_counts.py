@@ -9,7 +9,8 @@ byte is read once, so a word takes time linear in its length.
 
 From a byte-level BPE vocabulary: tokens with the word mark begin words, others continue them; as all
 single bytes continue and the mark alone begins a word, every word has pieces. A word is a
-run of ``[^\\x20\\x09-\\x0D]``. Null, empty and blank texts have no words and no tokens. No rows: no rows.
+run of ``[^\\x20\\x09-\\x0D]``. Null, empty and blank texts have no words and no tokens. Repeated rows are counted alike, and a very long text or word whole. Other columns are not
+read, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -112,8 +113,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             split = [word_bytes(t) for t in part.column(1).to_pylist()]
             words = set().union(*split)
             new = [w for w in words if w not in cache]
-            if len(cache) + len(new) > 300_000:
-                cache.clear()
+            if not cache.room(len(new), sum(map(len, new))):
                 new = list(words)
             cache.update((w, own.count(MARK + w)) for w in new)
             get = cache.__getitem__
