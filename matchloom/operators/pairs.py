@@ -30,12 +30,14 @@ def missing_ids(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def prepared_items(items: DataFrame, ngram: int = 3) -> DataFrame:
-    """Per-item intermediates of the features, computed once per item and not once per pair."""
+    """Per-item intermediates of the features, computed once per item and not once per pair, without the columns that no feature reads, so that they do not travel with every pair."""
     attributes = T.attribute_map(F.col("remaining_attributes"))
     facts = S.attribute_facts(attributes, lambda v: T.tokens(T.plain(v)), T.identifier_tokens, lambda v: T.numeric_tokens(T.plain(v)))
     fields = F.struct(*(T.tokens(F.col(f"{f}_norm")).alias(f) for f in PAIR_FIELDS))
     forms = F.struct(*(T.identifier_form(F.col(f"{f}_norm")).alias(f) for f in ("model", "article")))
-    return items.withColumns({"identifier_forms": forms, "name_tokens": T.tokens(F.col("name_norm")), "name_grams": T.char_ngrams(F.col("name_norm"), ngram), "attribute_facts": facts, "field_tokens": fields})
+    unread = [c for c in items.columns if c.endswith("_raw") or c in ("name_translit", "parse_error", "remaining_attributes")]
+    made = items.withColumns({"identifier_forms": forms, "name_tokens": T.tokens(F.col("name_norm")), "name_grams": T.char_ngrams(F.col("name_norm"), ngram), "attribute_facts": facts, "field_tokens": fields})
+    return made.drop(*unread)
 
 
 def join_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def prepare_pairs(pairs: DataFrame, items: DataFrame, text_only: bool = False, p
         return joined.select(*keys, S.pair_category(F.col("left.category"), F.col("right.category")).alias("category"), a.alias("text_a"), b.alias("text_b"))
     if profile:
         items = K.annotate(items, K.statistics(items, profile))
-    joined = join_items(pairs, prepared_items(items).withColumns(item_lines()))
+    joined = join_items(pairs, prepared_items(items.withColumns(item_lines())))
     a, b = serialize_pair()
     wide = joined.withColumns({"text_a": a, "text_b": b})
     made = features(wide, extra=(K.transductive_features(wide) if profile else {}) | ({"text_a": F.col("text_a"), "text_b": F.col("text_b")} if "row_id" in pairs.columns else {}))

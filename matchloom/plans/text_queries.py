@@ -237,7 +237,7 @@ def pair_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aligned_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 17 aligned-attribute features of neighbouring items."""
     pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id1"), (F.col("p_partkey") + 1).alias("id2"))
-    made = P.features(P.join_items(pairs, P.prepared_items(_plain_items(spark, sf_dir))))
+    made = P.features(P.join_items(pairs, P.prepared_items(C.canonicalize(raw_items(spark, sf_dir)))))
     return made.select("id1", "id2", *(F.round(c, 6).alias(c) for c in made.columns if c.startswith("aligned_attribute_")))
 
 
@@ -298,8 +298,8 @@ _NAME = "name AS (SELECT p_partkey AS id, p_type AS category, unnest(list_distin
 
 
 def _plain_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical items as a table: what follows reads them several times."""
-    return materialize(C.canonicalize(raw_items(spark, sf_dir)), "canonical-items")
+    """What corpus statistics read of canonical items, as a table: what follows reads it several times."""
+    return materialize(C.canonicalize(raw_items(spark, sf_dir)).select("id", "category", "name_norm", "brand_norm", "identifier_tokens", "remaining_attributes"), "counted-items")
 
 
 @query("token_df", f"WITH {_NAME} SELECT token, count(*) AS df FROM name GROUP BY token")
@@ -338,7 +338,7 @@ def brand_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM agg JOIN part a ON a.p_partkey = id1 JOIN part b ON b.p_partkey = id2 JOIN brand x ON x.p_brand = a.p_brand JOIN brand y ON y.p_brand = b.p_brand""")
 def transductive_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _plain_items(spark, sf_dir)
-    joined = P.join_items(co_ordered(spark, sf_dir), K.annotate(items, K.statistics(items, "h12-v1")))
+    joined = P.join_items(co_ordered(spark, sf_dir), K.annotate(items, K.statistics(items, "h12-v1")).drop(*items.columns[1:]))
     made = K.transductive_features(joined)
     return joined.select("id1", "id2", *(F.round(made[n], 6).alias(n) for n in K.BASE[:5]))
 
@@ -359,7 +359,7 @@ def transductive_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transductive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All twelve corpus features of the widest profile."""
     items = _plain_items(spark, sf_dir)
-    joined = P.join_items(co_ordered(spark, sf_dir), K.annotate(items, K.statistics(items)))
+    joined = P.join_items(co_ordered(spark, sf_dir), K.annotate(items, K.statistics(items)).drop(*items.columns[1:]))
     return joined.select("id1", "id2", *(v.alias(k) for k, v in K.transductive_features(joined).items())).select("id1", "id2", *map(_six, K.PROFILES["h12-v1-c1-c2"]))
 
 
