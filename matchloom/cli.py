@@ -23,7 +23,7 @@ from matchloom.operators import scoring
 from matchloom.operators.canonical import canonicalize
 from matchloom.plans.durable import materialize
 from matchloom.plans.session import SETTINGS, ship
-from matchloom.sources import io
+from matchloom.sources import archive, io
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[str, dict]]]] = {}
 
@@ -249,6 +249,11 @@ def evaluate_holdout(spark: SparkSession, a: argparse.Namespace) -> dict:
     return ap | {"mode": mode, "may_submit": G.may_submit(ap[mode], a.public_macro_ap)}
 
 
+@command("build-submission", ("--members", {"nargs": "+", "required": True, "help": "name=local path"}), "--output")
+def build_submission(spark: SparkSession, a: argparse.Namespace) -> dict:
+    return {"members": archive.write_archive(dict(x.split("=", 1) for x in a.members), a.output)}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="matchloom", description=__doc__)
     top.add_argument("--report", help="also write the result to this JSON file")

@@ -10,6 +10,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 # Letters and look-alikes of the normal forms.
 CYRILLIC_SINGLE = "абвгдезийклмнопрстуфыэ"
@@ -79,6 +80,15 @@ def normalize_text(text: Column | str) -> Column:
     return plain(fold(text))
 
 
+def as_text(value: Column, kind: DataType) -> Column:
+    """A value of any type as the text to normalise: maps, structs and arrays as JSON with sorted keys, null as null."""
+    if isinstance(kind, MapType):
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(value))))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.to_json(F.struct(*(value[n].alias(n) for n in sorted(kind.names)))))
+    return F.to_json(value) if isinstance(kind, ArrayType) else value.cast("string")
+
+
 def transliterate(normal: Column) -> Column:
     """Latin spelling of normalised Cyrillic text."""
     out = F.translate(normal, CYRILLIC_SINGLE + CYRILLIC_SILENT, LATIN_SINGLE)

@@ -54,6 +54,13 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length("norm").cast("long").alias("n_chars_norm"), F.md5("norm").alias("norm_md5"))
 
 
+@query("structured_text", "SELECT p_partkey AS id, trim(regexp_replace(lower('a ' || p_size || ' b ' || p_brand || ' z ' || p_type), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS of_struct, p_size || ' ' || (p_size + 1) AS of_array FROM part")
+def structured_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal forms of nested values: keys in order, whatever the order they are given in."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.struct(F.col("p_type").alias("z"), F.col("p_size").alias("a"), F.col("p_brand").alias("b")).alias("s"), F.array("p_size", F.col("p_size") + 1).alias("xs"))
+    return p.select("id", *(T.normalize_text(T.as_text(F.col(c), p.schema[c].dataType)).alias(name) for c, name in (("s", "of_struct"), ("xs", "of_array"))))
+
+
 @query("text_tokens", f"SELECT doc_id, len({_TOKENS}) AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens_md5 FROM documents")
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text("text").alias("norm")).select("doc_id", F.array_sort(T.tokens(F.col("norm"))).alias("t"))

@@ -52,6 +52,40 @@ def test_predictions_and_reports(spark, tmp_path):
     assert "имя" in open(f"{tmp_path}/r.json", encoding="utf-8").read() and json.load(open(f"{tmp_path}/r.json", encoding="utf-8")) == {"имя": 1}
 
 
+def test_archives_and_mirrors(spark, tmp_path):
+    import zipfile
+
+    from matchloom.sources import archive
+
+    src = tmp_path / "run"
+    src.mkdir()
+    (src / "a.json").write_text("{}")
+    (src / "b.bin").write_bytes(os.urandom(3000))
+    members, path = {"x/a.json": f"{src}/a.json", "b.bin": f"{src}/b.bin"}, f"{tmp_path}/out.zip"
+    sums = archive.write_archive(members, path)
+    assert archive.verify_archive(path) == sums and set(sums) == set(members)
+    for wrong in (lambda: archive.write_archive(members, path, 100), lambda: archive.write_archive({}, path), lambda: archive.verify_archive(path, 10)):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.warns(UserWarning), zipfile.ZipFile(path, "a") as z:
+        z.writestr("b.bin", b"again")
+    with pytest.raises(ValueError, match="repeats"):
+        archive.verify_archive(path)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("b.bin", b"other")
+        z.writestr(archive.SUMS, f"{sums['b.bin']}  b.bin\n")
+    with pytest.raises(ValueError, match="differs"):
+        archive.verify_archive(path)
+    mirror = f"file://{tmp_path}/mirror"
+    assert archive.pull(spark, mirror, f"{tmp_path}/none") is None
+    for step in ("step-1", "step-2", "step-3"):
+        (src / "a.json").write_text(step)
+        archive.push(spark, str(src), mirror, step)
+    os.mkdir(f"{tmp_path}/mirror/step-9")  # not whole
+    assert archive.whole(spark, mirror) == ["step-2", "step-3"]
+    assert archive.pull(spark, mirror, f"{tmp_path}/back") == "step-3" and (tmp_path / "back/a.json").read_text() == "step-3" and sorted(os.listdir(tmp_path / "back")) == ["a.json", "b.bin"]
+
+
 def test_config(tmp_path, monkeypatch):
     path = f"{tmp_path}/c.yaml"
     open(path, "w").write("paths: {raw_dir: a}\nx: {y: {z: 3}}\n")

@@ -67,3 +67,9 @@ def test_attribute_map_and_prefix(spark):
 def test_clean_float(spark):
     xs = spark.createDataFrame([(2.0000000001,), (1.23456789,), (0.0000005,)], "x double")
     assert [r[0] for r in xs.select(T.clean_float(F.col("x"))).collect()] == [2.0, 1.234568, 0.0]
+
+
+def test_nested_values_as_text(spark):
+    df = spark.sql("select map('b', 1, 'a', 2) as m, array('x', 'Y') as a, named_struct('z', 1, 'c', 'd') as s, 7 as i, cast(null as map<string,int>) as n")
+    got = df.select(*(T.as_text(F.col(c), df.schema[c].dataType).alias(c) for c in df.columns)).first()
+    assert tuple(got) == ('{"a":2,"b":1}', '["x","Y"]', '{"c":"d","z":1}', "7", None)
