@@ -54,7 +54,7 @@ def compact(df: DataFrame) -> DataFrame:
     """``df``, read in no more tasks than eight a core or one for 64 MB of input, whichever are more: splits of many tiny files are read, and later written, together."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(max(8 * spark.sparkContext.defaultParallelism, size >> 26))
+    return df.coalesce(min((1 << 31) - 1, max(8 * spark.sparkContext.defaultParallelism, size >> 26)))  # a size unknown to Catalyst is a very large one
 
 
 def release(df: DataFrame) -> None:

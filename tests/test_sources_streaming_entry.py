@@ -94,6 +94,14 @@ def test_config(tmp_path, monkeypatch):
     assert c.get("x.y.z") == 3 and c.get("paths.raw_dir") == "/other" and c.get("x.q", 7) == 7
 
 
+def test_compact_merges_tiny_splits_only(spark):
+    many = spark.range(0, 100, 1, 90)
+    assert durable.compact(many).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+    assert durable.compact(spark.range(0, 100, 1, 3)).rdd.getNumPartitions() == 3
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)], 50), "x long")
+    assert durable.compact(unknown).rdd.getNumPartitions() == 50
+
+
 def test_durable_tables_are_released(spark):
     df = durable.materialize(spark.range(5).toDF("x"), "test")
     path = df._durable_path.removeprefix("file://")
