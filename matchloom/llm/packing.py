@@ -237,6 +237,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Free the encoders and caches of a worker process that goes on to other work."""
+    _encoders.clear()
+
+
 def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, source, n_tokens, ids``: little-endian ids, the end token included."""
 
@@ -513,6 +518,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, least_sha
     kind = encoder_kind(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for part in slices(batches):
             out: list[tuple] = []
             for doc, source, n, ids, position, q, low, high, whole, turn in zip(*(c.to_pylist() for c in part.columns)):
