@@ -107,25 +107,56 @@ def permutation_summary(permuted: DataFrame) -> DataFrame:
     return permuted.agg(F.count("*").alias("rows"), count(F.col("selected")).alias("selected"), count(F.col("changed")).alias("changed"), count(~F.col("selected")).alias("clean"))
 
 
-def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: float) -> DataFrame:
-    """``(anchor, donor)``: items outside all positive components whose rare identifier shares a prefix with a positive item's.
+#: Ids of a class that one row of ``near_misses`` holds on either side before it is expanded.
+CHUNK = 1024
+
 
-    A prefix of at least ``share`` of the longer identifier must agree, and the identifiers must differ. Anchors are
-    indexed by the first ``ceil(length * share)`` characters; donors probe with those of their own prefixes that an anchor of fitting length
-    can have, none shorter than about ``share`` squared of their length, so the theta join is an equi-join on prefixes with a residual filter, and short prefixes do not gather all.
+def near_miss_classes(pairs: DataFrame, items: DataFrame, least_idf: float, share: float) -> tuple[DataFrame, DataFrame]:
+    """``(id, class)`` and ``(anchor_class, donor_class)``: items of equal rare identifiers on one side are a class, named by its least id, and classes are linked as their identifiers are.
+
+    Anchors are in a positive component, donors in none. A prefix of at least ``share`` of the longer identifier must agree, and the identifiers must differ.
+    Each identifier is compared once, whatever the number of items that have it. Those of anchors are indexed by the first ``ceil(length * share)`` characters; those of donors probe with
+    those of their own prefixes that an anchor of fitting length can have, none shorter than about ``share`` squared of their length, so the theta join is an equi-join on prefixes with a residual filter, and short prefixes do not gather all.
     """
     positives = pairs.where(F.col("target") > 0.5)
-    members = positives.select(F.col("id1").alias("id")).union(positives.select(F.col("id2"))).distinct()
+    members = positives.select(F.explode(F.array("id1", "id2")).alias("id")).distinct().withColumn("__anchor", F.lit(True))
     spread = items.select("id", F.explode(F.array_distinct("identifier_tokens")).alias("token"))
     df = spread.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))
     rare = spread.join(df.where(S.normalized_idf(F.col("n"), F.col("df")) >= least_idf).select("token"), "token", "left_semi")
+    sets = rare.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    sets = sets.join(members, "id", "left").select("id", "tokens", F.coalesce("__anchor", F.lit(False)).alias("anchor"))
+    sets = materialize(sets, "identifier-sets")
+    kinds = sets.groupBy("tokens", "anchor").agg(F.min("id").alias("class"))
+    kinds = materialize(kinds, "identifier-classes", narrow=True)
+    classes = sets.join(kinds, ["tokens", "anchor"]).select("id", "class")
+    held = kinds.select("anchor", "class", F.explode("tokens").alias("token"))
     length = F.ceil(F.length("token") * F.lit(share)).cast("int")
     shortest = F.greatest(F.lit(1), F.floor(F.floor(F.length("token") * F.lit(share)) * F.lit(share)).cast("int"))
-    anchors = rare.join(members, "id", "left_semi").select(F.col("id").alias("anchor"), F.col("token").alias("anchor_token"), F.substring(F.col("token"), F.lit(1), length).alias("prefix"))
-    probes = rare.join(members, "id", "left_anti").select(F.col("id").alias("donor"), F.col("token").alias("donor_token"), F.explode(F.sequence(shortest, F.length("token"))).alias("k"))
-    probes = probes.select("donor", "donor_token", F.substring(F.col("donor_token"), F.lit(1), F.col("k")).alias("prefix"))
-    met = anchors.join(probes, "prefix").where(F.col("anchor_token") != F.col("donor_token"))
-    return met.where(T.prefix_share(F.col("anchor_token"), F.col("donor_token")) >= share).select("anchor", "donor").distinct()
+    anchors = held.where("anchor").select("token").distinct().select(F.col("token").alias("anchor_token"), F.substring(F.col("token"), F.lit(1), length).alias("prefix"))
+    probes = held.where("not anchor").select("token").distinct().select(F.col("token").alias("donor_token"), F.explode(F.sequence(shortest, F.length("token"))).alias("k"))
+    probes = probes.select("donor_token", F.substring(F.col("donor_token"), F.lit(1), F.col("k")).alias("prefix"))
+    met = anchors.join(probes, "prefix").where((F.col("anchor_token") != F.col("donor_token")) & (T.prefix_share(F.col("anchor_token"), F.col("donor_token")) >= share)).select("anchor_token", "donor_token")
+    one = held.where("anchor").select(F.col("token").alias("anchor_token"), F.col("class").alias("anchor_class"))
+    two = held.where("not anchor").select(F.col("token").alias("donor_token"), F.col("class").alias("donor_class"))
+    return classes, met.join(one, "anchor_token").join(two, "donor_token").select("anchor_class", "donor_class").distinct()
+
+
+def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: float) -> DataFrame:
+    """``(anchor, donor)``: items outside all positive components whose rare identifier shares a prefix with a positive item's, from ``near_miss_classes``.
+
+    An id is in one class and linked classes are distinct, so no pair comes twice and none is compared or shuffled by itself: classes are
+    cut into chunks of about ``CHUNK`` ids, linked chunks are dealt out, and each is expanded where it lies.
+    """
+    classes, links = near_miss_classes(pairs, items, least_idf, share)
+    classes = materialize(classes, "near-miss-classes")
+    sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("__chunks"))
+    chunks = classes.join(sizes, "class").groupBy("class", F.pmod(F.xxhash64("id"), F.col("__chunks")).alias("chunk")).agg(F.collect_list("id").alias("ids"))
+    chunks = materialize(chunks, "near-miss-chunks")
+    named = lambda side: chunks.select(*(F.col(c).alias(f"{side}_{c}") for c in chunks.columns))
+    linked = links.join(named("anchor"), "anchor_class").join(named("donor"), "donor_class")
+    parts = max(4 * pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = linked.repartition(parts, "anchor_class", "anchor_chunk", "donor_class", "donor_chunk")
+    return dealt.select("donor_ids", F.explode("anchor_ids").alias("anchor")).select("anchor", F.explode("donor_ids").alias("donor"))
 
 
 def hard_identifier_negatives(pairs: DataFrame, items: DataFrame, least_idf: float, share: float, most: int) -> DataFrame:

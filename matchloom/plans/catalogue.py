@@ -26,21 +26,27 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLORS = ("Чёрный / Black", "красный", "сине-зелёный", "матовый")
 
 
-def co_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct unordered pairs of parts of one order."""
-    one = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("id1")).distinct()
-    two = one.select("l_orderkey", F.col("id1").alias("id2"))
-    return one.join(two, "l_orderkey").where("id1 < id2").select("id1", "id2").distinct()
+def co_ordered(spark: SparkSession, sf_dir: str, alike: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct unordered pairs of parts of one order; with ``alike``, those of which some rows are equal in these columns of ``part``, so that no others are made.
+
+    Lines are dealt out by order once, for their distinct parts and for both sides of the join.
+    """
+    one = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("id1"))
+    if alike:
+        one = one.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id1"), *alike), "id1")
+    one = one.repartition("l_orderkey", *alike).distinct()
+    two = one.withColumnRenamed("id1", "id2")
+    return one.join(two, ["l_orderkey", *alike]).where("id1 < id2").select("id1", "id2").distinct()
 
 
 CO_ORDERED = """co_ordered AS (SELECT DISTINCT a.l_partkey AS id1, b.l_partkey AS id2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with ``category`` (both parts' types, in order) and ``target`` (same brand)."""
+def labelled(spark: SparkSession, sf_dir: str, alike: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with ``category`` (both parts' types, in order) and ``target`` (same brand); ``alike`` as in ``co_ordered``."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     a, b = (p.select(F.col("p_partkey").alias(f"id{i}"), F.col("p_brand").alias(f"brand{i}"), F.col("p_type").alias(f"type{i}")) for i in (1, 2))
-    joined = co_ordered(spark, sf_dir).join(a, "id1").join(b, "id2")
+    joined = co_ordered(spark, sf_dir, alike).join(a, "id1").join(b, "id2")
     category = F.when(F.col("type1") == F.col("type2"), F.col("type1")).otherwise(F.concat(F.least("type1", "type2"), F.lit(" | "), F.greatest("type1", "type2")))
     return joined.select("id1", "id2", (F.col("brand1") == F.col("brand2")).cast("double").alias("target"), category.alias("category"))
 
@@ -52,7 +58,7 @@ LABELLED = CO_ORDERED + """, labelled AS (SELECT id1, id2, CASE WHEN a.p_brand =
 
 def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-ordered parts of equal brand and type."""
-    return labelled(spark, sf_dir).where("target > 0.5 and not contains(category, '|')").select("id1", "id2", "target", "category")
+    return labelled(spark, sf_dir, ("p_brand", "p_type")).where("target > 0.5 and not contains(category, '|')").select("id1", "id2", "target", "category")
 
 
 BRAND_EDGES = LABELLED + """, brand_edges AS (SELECT id1, id2, target, category FROM labelled WHERE target > 0.5 AND NOT contains(category, '|'))"""
