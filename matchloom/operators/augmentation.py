@@ -10,7 +10,7 @@ from matchloom.functions import text as T
 from matchloom.operators.canonical import item_lines, serialize_pair
 from matchloom.operators.graph import connected_components
 from matchloom.operators.metrics import hash_int, hash_key
-from matchloom.operators.ordering import place_within
+from matchloom.operators.ordering import numbered, place_within
 from matchloom.operators.pairs import join_items
 from matchloom.plans.durable import materialize
 
@@ -159,18 +159,20 @@ def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: flo
     return dealt.select("donor_ids", F.explode("anchor_ids").alias("anchor")).select("anchor", F.explode("donor_ids").alias("donor"))
 
 
-def hard_identifier_negatives(pairs: DataFrame, items: DataFrame, least_idf: float, share: float, most: int) -> DataFrame:
-    """Synthetic negatives of ``near_misses``; each inherits the anchor's first positive row. More than ``most`` is an error, never a sample."""
+def hard_identifier_negatives(pairs: DataFrame, items: DataFrame, least_idf: float, share: float, most: int | None) -> DataFrame:
+    """Synthetic negatives of ``near_misses``; each inherits the anchor's first positive row. More than ``most`` is an error, never a sample; ``None`` takes them all."""
     found = materialize(near_misses(pairs, items, least_idf, share), "near-misses")
-    if found.limit(most + 1).count() > most:
+    if most is not None and found.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} eligible pairs")
     positives = pairs.where(F.col("target") > 0.5)
     first = positives.select(F.explode(F.array("id1", "id2")).alias("anchor"), F.struct("row_id", "fold").alias("s")).groupBy("anchor").agg(F.min("s").alias("s"))
     made = found.join(first, "anchor").select(F.col("anchor").alias("id1"), F.col("donor").alias("id2"), F.lit(0.0).alias("target"), "s.fold", F.col("s.row_id").alias("source_row_id"))
     top = pairs.agg(F.max("row_id")).first()[0]
-    made = made.withColumn("row_id", F.row_number().over(Window.orderBy("source_row_id", "id1", "id2")) + F.lit(top).cast("long"))  # at most ``most`` rows
+    made = numbered(made, [F.asc("source_row_id"), F.asc("id1"), F.asc("id2")], "row_id").withColumn("row_id", F.col("row_id") + F.lit(1 if top is None else top + 1).cast("long"))
+    made = materialize(made, "numbered-negatives")
     keyed = made.select("id1", "id2", "target", "fold", "row_id")
-    joined = join_items(keyed, items.withColumns(item_lines()))
+    lined = items.select("id", "category", *(v.alias(k) for k, v in item_lines().items()))
+    joined = join_items(keyed, lined)
     a, b = serialize_pair()
     texts = joined.select("row_id", S.pair_category(F.col("left.category"), F.col("right.category")).alias("category"), a.alias("text_a"), b.alias("text_b"))
     return made.join(texts, "row_id").withColumn("is_synthetic", F.lit(True))

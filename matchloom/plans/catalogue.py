@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators.metrics import hash_int
+from matchloom.plans.durable import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as raw items with a JSON object of attributes; the brand has one key or two."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
     color = F.element_at(F.array(*(F.lit(c) for c in COLORS)), (F.col("p_size") % 4 + 1).cast("int"))
     attributes = F.to_json(F.struct(
         F.col("p_brand").alias("Производитель"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("Марка"), F.concat(F.lit("AB-"), F.col("p_partkey")).alias("Артикул"),

@@ -57,6 +57,13 @@ def compact(df: DataFrame) -> DataFrame:
     return df.coalesce(min((1 << 31) - 1, max(8 * spark.sparkContext.defaultParallelism, size >> 26)))  # a size unknown to Catalyst is a very large one
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Short rows on which much work waits, dealt out by ``key`` to four tasks a core or one for 4 MB, whichever are more: a small file is otherwise one split and all its work one task."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, min(1 << 14, size >> 22)), *key)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     path = getattr(df, "_durable_path", None)

@@ -175,7 +175,7 @@ def hard_identifier_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic negatives of near misses of article numbers that differ in their last digits, for all brand pairs."""
     items = materialize(C.canonicalize(raw_items(spark, sf_dir)), "canonical-items")
     positives = B.with_row_id(brand_edges(spark, sf_dir), "id1", "id2").withColumn("fold", F.lit(0))
-    return A.hard_identifier_negatives(positives, items, 0.5, 0.8, 1_000_000)
+    return A.hard_identifier_negatives(positives, items, 0.5, 0.8, None)
 
 
 def _serialized(spark: SparkSession, sf_dir: str) -> DataFrame:

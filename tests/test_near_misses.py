@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import augmentation as A
+from matchloom.operators import canonical as C
 from matchloom.plans import catalogue as Q
+from matchloom.schemas import RAW_ITEM
 
 TOKENS = [["ab12c"], ["ab12cst3"], ["ab13c", "zz999"], ["zz998", "ab12c"], ["q"], []]
 
@@ -41,3 +43,14 @@ def test_brand_edges_make_no_other_pairs(spark, sf):
     assert Q.labelled(spark, sf, alike).count() == got.count() < Q.labelled(spark, sf).count()
 
 
+def test_hard_negatives_take_all_and_number_them(spark):
+    raw = [(i, f"phone rs07cst{i % 9}", None, "p") for i in range(60)] + [(i, f"filler {i}x", None, "f") for i in range(100, 160)]
+    items = C.canonicalize(spark.createDataFrame(raw, RAW_ITEM))
+    pairs = spark.createDataFrame([(i, i + 1, 1.0, i // 2, 0) for i in range(0, 30, 2)], "id1 long, id2 long, target double, row_id long, fold int")
+    got = sorted(map(tuple, A.hard_identifier_negatives(pairs, items, 0.1, 0.6, None).select("row_id", "source_row_id", "id1", "id2").collect()))
+    want = sorted((a // 2, a, d) for a in range(30) for d in range(30, 60) if a % 9 != d % 9)
+    assert got == [(15 + k, *x) for k, x in enumerate(want)]
+
+
+def test_raw_items_of_one_small_file_are_many_tasks(spark):
+    assert Q.raw_items(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
