@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from matchloom.functions import similarity as S
 from matchloom.functions import text as T
 from matchloom.operators import corpus as K
 from matchloom.operators.canonical import item_lines, serialize_pair
+from matchloom.plans.durable import materialize
 from matchloom.schemas import PAIR_FIELDS
 
 KEYS = ("id1", "id2", "target", "fold", "row_id", "is_synthetic")
@@ -50,6 +53,53 @@ def join_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return ordered.join(one, "__l").join(two, "__r").drop("__l", "__r")
 
 
+#: Items of a block of ids, and pairs of a group, of ``join_items_in_blocks``.
+BLOCK_ITEMS, GROUP_PAIRS = 20_000, 1_000_000
+
+
+def _block(item_id: Column, cuts: list[float], first: int = 0) -> Column:
+    """The number of cuts that are at most the id, by bisection."""
+    if not cuts:
+        return F.lit(first)
+    k = len(cuts) // 2
+    return F.when(item_id < F.lit(int(cuts[k])), _block(item_id, cuts[:k], first)).otherwise(_block(item_id, cuts[k + 1:], first + k + 1))
+
+
+def join_items_in_blocks(pairs: DataFrame, items: DataFrame, prepare: Callable[[DataFrame], DataFrame] = prepared_items) -> DataFrame:
+    """The rows of ``join_items`` over ``prepare(items)``, without an item travelling with each of its pairs.
+
+    Ids are ranged into blocks and pairs fall into groups by the blocks of both sides; groups of very many pairs are split. Pairs go to their group once, as ids, and an item once to each group of
+    its block, where two hash joins find both sides in passing. Items are prepared where they arrive. Where groups are so many that items would travel more often than with their pairs, they do that.
+    """
+    spark = pairs.sparkSession
+    blocks = -(-items.count() // BLOCK_ITEMS)
+    if blocks < 2:
+        return join_items(pairs, prepare(items))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # read as the plan is made; without it both joins would deal everything out again by id
+    items, pairs = materialize(items, "items"), materialize(pairs, "pairs")
+    cuts = sorted(set(items.approxQuantile("id", [k / blocks for k in range(1, blocks)], 0.1 / blocks)))
+    keys = [F.col(c) for c in KEYS if c in pairs.columns]
+    ordered = pairs.select(*keys, F.least("id1", "id2").alias("__l"), F.greatest("id1", "id2").alias("__r")).withColumns({"__a": _block(F.col("__l"), cuts), "__b": _block(F.col("__r"), cuts)})
+    groups = materialize(ordered.groupBy("__a", "__b").agg(F.ceil(F.count("*") / F.lit(GROUP_PAIRS)).cast("int").alias("__splits"), F.count("*").alias("__n")), "pair-groups", narrow=True)
+    n, splits, rows = groups.agg(F.count("*"), F.sum("__splits"), F.sum("__n")).first()
+    if not n or (n + splits) * BLOCK_ITEMS > 2 * rows:
+        return join_items(pairs, prepare(items))
+    groups = F.broadcast(groups.drop("__n"))  # at most a row for 10,000 pairs
+    parts = max(2 * splits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = ["__a", "__b", "__s"]
+    split = lambda x: F.pmod(F.xxhash64(x), F.col("__splits")).cast("int").alias("__s")
+
+    def side(block: str, at: Column, key: str, name: str) -> DataFrame:
+        there = items.withColumn(block, _block(F.col("id"), cuts)).join(groups, block).select(*items.columns, "__a", "__b", at).repartition(parts, *place)
+        made = prepare(there)
+        return made.select(*place, F.col("id").alias(key), F.struct(*(F.col(c) for c in made.columns if c not in place)).alias(name)).hint("shuffle_hash")
+
+    dealt = ordered.join(groups, ["__a", "__b"]).select(*keys, "__l", "__r", "__a", "__b", split("__l")).repartition(parts, *place)
+    one = side("__a", split("id"), "__l", "left")
+    two = side("__b", F.explode(F.sequence(F.lit(0), F.col("__splits") - 1)).alias("__s"), "__r", "right")
+    return dealt.join(one, [*place, "__l"]).join(two, [*place, "__r"]).drop(*place, "__l", "__r")
+
+
 def name_features() -> dict[str, Column]:
     a, b = "left.name_norm", "right.name_norm"
     la, lb = F.length(a), F.length(b)

@@ -179,8 +179,7 @@ _FIELDS_SQL = ", ".join(
   1.0 + (a.two_brands AND b.two_brands)::INT AS aligned_attribute_numeric_common, 0.0 + (a.p_size = b.p_size)::INT + (a.two_brands AND b.two_brands AND a.brand_norm = b.brand_norm)::INT AS aligned_attribute_numeric_overlap
   FROM co_ordered JOIN feat a ON a.id = id1 JOIN feat b ON b.id = id2) SELECT * FROM x""", double="attribute_count_min attribute_count_max brand_both article_both color_both size_both quantity_both measurement_common_types aligned_attribute_key_common aligned_attribute_value_exact aligned_attribute_numeric_common aligned_attribute_numeric_overlap")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = P.prepared_items(C.canonicalize(raw_items(spark, sf_dir)))
-    made = P.features(P.join_items(co_ordered(spark, sf_dir), items))
+    made = P.features(P.join_items_in_blocks(co_ordered(spark, sf_dir), C.canonicalize(raw_items(spark, sf_dir))))
     fields = [f"{f}_{k}" for f in ("brand", "article", "color", "size", "quantity") for k in ("both", "equal", "conflict")]
     names = ["name_token_jaccard", "name_token_containment", "name_char_jaccard", "name_length_ratio", "name_exact", "numeric_jaccard", "numeric_conflict", "attribute_count_min", "attribute_count_max", *fields,
              "brand_token_jaccard", "color_token_jaccard", "measurement_common_types", "measurement_compatible_types", "measurement_min_relative_diff", "aligned_attribute_key_common", "aligned_attribute_key_jaccard",
@@ -236,7 +235,7 @@ def _six(name: str) -> F.Column:
 @query("pair_features_all", f"WITH {FEATURE_ITEM}, {_COORD} {all_features_sql('co_ordered')}")
 def pair_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 67 features and the pair's category."""
-    made = P.features(P.join_items(co_ordered(spark, sf_dir), P.prepared_items(C.canonicalize(raw_items(spark, sf_dir)))))
+    made = P.features(P.join_items_in_blocks(co_ordered(spark, sf_dir), C.canonicalize(raw_items(spark, sf_dir))))
     return made.select("id1", "id2", "category", *(_six(c) for c in made.columns if c not in ("id1", "id2", "category")))
 
 
