@@ -19,6 +19,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """``jaccard`` of arrays in which nothing repeats: one intersection, and no union."""
+    both = F.size(F.array_intersect(a, b))
+    return ratio(both, F.size(a) + F.size(b) - both)
+
+
 def containment(a: Column, b: Column) -> Column:
     return ratio(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)))
 
@@ -28,11 +34,15 @@ def some(x: Column) -> Column:
 
 
 def set_exact(a: Column, b: Column) -> Column:
-    return flag(some(a) & (F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 0))
+    """Of arrays in which nothing repeats."""
+    both = F.size(F.array_intersect(a, b))
+    return flag(some(a) & (both == F.size(a)) & (both == F.size(b)))
 
 
 def set_conflict(a: Column, b: Column) -> Column:
-    return flag(some(a) & some(b) & ((F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)))
+    """Of arrays in which nothing repeats."""
+    both = F.size(F.array_intersect(a, b))
+    return flag(some(a) & some(b) & ((both < F.size(a)) | (both < F.size(b))))
 
 
 def field_relation(a: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -69,18 +79,25 @@ def attribute_facts(attributes: Column, tokens, identifiers, numbers) -> Column:
 
 
 def compared_attributes(a: Column, b: Column) -> Column:
-    """For every shared key of two ``attribute_facts`` maps, how its values compare. Project it on its own, so that it is computed once."""
+    """For every shared key of two ``attribute_facts`` maps, how its values compare. Project it on its own, so that it is computed once.
 
-    def compare(key: Column) -> Column:
-        x, y = F.element_at(a, key), F.element_at(b, key)
-        meets = lambda f: F.arrays_overlap(x[f], y[f])
+    Such functions are interpreted, and what they name twice is computed twice: so the values of a key are looked up first, then common tokens are counted, and only then all is compared.
+    """
+
+    def counted(e: Column) -> Column:
+        x, y = e["x"], e["y"]
+        alike = x["v"] == y["v"]
         both = lambda f: some(x[f]) & some(y[f])
         return F.struct(
-            (x["v"] == y["v"]).cast("int").alias("exact"), F.when(x["v"] == y["v"], some(x["t"]).cast("double")).otherwise(jaccard(x["t"], y["t"])).alias("j"),
-            both("i").cast("int").alias("ic"), (both("i") & meets("i")).cast("int").alias("io"), both("n").cast("int").alias("nc"), (both("n") & meets("n")).cast("int").alias("no"),
+            alike.alias("alike"), F.when(alike, F.size(x["t"])).otherwise(F.size(F.array_intersect(x["t"], y["t"]))).alias("m"), (F.size(x["t"]) + F.size(y["t"])).alias("s"),
+            both("i").alias("ic"), F.when(both("i"), alike | F.arrays_overlap(x["i"], y["i"])).otherwise(False).alias("io"), both("n").alias("nc"), F.when(both("n"), alike | F.arrays_overlap(x["n"], y["n"])).otherwise(False).alias("no"),
         )
 
-    return F.transform(F.array_intersect(F.map_keys(a), F.map_keys(b)), compare)
+    def compare(e: Column) -> Column:
+        return F.struct(e["alike"].cast("int").alias("exact"), ratio(e["m"], e["s"] - e["m"]).alias("j"), *(e[c].cast("int").alias(c) for c in ("ic", "io", "nc", "no")))
+
+    found = F.transform(F.array_intersect(F.map_keys(a), F.map_keys(b)), lambda key: F.struct(F.element_at(a, key).alias("x"), F.element_at(b, key).alias("y")))
+    return F.transform(F.transform(found, counted), compare)
 
 
 def compared_sums(each: Column) -> Column:

@@ -40,6 +40,12 @@ def co_ordered(spark: SparkSession, sf_dir: str, alike: tuple[str, ...] = ()) ->
     return one.join(two, ["l_orderkey", *alike]).where("id1 < id2").select("id1", "id2").distinct()
 
 
+def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct parts of each order of several, as sorted ``ids``: ``co_ordered`` are the pairs within them."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey is not null").select("l_orderkey", "l_partkey").repartition("l_orderkey")
+    return lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("ids")).where("size(ids) > 1").select("ids")
+
+
 CO_ORDERED = """co_ordered AS (SELECT DISTINCT a.l_partkey AS id1, b.l_partkey AS id2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
 
 

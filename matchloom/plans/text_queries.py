@@ -10,7 +10,7 @@ from matchloom.functions import text as T
 from matchloom.operators import canonical as C
 from matchloom.operators import corpus as K
 from matchloom.operators import pairs as P
-from matchloom.plans.catalogue import co_ordered, raw_items, table
+from matchloom.plans.catalogue import co_ordered, order_parts, raw_items, table
 from matchloom.plans.durable import materialize
 from matchloom.plans.registry import query
 
@@ -235,7 +235,7 @@ def _six(name: str) -> F.Column:
 @query("pair_features_all", f"WITH {FEATURE_ITEM}, {_COORD} {all_features_sql('co_ordered')}")
 def pair_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 67 features and the pair's category."""
-    made = P.features(P.join_items_in_blocks(co_ordered(spark, sf_dir), C.canonicalize(raw_items(spark, sf_dir))))
+    made = P.features(P.join_baskets_in_blocks(order_parts(spark, sf_dir), C.canonicalize(raw_items(spark, sf_dir))))
     return made.select("id1", "id2", "category", *(_six(c) for c in made.columns if c not in ("id1", "id2", "category")))
 
 
