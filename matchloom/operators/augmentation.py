@@ -12,7 +12,7 @@ from matchloom.operators.graph import connected_components
 from matchloom.operators.metrics import hash_int, hash_key
 from matchloom.operators.ordering import numbered, place_within
 from matchloom.operators.pairs import join_items
-from matchloom.plans.durable import materialize
+from matchloom.plans.durable import materialize, merging
 
 PREFIX_A, PREFIX_B = "attributes_a: ", "attributes_b: "
 
@@ -117,28 +117,29 @@ def near_miss_classes(pairs: DataFrame, items: DataFrame, least_idf: float, shar
     Anchors are in a positive component, donors in none. A prefix of at least ``share`` of the longer identifier must agree, and the identifiers must differ.
     Each identifier is compared once, whatever the number of items that have it. Those of anchors are indexed by the first ``ceil(length * share)`` characters; those of donors probe with
     those of their own prefixes that an anchor of fitting length can have, none shorter than about ``share`` squared of their length, so the theta join is an equi-join on prefixes with a residual filter, and short prefixes do not gather all.
+    All sides grow with the items, so none is ever broadcast but their number.
     """
     positives = pairs.where(F.col("target") > 0.5)
     members = positives.select(F.explode(F.array("id1", "id2")).alias("id")).distinct().withColumn("__anchor", F.lit(True))
     spread = items.select("id", F.explode(F.array_distinct("identifier_tokens")).alias("token"))
     df = spread.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))
-    rare = spread.join(df.where(S.normalized_idf(F.col("n"), F.col("df")) >= least_idf).select("token"), "token", "left_semi")
+    rare = spread.join(df.where(S.normalized_idf(F.col("n"), F.col("df")) >= least_idf).select("token").transform(merging), "token", "left_semi")
     sets = rare.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    sets = sets.join(members, "id", "left").select("id", "tokens", F.coalesce("__anchor", F.lit(False)).alias("anchor"))
+    sets = sets.join(merging(members), "id", "left").select("id", "tokens", F.coalesce("__anchor", F.lit(False)).alias("anchor"))
     sets = materialize(sets, "identifier-sets")
     kinds = sets.groupBy("tokens", "anchor").agg(F.min("id").alias("class"))
     kinds = materialize(kinds, "identifier-classes", narrow=True)
-    classes = sets.join(kinds, ["tokens", "anchor"]).select("id", "class")
+    classes = sets.join(merging(kinds), ["tokens", "anchor"]).select("id", "class")
     held = kinds.select("anchor", "class", F.explode("tokens").alias("token"))
     length = F.ceil(F.length("token") * F.lit(share)).cast("int")
     shortest = F.greatest(F.lit(1), F.floor(F.floor(F.length("token") * F.lit(share)) * F.lit(share)).cast("int"))
     anchors = held.where("anchor").select("token").distinct().select(F.col("token").alias("anchor_token"), F.substring(F.col("token"), F.lit(1), length).alias("prefix"))
     probes = held.where("not anchor").select("token").distinct().select(F.col("token").alias("donor_token"), F.explode(F.sequence(shortest, F.length("token"))).alias("k"))
     probes = probes.select("donor_token", F.substring(F.col("donor_token"), F.lit(1), F.col("k")).alias("prefix"))
-    met = anchors.join(probes, "prefix").where((F.col("anchor_token") != F.col("donor_token")) & (T.prefix_share(F.col("anchor_token"), F.col("donor_token")) >= share)).select("anchor_token", "donor_token")
+    met = anchors.join(merging(probes), "prefix").where((F.col("anchor_token") != F.col("donor_token")) & (T.prefix_share(F.col("anchor_token"), F.col("donor_token")) >= share)).select("anchor_token", "donor_token")
     one = held.where("anchor").select(F.col("token").alias("anchor_token"), F.col("class").alias("anchor_class"))
     two = held.where("not anchor").select(F.col("token").alias("donor_token"), F.col("class").alias("donor_class"))
-    return classes, met.join(one, "anchor_token").join(two, "donor_token").select("anchor_class", "donor_class").distinct()
+    return classes, met.join(merging(one), "anchor_token").join(merging(two), "donor_token").select("anchor_class", "donor_class").distinct()
 
 
 def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: float) -> DataFrame:
@@ -150,9 +151,9 @@ def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: flo
     classes, links = near_miss_classes(pairs, items, least_idf, share)
     classes = materialize(classes, "near-miss-classes")
     sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("__chunks"))
-    chunks = classes.join(sizes, "class").groupBy("class", F.pmod(F.xxhash64("id"), F.col("__chunks")).alias("chunk")).agg(F.collect_list("id").alias("ids"))
+    chunks = classes.join(merging(sizes), "class").groupBy("class", F.pmod(F.xxhash64("id"), F.col("__chunks")).alias("chunk")).agg(F.collect_list("id").alias("ids"))
     chunks = materialize(chunks, "near-miss-chunks")
-    named = lambda side: chunks.select(*(F.col(c).alias(f"{side}_{c}") for c in chunks.columns))
+    named = lambda side: merging(chunks).select(*(F.col(c).alias(f"{side}_{c}") for c in chunks.columns))
     linked = links.join(named("anchor"), "anchor_class").join(named("donor"), "donor_class")
     parts = max(4 * pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = linked.repartition(parts, "anchor_class", "anchor_chunk", "donor_class", "donor_chunk")
@@ -161,21 +162,23 @@ def near_misses(pairs: DataFrame, items: DataFrame, least_idf: float, share: flo
 
 def hard_identifier_negatives(pairs: DataFrame, items: DataFrame, least_idf: float, share: float, most: int | None) -> DataFrame:
     """Synthetic negatives of ``near_misses``; each inherits the anchor's first positive row. More than ``most`` is an error, never a sample; ``None`` takes them all."""
-    found = materialize(near_misses(pairs, items, least_idf, share), "near-misses")
-    if most is not None and found.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} eligible pairs")
+    found = near_misses(pairs, items, least_idf, share)
+    if most is not None:
+        found = materialize(found, "near-misses")
+        if found.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} eligible pairs")
     positives = pairs.where(F.col("target") > 0.5)
     first = positives.select(F.explode(F.array("id1", "id2")).alias("anchor"), F.struct("row_id", "fold").alias("s")).groupBy("anchor").agg(F.min("s").alias("s"))
-    made = found.join(first, "anchor").select(F.col("anchor").alias("id1"), F.col("donor").alias("id2"), F.lit(0.0).alias("target"), "s.fold", F.col("s.row_id").alias("source_row_id"))
+    made = found.join(merging(first), "anchor").select(F.col("anchor").alias("id1"), F.col("donor").alias("id2"), F.lit(0.0).alias("target"), "s.fold", F.col("s.row_id").alias("source_row_id"))
     top = pairs.agg(F.max("row_id")).first()[0]
     made = numbered(made, [F.asc("source_row_id"), F.asc("id1"), F.asc("id2")], "row_id").withColumn("row_id", F.col("row_id") + F.lit(1 if top is None else top + 1).cast("long"))
     made = materialize(made, "numbered-negatives")
     keyed = made.select("id1", "id2", "target", "fold", "row_id")
     lined = items.select("id", "category", *(v.alias(k) for k, v in item_lines().items()))
-    joined = join_items(keyed, lined)
+    joined = join_items(keyed, merging(lined))
     a, b = serialize_pair()
     texts = joined.select("row_id", S.pair_category(F.col("left.category"), F.col("right.category")).alias("category"), a.alias("text_a"), b.alias("text_b"))
-    return made.join(texts, "row_id").withColumn("is_synthetic", F.lit(True))
+    return merging(made).join(texts, "row_id").withColumn("is_synthetic", F.lit(True))
 
 
 def positive_components(pairs: DataFrame) -> DataFrame:

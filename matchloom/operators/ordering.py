@@ -18,7 +18,7 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))  # a row a part
     starts = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__start"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    ranked = placed.withColumn("__within", within).join(starts, "__part")
+    ranked = placed.withColumn("__within", within).join(F.broadcast(starts), "__part")
     return ranked.select(*df.columns, (F.col("__start") + F.col("__within")).cast("long").alias(out))
 
 

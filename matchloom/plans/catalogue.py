@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators.metrics import hash_int
-from matchloom.plans.durable import spread
+from matchloom.plans.durable import bounded, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def co_ordered(spark: SparkSession, sf_dir: str, alike: tuple[str, ...] = ()) ->
     """
     one = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("id1"))
     if alike:
-        one = one.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id1"), *alike), "id1")
+        one = one.join(bounded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id1"), *alike)), "id1")
     one = one.repartition("l_orderkey", *alike).distinct()
     two = one.withColumnRenamed("id1", "id2")
     return one.join(two, ["l_orderkey", *alike]).where("id1 < id2").select("id1", "id2").distinct()
@@ -51,7 +51,7 @@ CO_ORDERED = """co_ordered AS (SELECT DISTINCT a.l_partkey AS id1, b.l_partkey A
 
 def labelled(spark: SparkSession, sf_dir: str, alike: tuple[str, ...] = ()) -> DataFrame:
     """Pairs with ``category`` (both parts' types, in order) and ``target`` (same brand); ``alike`` as in ``co_ordered``."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    p = bounded(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"))
     a, b = (p.select(F.col("p_partkey").alias(f"id{i}"), F.col("p_brand").alias(f"brand{i}"), F.col("p_type").alias(f"type{i}")) for i in (1, 2))
     joined = co_ordered(spark, sf_dir, alike).join(a, "id1").join(b, "id2")
     category = F.when(F.col("type1") == F.col("type2"), F.col("type1")).otherwise(F.concat(F.least("type1", "type2"), F.lit(" | "), F.greatest("type1", "type2")))

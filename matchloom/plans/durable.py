@@ -43,7 +43,7 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     df = df.hint("rebalance") if narrow else df
     path = f"{shared_dir(spark)}/matchloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", BLOCK).parquet(path)
+    df.write.options(**{"parquet.block.size": BLOCK, "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(path)  # no mark, as nothing asks for it and each costs processes of the driver's
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._durable_path = path  # type: ignore[attr-defined]
@@ -64,6 +64,23 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, min(1 << 14, size >> 22)), *key)
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """``df``, whose next join is one of sorted sides: for a side that grows with the input and must not be broadcast.
+
+    Catalyst broadcasts by the size of files. Ids and repeated words take a small part of their memory there, so that a file below Spark's bound can be more than the driver holds.
+    """
+    return df.hint("merge")
+
+
+#: Rows of a table of the catalogue up to which Catalyst may broadcast them: some 100 bytes of the driver's memory each.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A scanned table: as it is up to ``BROADCAST_ROWS``, counted from the files' footers; else ``merging``."""
+    return merging(df) if df.count() > BROADCAST_ROWS else df
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     path = getattr(df, "_durable_path", None)
